@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import licences, line_dedup, mixing, url_filter
+from millrace.llm import decontaminate, langid, licences, line_dedup, mixing, pii, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: op(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _over(tables: str, op: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: op(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()))
 
 
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _over("documents", line_dedup.op1),
+        "op3_language_id": _over("documents", langid.op3),
+        "op5_toxicity": _over("documents labels", toxicity.op5),
         "op6_mixing": _over("documents", mixing.op6),
+        "op7_pii": _over("documents", pii.op7),
+        "op8_decontaminate": _over("documents benchmark", decontaminate.op8),
         "op9_licences": _over("documents", licences.op9),
         "op10_url_filter": _over("pages", url_filter.op10),
     }

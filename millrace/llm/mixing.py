@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Terms summed beyond the mean: the tail beyond ``mean + 12 * sqrt(mean) + 30`` is below 1e-15.
 TAIL_SD, TAIL = 12, 30
+#: Sources up to which rates are broadcast, and the salts that split a hot source beyond.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 
 
 def uniform(seed: str, *cols: Column) -> Column:
@@ -63,6 +65,16 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
 
 
+def _with_rate(docs: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
+    """Rates reach documents by broadcast when there are few sources, else by a join on source and salt."""
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return docs.join(F.broadcast(rates), source.eqNullSafe(F.col("__source")))
+    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    met = docs.withColumn("__own", salt).join(salted, source.eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
+    return met.drop("__own", "__salt")
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -77,10 +89,8 @@ def mix(
     ``exp(-rate)`` bounds rates at about 700 repetitions; target rates beyond that are no use in training data.
     """
     u = uniform(seed, F.col(id_col))
-    # The quantile is taken once per document: rates travel by a join on source that is broadcast when small and
-    # split by AQE when a hot source makes it skewed.
     rates = source_rates(docs, source_col, weights, budget).select(F.col("source").alias("__source"), "rate")
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__u", u)
+    joined = _with_rate(docs, rates, F.col(source_col)).withColumn("__u", u)
     n = joined.withColumn("__n", poisson_quantile(F.col("rate"), F.col("__u"))).filter("__n > 0")
     copies = n.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "rate", "__u", "__n")
     out = copies.withColumn(

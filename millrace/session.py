@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +72,27 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, so that they need no installation."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).resolve().parent
+    zipped = Path(tempfile.mkdtemp(prefix="millrace-ship-")) / "millrace.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(Path("millrace") / p.relative_to(top)))
+    sc.addPyFile(str(zipped))
+    atexit.register(shutil.rmtree, zipped.parent, True)
+
+
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package available to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
+from millrace.session import arrow_map
 
 #: Fixed masks, '1' compares and '0' ignores a position.
 MASKS = ("11111", "1101011", "11001011", "1010100111")
@@ -194,7 +195,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     names=[id_col, "item_id", "words", "matched", "item_words", "at"],
                 )
 
-        part = base.mapInArrow(run, schema)
+        part = arrow_map(base, run, schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 

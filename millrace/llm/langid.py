@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textvec as tv
+from millrace.session import arrow_map
 
 SAMPLE_ROWS = 3000
 MAX_LANGS = 100
@@ -219,7 +220,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
                 [*batch.columns, pa.array(list(langs), pa.string()), pa.array(scores)], names=[*batch.schema.names, lang_out, score_out]
             )
 
-    return base.mapInArrow(run, schema)
+    return arrow_map(base, run, schema)
 
 
 def identify(

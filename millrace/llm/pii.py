@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
-from millrace.session import materialise
+from millrace.session import arrow_map, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.9
@@ -131,7 +131,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 [batch.column(0), pa.array(all_base, span), pa.array(all_terms, near)], names=[id_col, "base", "terms"]
             )
 
-    return base.mapInArrow(
+    return arrow_map(
+        base,
         run, f"`{id_col}` {kind}, base array<struct<start:long,kind:int,end:long>>, "
         "terms array<struct<entity:long,term:long,line:long,start:long,end:long>>"
     )
@@ -183,7 +184,7 @@ def _line_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
                 n = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "term long, n long")
+    parts = arrow_map(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")), run, "term long, n long")
     return parts.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
@@ -255,7 +256,7 @@ def sanitise(docs: DataFrame, remove_terms: bool = False, id_col: str = "doc_id"
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(spec))]
             yield pa.RecordBatch.from_arrays(cols, names=spec.names)
 
-    return joined.select(*docs.columns, "spans").mapInArrow(run, spec)
+    return arrow_map(joined.select(*docs.columns, "spans"), run, spec)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
+from millrace.session import arrow_map
 
 #: A token needs this z-score and these log-odds to carry weight: words of a language or topic stay below.
 Z_MIN, W_MIN = 4.5, 2.0
@@ -74,7 +75,7 @@ def token_counts(rows: DataFrame, text_col: str = "text", label_col: str = "toxi
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1), pa.array(n0)], names=["h", "n1", "n0"])
 
     some = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    parts = some.mapInArrow(count, "h long, n1 long, n0 long")
+    parts = arrow_map(some, count, "h long, n1 long, n0 long")
     return parts.groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
@@ -175,7 +176,7 @@ def _best(rows: DataFrame, m: Model, text_col: str, label_col: str) -> pd.DataFr
         share = min(1.0, 4 * CALIBRATION_ROWS / n)
         key = F.pmod(F.xxhash64("t"), F.lit(1 << 40))
         part = some.filter((F.col("y") == y) & (key < int(share * (1 << 40)))).orderBy(key, "t").limit(CALIBRATION_ROWS)
-        picks.append(part.mapInArrow(run, "n long, scores array<double>, y int, h long").toPandas())
+        picks.append(arrow_map(part, run, "n long, scores array<double>, y int, h long").toPandas())
     return pd.concat(picks) if picks else pd.DataFrame({"n": [], "scores": [], "y": []})
 
 
@@ -233,7 +234,7 @@ def score_texts(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
                 names=[*batch.schema.names, "score", "predicted", "passages"],
             )
 
-    return base.mapInArrow(run, f"{cols}, score double, predicted int, passages array<struct<start:long,end:long,score:double,p:double>>")
+    return arrow_map(base, run, f"{cols}, score double, predicted int, passages array<struct<start:long,end:long,score:double,p:double>>")
 
 
 def held_out(key: Column, mod: int, rest: int) -> Column:

@@ -106,24 +106,6 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return b.reshape(len(off) - 1, COORDS)
 
 
-def _whole_groups(batches, keys: int) -> Iterator[pa.Table]:
-    """The sorted stream cut at group ends; a group is held whole, and groups are bounded by construction."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        k = np.stack([t.column(i).to_numpy() for i in range(keys)])
-        same = (k == k[:, -1:]).all(0)
-        cut = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        rest = t.slice(cut)
-        if cut:
-            yield t.slice(0, cut).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
-
-
 def _forest(m: int, i: np.ndarray, j: np.ndarray, eq: np.ndarray) -> list[int]:
     """Indices of a maximal spanning forest over candidate pairs, most similar first."""
     root = list(range(m))
@@ -147,7 +129,7 @@ def _compare_small(rows: DataFrame, least: int, all_pairs: bool) -> DataFrame:
     """Candidate pairs ``a < b`` of nodes with SMALL documents at most: a forest, or all that differ in component."""
 
     def run(batches):
-        for t in _whole_groups(batches, 1):
+        for t in tv.whole_groups(batches, 1):
             node, vid = t.column(0).to_numpy(), t.column(1).to_numpy()
             comp = t.column(2).to_numpy()
             sk = _matrix(t.column(3).chunk(0) if t.column(3).num_chunks else t.column(3).combine_chunks())
@@ -224,7 +206,7 @@ def _compare_blocks(dense: DataFrame, least: int) -> DataFrame:
     rest = rest.withColumn("side", F.lit(0)).select(cols)
 
     def run(batches):
-        for t in _whole_groups(batches, 3):
+        for t in tv.whole_groups(batches, 3):
             key = np.stack([t.column(i).to_numpy() for i in range(3)])
             starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
             side, vid, comp = (t.column(i).to_numpy() for i in (3, 4, 5))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, langid, licences, line_dedup, mixing, near_dup, pii, toxicity, url_filter
+from millrace.llm import ann, decontaminate, langid, licences, line_dedup, mixing, near_dup, pii, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": _over("documents", line_dedup.op1),
         "op2_near_dup": _over("documents", near_dup.op2),
         "op3_language_id": _over("documents", langid.op3),
+        "op4_neighbours": _over("embeddings", ann.op4),
         "op5_toxicity": _over("documents labels", toxicity.op5),
         "op6_mixing": _over("documents", mixing.op6),
         "op7_pii": _over("documents", pii.op7),

@@ -129,3 +129,21 @@ def hash_words(texts: list[str], **kw) -> np.ndarray:
     b, off = raw(pa.array(texts, pa.large_string()))
     h, _, _, woff = words(b, off, **kw)
     return h[woff[:-1]]
+
+
+def whole_groups(batches, keys: int) -> Iterator[pa.Table]:
+    """The sorted stream cut at group ends; a group is held whole, and groups are bounded by construction."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        k = np.stack([t.column(i).to_numpy() for i in range(keys)])
+        same = (k == k[:, -1:]).all(0)
+        cut = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        rest = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()

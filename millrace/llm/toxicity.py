@@ -1,6 +1,7 @@
 """Toxicity by maximum-scoring segment search.
 
-Learning, over all labelled rows: document frequencies of tokens in both classes are aggregated (map-side combined, one row per token)
+Learning, over a bounded sample of the labelled rows (``LABELLED_ROWS`` at most, smallest hash of id first: small enough
+to be broadcast, so texts are never shuffled): document frequencies of tokens in both classes are aggregated (map-side combined, one row per token)
 and turned into log-odds with an informative Dirichlet prior (the pooled counts are the prior). Tokens whose z-score
 and log-odds exceed ``Z_MIN`` and ``W_MIN`` carry their log-odds; every other token costs ``DRIFT``, so a random text drifts downwards.
 
@@ -11,7 +12,7 @@ rows, with the location growing as log n. Segments with p below ``P_SEGMENT`` ar
 text's score is the calibrated probability from the sum of their -log p.
 
 The lexicon is a model: it holds significant tokens only and is bounded by ``MAX_LEXICON`` (largest z first; a
-documented bound of the classifier, not of the corpus). Calibration uses a bounded sample of labelled rows.
+documented bound of the classifier, not of the corpus). Calibration uses about ``CALIBRATION_ROWS`` rows of each class.
 
 Defined results: null and empty texts have no tokens, no passage and the base score; equal texts score alike; with no
 labelled rows, or one class only, every text has the base rate's side: score 0 (no toxic label) or 0.5.
@@ -36,6 +37,7 @@ DRIFT = -0.25
 #: Strength of the Dirichlet prior as a share of the smaller class.
 PRIOR_SHARE = 0.1
 MAX_LEXICON = 200_000
+LABELLED_ROWS = 50_000
 CALIBRATION_ROWS = 6000
 P_SEGMENT = 0.05
 
@@ -145,8 +147,16 @@ def evidence(m: Model, n: int, segs: list[tuple[int, int, float]]) -> float:
     return sum(strong) if strong else 0.1 * max(each, default=0.0)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``text, toxic`` of at most LABELLED_ROWS labelled rows (by id) that ``usable`` admits; a repeated label counts
+    as 1 if any of its rows is. Only the sample of labels is broadcast: ids and labels of a bounded number of rows."""
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & usable).groupBy(id_col).agg(F.max(label_col).alias(label_col))
+    marks = marks.orderBy(F.xxhash64(id_col), id_col).limit(LABELLED_ROWS)
+    return docs.select(id_col, text_col).join(F.broadcast(marks), id_col).select(text_col, label_col)
+
+
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from all of ``rows`` (text, 0/1 label)."""
+    """Learn from ``rows`` (text, 0/1 label), whose number the caller bounds."""
     rows = rows.filter(F.col(label_col).isin(0, 1))
     strong = log_odds(token_counts(rows, text_col, label_col)).filter((F.col("z") > Z_MIN) & (F.col("w") > W_MIN))
     lex = strong.orderBy(F.desc("z"), "h").limit(MAX_LEXICON).select("h", "w").toPandas()
@@ -157,27 +167,23 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Mo
 
 
 def _best(rows: DataFrame, m: Model, text_col: str, label_col: str) -> pd.DataFrame:
-    """Segment scores of a bounded sample of labelled rows (smallest hash of text first, both classes)."""
+    """Segment scores of about CALIBRATION_ROWS rows of each class (those with a small hash of text)."""
     some = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
     shared = rows.sparkSession.sparkContext.broadcast(m)  # at most MAX_LEXICON tokens
 
     def run(batches):
         for batch in batches:
             y = batch.column(1).to_pylist()
-            out = [(int(n), [s for *_, s in segs], y[i]) for i, n, *_, segs in _scan(shared.value, batch.column(0))]
-            yield pa.RecordBatch.from_pylist(
-                [{"n": n, "scores": s, "y": v, "h": i} for i, (n, s, v) in enumerate(out)],
-                schema=pa.schema([("n", pa.int64()), ("scores", pa.list_(pa.float64())), ("y", pa.int32()), ("h", pa.int64())]),
-            )
+            out = [{"n": int(n), "scores": [s for *_, s in segs], "y": y[i]} for i, n, *_, segs in _scan(shared.value, batch.column(0))]
+            kind = pa.schema([("n", pa.int64()), ("scores", pa.list_(pa.float64())), ("y", pa.int32())])
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    picks = []
+    key = F.pmod(F.xxhash64("t"), F.lit(1 << 40))
     sizes = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    for y, n in sorted(sizes.items()):
-        share = min(1.0, 4 * CALIBRATION_ROWS / n)
-        key = F.pmod(F.xxhash64("t"), F.lit(1 << 40))
-        part = some.filter((F.col("y") == y) & (key < int(share * (1 << 40)))).orderBy(key, "t").limit(CALIBRATION_ROWS)
-        picks.append(arrow_map(part, run, "n long, scores array<double>, y int, h long").toPandas())
-    return pd.concat(picks) if picks else pd.DataFrame({"n": [], "scores": [], "y": []})
+    below = F.lit(0)
+    for y, n in sizes.items():
+        below = F.when(F.col("y") == y, int((1 << 40) * min(1.0, CALIBRATION_ROWS / n))).otherwise(below)
+    return arrow_map(some.filter(key < below), run, "n long, scores array<double>, y int").toPandas()
 
 
 def _calibrate(m: Model, rows: pd.DataFrame) -> Model:
@@ -243,8 +249,6 @@ def held_out(key: Column, mod: int, rest: int) -> Column:
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = held_out(F.col("doc_id"), 5, 0)
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(~held).join(marks, "doc_id")
-    model = fit(rows.select("text", "toxic"))
+    model = fit(labelled(docs, labels, ~held))
     out = score_texts(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))

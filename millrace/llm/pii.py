@@ -107,7 +107,7 @@ def _contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, list[Span], i
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, base, terms``: base spans, and the words around them as (entity, term hash, line, start, end)."""
+    """``<id>, lines, base, terms``: number of lines, base spans, and the words around them as (entity, term hash, line, start, end)."""
     base = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
     kind = base.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -115,10 +115,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches):
         for batch in batches:
-            all_base, all_terms = [], []
+            all_base, all_terms, lines = [], [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
                 spans = base_spans(text)
+                lines.append(text.count("\n") + 1)
                 all_base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 around = list(_contexts(text, spans)) if spans else []
                 hashes = tv.hash_words([w for *_, w in around], table=tv.ALNUM).view(np.int64).tolist() if around else []
@@ -128,12 +129,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         rows.append({"entity": entity, "term": h, "line": line, "start": s, "end": e})
                 all_terms.append(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(all_base, span), pa.array(all_terms, near)], names=[id_col, "base", "terms"]
+                [batch.column(0), pa.array(lines, pa.int64()), pa.array(all_base, span), pa.array(all_terms, near)], names=[id_col, "lines", "base", "terms"]
             )
 
     return arrow_map(
         base,
-        run, f"`{id_col}` {kind}, base array<struct<start:long,kind:int,end:long>>, "
+        run, f"`{id_col}` {kind}, lines long, base array<struct<start:long,kind:int,end:long>>, "
         "terms array<struct<entity:long,term:long,line:long,start:long,end:long>>"
     )
 
@@ -198,12 +199,16 @@ def disclosing_terms(
         F.count(F.lit(1)).alias("n_et"), F.min(id_col).alias("a"), F.max(id_col).alias("b")
     )
     pairs = pairs.filter((F.col("n_et") >= min_support) & (F.col("a") != F.col("b"))).drop("a", "b")
-    pairs, _ = materialise(pairs, "pairs")
     entities = joint.select("entity", id_col, "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("double").alias("n"))
+    total = found.agg(F.sum("lines").cast("double").alias("n"))  # one row
+    # PMI >= alpha * IC bounds n(t) from above. The contexts seen so far bound it from below, which rules out common
+    # words before the corpus is counted, and loses no term.
+    seen = joint.select("term", id_col, "line").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_c"))
+    most = F.col("n_et") * F.pow(F.col("n") / F.col("n_e"), 1 - alpha)
+    pairs = pairs.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(total)).filter(F.col("n_c") <= most * (1 + 1e-9))
+    pairs, _ = materialise(pairs.drop("n_c"), "pairs")
     terms = _line_counts(docs, text_col, _candidate_bitmap(pairs))
-    scored = pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(total))  # total: one row
+    scored = pairs.join(terms, "term")
     pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e").cast("double") * F.col("n_t")))
     ic = F.log(F.col("n") / F.col("n_e"))
     return scored.filter(pmi >= alpha * ic).select("entity", "term")

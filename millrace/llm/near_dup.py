@@ -9,10 +9,11 @@ documents nearly all resemble the node's first document stop branching and are c
 With 16 trees a pair at the threshold meets in about 13 first nodes and misses all with probability below 1e-12; inside
 large nodes branching keeps a shared path in at least one tree with probability above 0.999.
 
-Only what can change the result is verified, on full shingle sets: first a spanning forest of each node's candidate
-pairs (most similar first), then, once the verified links have merged documents into components, *every* remaining
-candidate pair between different components. Pairs inside a component are never listed, so a group of copies costs
-links in proportion to its size; no cap is set on partners, candidates or group sizes.
+Only what can change the result is verified, on full shingle sets: first a spanning forest of each small node's
+candidate pairs (most similar first) and the pairs within random blocks of dense nodes; then, once the verified links
+have merged documents into components, *every* remaining candidate pair between different components, in dense nodes
+block by block. Pairs inside a component are never listed, so a group of copies costs links in proportion to its size;
+no cap is set on partners, candidates or group sizes.
 
 Documents with equal sets form a class that takes part once. Components come from alternating star contraction over
 the links. Nothing is collected to the driver but counts; intermediate tables are written to the shared folder.
@@ -37,7 +38,7 @@ from millrace.session import arrow_map, materialise
 
 COORDS, TREES = 64, 16
 #: Nodes up to this size are compared exhaustively; blocks of larger dense nodes.
-SMALL, BLOCK_ROWS, BLOCK_COLS = 200, 512, 2048
+SMALL, BLOCK_ROWS, BLOCK_COLS = 200, 256, 2048
 DEPTH = 8
 #: Share of a node's documents that must resemble its first one for the node to stop branching.
 DENSE = 0.5
@@ -183,43 +184,108 @@ def _against_leader(rows: DataFrame, least: int) -> DataFrame:
     return arrow_map(both, run, "node long, vid long, sketch binary, m long, lead long, near boolean")
 
 
-def _compare_blocks(dense: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs of dense nodes between the node's largest component and the rest, and within the rest.
+class _Union:
+    """Union-find over any labels."""
 
-    The rest is cut into blocks of about BLOCK_ROWS and the node into blocks of about BLOCK_COLS documents; each pair
-    of blocks is a group of its own.
-    """
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (p := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(p, p)
+            x = p
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
+def _shared(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Intersection sizes of sets p with sets q, exactly: products of membership matrices over the shingles that two
+    sets at least hold, some thousand columns at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    row, column = row[n[at] > 1], column[at[n[at] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(p), len(q)), np.float32)
+    width = max(256, (1 << 23) // max(1, len(sets)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s, e = np.searchsorted(column, [lo, lo + width])
+        member = np.zeros((len(sets), width), np.float32)
+        member[row[s:e], column[s:e] - lo] = 1
+        out += member[p] @ member[q].T
+    return out
+
+
+def _link_blocks(stream: DataFrame, keys: list[str], k: int, percent: int) -> DataFrame:
+    """Verified links ``a, b`` inside groups of ``side, vid, comp, t`` rows: a spanning forest of all true links between
+    different components. Where a group has rows of side 0, every pair has one of them."""
+
+    def run(batches):
+        for t in tv.whole_groups(batches, len(keys)):
+            key = np.stack([t.column(i).to_numpy() for i in range(len(keys))])
+            starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            side, vid, comp = (t.column(len(keys) + i).to_numpy() for i in range(3))
+            text, found = t.column(len(keys) + 3), []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(side)], strict=True):
+                p = np.flatnonzero(side[s:e] == 0)
+                sets = list(_sets(text.slice(s, e - s).combine_chunks(), k))
+                q = np.flatnonzero(side[s:e] == 1)
+                p = p if len(p) else q
+                if not len(q):
+                    continue
+                n, c = np.array([len(x) for x in sets]), comp[s:e]
+                same = _shared(sets, p, q)
+                ok = (same > 0) & (100 * same >= percent * (n[p][:, None] + n[q][None, :] - same)) & (c[p][:, None] != c[q][None, :])
+                union = _Union()
+                for x, y in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
+                    if union.join(int(c[p[x]]), int(c[q[y]])):
+                        found.append((vid[s + p[x]], vid[s + q[y]]))
+            if found:
+                yield _pairs(*np.array(found, np.int64).T)
+
+    cols = [*keys, "side", "vid", "comp", "t"]
+    return arrow_map(stream.select(cols).repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _own_blocks(dense: DataFrame) -> DataFrame:
+    """Dense nodes cut at random into blocks of about BLOCK_ROWS. A document's nodes in other trees cut it into other
+    blocks, so what is similar meets many times and joins into few components, at a cost linear in the node."""
+    n = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    return dense.withColumn("r", F.pmod(F.xxhash64("node", "vid"), n).cast("int")).withColumn("side", F.lit(1))
+
+
+def _cross_blocks(dense: DataFrame) -> DataFrame:
+    """Dense nodes that still hold several components: the documents outside the largest against all, in blocks of
+    about BLOCK_ROWS by BLOCK_COLS; each pair of blocks is a group of its own, so every remaining pair is met."""
     sizes = dense.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-    core = sizes.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("m"))
-    core = core.filter(F.col("m") > F.col("x.c")).select(
+    core = sizes.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
+    core = core.filter(F.col("all") > F.col("x.c")).select(
         "node",
         F.col("x.comp").alias("core"),
-        F.ceil((F.col("m") - F.col("x.c")) / BLOCK_ROWS).cast("int").alias("nr"),
-        F.ceil(F.col("m") / BLOCK_COLS).cast("int").alias("nc"),
+        F.ceil((F.col("all") - F.col("x.c")) / BLOCK_ROWS).cast("int").alias("nr"),
+        F.ceil(F.col("all") / BLOCK_COLS).cast("int").alias("nc"),
     )
-    all_rows = dense.join(core, "node")
+    rows = dense.join(core, "node")
     place = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
     many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["node", "r", "c", "side", "vid", "comp", "sketch"]
-    members = all_rows.withColumn("c", place("nc")).withColumn("r", many("nr")).withColumn("side", F.lit(1)).select(cols)
-    rest = all_rows.filter(F.col("comp") != F.col("core")).withColumn("r", place("nr")).withColumn("c", many("nc"))
-    rest = rest.withColumn("side", F.lit(0)).select(cols)
+    cols = ["node", "r", "c", "side", "vid", "comp"]
+    members = rows.withColumn("c", place("nc")).withColumn("r", many("nr")).withColumn("side", F.lit(1)).select(cols)
+    rest = rows.filter(F.col("comp") != F.col("core")).withColumn("r", place("nr")).withColumn("c", many("nc"))
+    return members.unionByName(rest.withColumn("side", F.lit(0)).select(cols))
 
-    def run(batches):
-        for t in tv.whole_groups(batches, 3):
-            key = np.stack([t.column(i).to_numpy() for i in range(3)])
-            starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-            side, vid, comp = (t.column(i).to_numpy() for i in (3, 4, 5))
-            sk = _matrix(t.column(6).combine_chunks() if isinstance(t.column(6), pa.ChunkedArray) else t.column(6))
-            for s, e in zip(starts, [*starts[1:], len(side)], strict=True):
-                p, q = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
-                for x in p:
-                    ok = ((sk[q] == sk[x]).sum(1) >= least) & (comp[q] != comp[x])
-                    if ok.any():
-                        yield _pairs(np.full(int(ok.sum()), vid[x]), vid[q[ok]])
 
-    order = ["node", "r", "c"]
-    return arrow_map(members.unionByName(rest).repartition(*order).sortWithinPartitions(*order), run, "a long, b long")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
 
 
 # --- verification -------------------------------------------------------------------------------------------------
@@ -251,8 +317,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         for batch in batches:
             good = np.zeros(len(batch), bool)
             for i, (x, y) in enumerate(zip(_sets(batch.column(2), k), _sets(batch.column(3), k), strict=True)):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
+                good[i] = _linked(x, y, percent)
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -295,19 +360,18 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
-def _terminal_nodes(vertices: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(small nodes' rows, dense nodes' rows, pairs with leaders) of all trees."""
+def _terminal_nodes(vertices: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """(small nodes' rows, dense nodes' rows) of all trees."""
     rows = vertices.select("vid", F.explode("roots").alias("node"))
     some = _sized(rows).join(vertices.select("vid", "sketch"), "vid").select("node", "vid", "sketch", "m")
     level, _ = materialise(some, "level")
-    small, dense, led = level.filter(F.col("m") <= SMALL), None, None
+    small, dense = level.filter(F.col("m") <= SMALL), None
     large = level.filter(F.col("m") > SMALL)
     add = lambda x, y: y if x is None else x.unionByName(y)
     for depth in range(DEPTH + 1):
         if large.isEmpty():
             break
         led_rows, _ = materialise(_against_leader(large, least), "led")
-        led = add(led, led_rows.filter("near AND vid <> lead").select(F.least("vid", "lead").alias("a"), F.greatest("vid", "lead").alias("b")))
         share = led_rows.groupBy("node").agg(F.avg(F.col("near").cast("int")).alias("share"))
         stop = share.filter((F.col("share") >= DENSE) | F.lit(depth == DEPTH)).select("node")
         dense = add(dense, led_rows.join(stop, "node", "left_semi").select("node", "vid", "sketch", "m"))
@@ -318,7 +382,7 @@ def _terminal_nodes(vertices: DataFrame, least: int) -> tuple[DataFrame, DataFra
         level, _ = materialise(_sized(picked.select(child.alias("node"), "vid", "sketch").distinct()).select("node", "vid", "sketch", "m"), "level")
         small = small.unionByName(level.filter(F.col("m") <= SMALL))
         large = level.filter(F.col("m") > SMALL)
-    return small, dense, led
+    return small, dense
 
 
 def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,29 +402,35 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """(vid, text) of the classes' first documents among ``pairs``."""
-        who = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(vid, text) of the first documents of the classes in ``wanted`` (vid)."""
+        who = classes.join(wanted.select(F.col("vid").alias("cid")), "cid", "left_semi")
         near = only_keys(keyed, F.col("id"), who, "id")
         return near.join(who, ["id", "th"]).dropDuplicates(["cid"]).select(F.col("cid").alias("vid"), "t")
 
-    small, dense, led = _terminal_nodes(vertices, least)
+    def with_text(rows: DataFrame) -> DataFrame:
+        who = rows.select("vid").distinct()
+        return rows.join(texts_of(who), "vid")
+
+    small, dense = _terminal_nodes(vertices, least)
     alone = lambda rows: rows.withColumn("comp", F.col("vid"))
-    pairs = _compare_small(alone(small), least, False)
-    pairs = pairs if led is None else pairs.union(led)
-    tried, _ = materialise(pairs.distinct(), "pairs")
-    links, _ = materialise(verify(tried, texts_of(tried), k, percent), "verified")
+    tried, _ = materialise(_compare_small(alone(small), least, False).distinct(), "pairs")
+    links = verify(tried, texts_of(_ends(tried)), k, percent)
+    if dense is not None:
+        links = links.union(_link_blocks(with_text(_own_blocks(alone(dense))), ["node", "r"], k, percent))
+    links, _ = materialise(links.distinct(), "verified")
     comp = components(links)
     known = lambda rows: rows.join(comp, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-    more = _compare_small(known(small), least, True)
+    more = _compare_small(known(small), least, True).distinct()
+    more, _ = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = verify(more, texts_of(_ends(more)), k, percent)
     if dense is not None:
-        more = more.union(_compare_blocks(known(dense), least))
-    more, _ = materialise(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found, _ = materialise(verify(more, texts_of(more), k, percent), "verified")
+        crossing, _ = materialise(_cross_blocks(known(dense)), "blocks")
+        found = found.union(_link_blocks(with_text(crossing), ["node", "r", "c"], k, percent))
+    found, _ = materialise(found.distinct(), "verified")
+    if not found.isEmpty():
         links = links.union(found)
-        if not found.isEmpty():
-            comp = components(links)
+        comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     labels = classes.join(comp.withColumnRenamed("vid", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     names = labels.groupBy("comp").agg(F.min("id").alias("component_id"))

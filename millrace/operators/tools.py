@@ -36,7 +36,7 @@ class Registry:
             "additionalProperties": False,
         }
 
-    def call(self, spark: SparkSession, name: str, **args) -> DataFrame:
+    def call(self, spark: SparkSession, name: str, /, **args) -> DataFrame:
         if name not in self.tools:
             raise KeyError(f"no tool {name}")
         schema = self.schema(name)

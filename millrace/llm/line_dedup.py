@@ -116,39 +116,40 @@ def _mask(n_lines: str, runs: str) -> str:
         array_repeat(true, {n_lines} - element_at({runs}, -1).start - element_at({runs}, -1).len))"""
 
 
-def apply_bitmaps(
-    docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: str = "kept_text"
-) -> DataFrame:
-    """``docs`` with ``n_lines, n_dropped, <kept>``; the only step in which texts move, once, by document."""
+def _marked(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """(``docs`` with its runs as ``__n, __runs``, the kept text); the only step in which texts move, by document."""
     marks = bitmaps.select(
-        F.col(id_col).alias("__id"), F.col("text_id").alias("__t"), F.col("n_dropped"), F.col("drop_runs").alias("__runs")
+        F.col(id_col).alias("__id"), F.col("text_id").alias("__t"), F.col("n_dropped").alias("__n"), F.col("drop_runs").alias("__runs")
     )
     tid = _text_id(F.col(text_col))
     joined = docs.join(marks.hint("shuffle_hash"), (F.col(id_col) == F.col("__id")) & (tid == F.col("__t")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
     keep = f"""transform(array(split(coalesce(`{text_col}`, ''), '\\n', -1)), ls -> transform(array({_mask('size(ls)', '__runs')}),
                mask -> array_join(filter(ls, (l, i) -> get(mask, i)), '\\n'))[0])[0]"""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return joined, F.when(F.col("__runs").isNull(), text).otherwise(F.expr(keep))
+
+
+def apply_bitmaps(
+    docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: str = "kept_text"
+) -> DataFrame:
+    """``docs`` with ``n_lines, n_dropped, <kept>``, which replace columns of those names."""
+    joined, text = _marked(docs, bitmaps, id_col, text_col)
+    before = F.coalesce(F.col(text_col), F.lit(""))
     return joined.withColumns(
         {
-            "n_lines": F.length(text).cast("long") - F.length(F.translate(text, "\n", "")).cast("long") + 1,
-            "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"),
-            kept: F.when(F.col("__runs").isNull(), text).otherwise(F.expr(keep)),
+            "n_lines": F.length(before).cast("long") - F.length(F.translate(before, "\n", "")).cast("long") + 1,
+            "n_dropped": F.coalesce("__n", F.lit(0)).cast("long"),
+            kept: text,
         }
-    ).drop("__id", "__t", "__runs")
+    ).drop("__id", "__t", "__n", "__runs")
 
 
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3
 ) -> DataFrame:
-    """``docs`` with the text replaced by its kept lines; all other columns and all rows stay."""
-    marks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    out = apply_bitmaps(docs.select(id_col, text_col, *_rest(docs, id_col, text_col)), marks, id_col, text_col, "__kept")
-    text = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(F.col("__kept"))
-    return out.withColumn(text_col, text).select(*docs.columns)
-
-
-def _rest(docs: DataFrame, *used: str) -> list[str]:
-    return [c for c in docs.columns if c not in used]
+    """``docs`` with the text replaced by its kept lines (null stays null); all other columns and all rows stay."""
+    joined, text = _marked(docs, keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    return joined.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(*docs.columns)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -84,15 +84,16 @@ def mix(
     source_col: str = "source",
     shuffle: bool = True,
 ) -> DataFrame:
-    """``docs`` replicated to the target rates, plus ``copy_no`` (from 1) and ``shuffle_key``, in global random order.
+    """``docs`` replicated to the target rates, plus ``copy_no`` (from 1) and ``shuffle_key``, in global random order; columns of those
+    two names are replaced.
 
     ``exp(-rate)`` bounds rates at about 700 repetitions; target rates beyond that are no use in training data.
     """
     u = uniform(seed, F.col(id_col))
-    rates = source_rates(docs, source_col, weights, budget).select(F.col("source").alias("__source"), "rate")
+    rates = source_rates(docs, source_col, weights, budget).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     joined = _with_rate(docs, rates, F.col(source_col)).withColumn("__u", u)
-    n = joined.withColumn("__n", poisson_quantile(F.col("rate"), F.col("__u"))).filter("__n > 0")
-    copies = n.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "rate", "__u", "__n")
+    n = joined.withColumn("__n", poisson_quantile(F.col("__rate"), F.col("__u"))).filter("__n > 0")
+    copies = n.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "__rate", "__u", "__n")
     out = copies.withColumn(
         "shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.col(id_col).cast("string"), F.col("copy_no").cast("string")))
     )

@@ -451,9 +451,9 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of smallest id."""
-    gone = near_dup(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), "text_id").distinct()
+    gone = near_dup(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_id").alias("__t")).distinct()
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (text == F.col("text_id")), "left_anti")
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (text == F.col("__t")), "left_anti")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -240,7 +240,7 @@ def sanitise(docs: DataFrame, remove_terms: bool = False, id_col: str = "doc_id"
 
     Ids must be unique: a text and its spans meet by id.
     """
-    spans = find(docs, id_col, text_col, **kw).select(F.col(id_col).alias("__id"), "spans")
+    spans = find(docs, id_col, text_col, **kw).select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
     names = [f"[{k.upper()}]" for k in KINDS] + ["" if remove_terms else "[TERM]"]
     joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
     spec = docs.schema
@@ -249,7 +249,7 @@ def sanitise(docs: DataFrame, remove_terms: bool = False, id_col: str = "doc_id"
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = []
-            for t, found in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
+            for t, found in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):
                 if t is not None:
                     pieces, done = [], 0
                     for s in found or ():
@@ -261,7 +261,7 @@ def sanitise(docs: DataFrame, remove_terms: bool = False, id_col: str = "doc_id"
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(spec))]
             yield pa.RecordBatch.from_arrays(cols, names=spec.names)
 
-    return arrow_map(joined.select(*docs.columns, "spans"), run, spec)
+    return arrow_map(joined.select(*docs.columns, "__spans"), run, spec)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def _long(one_row: DataFrame, columns, value: str) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """``duplicates``: rows beyond the first of equal rows."""
-    return df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("duplicates"))
+    return df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("__n")).agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def leakage_candidates(columns: list[str], target: str | None = None) -> list[str]:

@@ -4,8 +4,8 @@ A document is the set of its word shingles, summarised by ``COORDS`` minwise val
 trees starts by sending a document to the node of one minwise token. A node with few documents is compared
 exhaustively on the summaries; a larger one branches again: it selects one or two coordinates (by a hash of the node,
 so all its documents agree) and sends each document to a child for every selected minwise token. A pair of similarity
-s shares each token with probability s, so similar pairs stay together on some path while others part. Nodes whose
-documents nearly all resemble the node's first document stop branching and are compared against that document.
+s shares each token with probability s, so similar pairs stay together on some path while others part. Nodes of
+which at least half resembles their first document stop branching, and so do those ``DEPTH`` levels down.
 With 16 trees a pair at the threshold meets in about 13 first nodes and misses all with probability below 1e-12; inside
 large nodes branching keeps a shared path in at least one tree with probability above 0.999.
 
@@ -39,7 +39,7 @@ from millrace.session import arrow_map, materialise
 COORDS, TREES = 64, 16
 #: Nodes up to this size are compared exhaustively; blocks of larger dense nodes.
 SMALL, BLOCK_ROWS, BLOCK_COLS = 200, 256, 2048
-DEPTH = 8
+DEPTH = 4
 #: Share of a node's documents that must resemble its first one for the node to stop branching.
 DENSE = 0.5
 FILTER_POWER = 24
@@ -334,7 +334,6 @@ def components(links: DataFrame) -> DataFrame:
     skew join, so a hub's neighbours never meet in one task.
     """
     edges, _ = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    last = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -343,10 +342,11 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         edges, _ = materialise(small.filter("u <> v").distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        # Stars all round: every vertex has one neighbour below it, and none that is such a neighbour has one itself.
+        below = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")).distinct())
+        again = below.groupBy("u").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n")).filter("ups > 1 OR ups = 1 AND n > 1")
+        if again.isEmpty():
             break
-        last = now
     own = edges.select(F.col("v").alias("vid"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("vid"), F.col("v").alias("comp")).union(own)
 

@@ -4,8 +4,8 @@ A document is the set of its word shingles, summarised by ``COORDS`` minwise val
 trees starts by sending a document to the node of one minwise token. A node with few documents is compared
 exhaustively on the summaries; a larger one branches again: it selects one or two coordinates (by a hash of the node,
 so all its documents agree) and sends each document to a child for every selected minwise token. A pair of similarity
-s shares each token with probability s, so similar pairs stay together on some path while others part. Nodes of
-which at least half resembles their first document stop branching, and so do those ``DEPTH`` levels down.
+s shares each token with probability s, so similar pairs stay together on some path while others part. Nodes
+that keep at least half of their parent's documents are dense and stop branching, and so do nodes ``DEPTH`` levels down.
 With 16 trees a pair at the threshold meets in about 13 first nodes and misses all with probability below 1e-12; inside
 large nodes branching keeps a shared path in at least one tree with probability above 0.999.
 
@@ -40,9 +40,10 @@ COORDS, TREES = 64, 16
 #: Nodes up to this size are compared exhaustively; blocks of larger dense nodes.
 SMALL, BLOCK_ROWS, BLOCK_COLS = 200, 256, 2048
 DEPTH = 4
-#: Share of a node's documents that must resemble its first one for the node to stop branching.
+#: Share of its parent's documents from which a node counts as dense and stops branching.
 DENSE = 0.5
 FILTER_POWER = 24
+EDGES_IN_ONE = 500_000
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, COORDS, np.uint64)
@@ -170,20 +171,6 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1])], names=["a", "b"])
 
 
-def _against_leader(rows: DataFrame, least: int) -> DataFrame:
-    """``node, vid, sketch, m, lead, near`` of documents in large nodes, whose first document leads."""
-    lead = rows.groupBy("node").agg(F.min(F.struct("vid", "sketch")).alias("l"))
-    lead = lead.select("node", F.col("l.vid").alias("lead"), F.col("l.sketch").alias("lead_sketch"))
-    both = rows.join(lead, "node").select("node", "vid", "sketch", "m", "lead", "lead_sketch")
-
-    def run(batches):
-        for batch in batches:
-            near = (_matrix(batch.column(2)) == _matrix(batch.column(5))).sum(1) >= least
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near)], names=["node", "vid", "sketch", "m", "lead", "near"])
-
-    return arrow_map(both, run, "node long, vid long, sketch binary, m long, lead long, near boolean")
-
-
 class _Union:
     """Union-find over any labels."""
 
@@ -331,21 +318,26 @@ def components(links: DataFrame) -> DataFrame:
     """``vid, comp``: every vertex of ``links`` (a, b) and the smallest vertex of its component.
 
     Alternating large-star and small-star contraction; minima are combined on the map side and hubs are split by AQE's
-    skew join, so a hub's neighbours never meet in one task.
+    skew join, so a hub's neighbours never meet in one task. Up to EDGES_IN_ONE edges (a bound on the task) the same
+    steps run in a single partition and need no exchange.
     """
     edges, _ = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    few = edges.count() <= EDGES_IN_ONE
+    held = lambda df: df.coalesce(1) if few else df
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = held(edges)
+        both = held(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
+        small = held(large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))))
         edges, _ = materialise(small.filter("u <> v").distinct(), "stars")
         # Stars all round: every vertex has one neighbour below it, and none that is such a neighbour has one itself.
-        below = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")).distinct())
-        again = below.groupBy("u").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n")).filter("ups > 1 OR ups = 1 AND n > 1")
-        if again.isEmpty():
+        ends = held(edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"))))
+        again = ends.distinct().groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        parents = held(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if again.isEmpty() and parents.isEmpty():
             break
     own = edges.select(F.col("v").alias("vid"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("vid"), F.col("v").alias("comp")).union(own)
@@ -360,28 +352,29 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
-def _terminal_nodes(vertices: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
+def _terminal_nodes(vertices: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(small nodes' rows, dense nodes' rows) of all trees."""
     rows = vertices.select("vid", F.explode("roots").alias("node"))
-    some = _sized(rows).join(vertices.select("vid", "sketch"), "vid").select("node", "vid", "sketch", "m")
+    some = _sized(rows).join(vertices.select("vid", "sketch"), "vid").select("node", "vid", "sketch", "m", F.lit(False).alias("dense"))
     level, _ = materialise(some, "level")
     small, dense = level.filter(F.col("m") <= SMALL), None
     large = level.filter(F.col("m") > SMALL)
-    add = lambda x, y: y if x is None else x.unionByName(y)
-    for depth in range(DEPTH + 1):
+    # The node's hash selects one coordinate or two different ones.
+    first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(COORDS)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(COORDS - 1)), F.lit(COORDS)).cast("int")
+    picks = F.when(F.pmod(F.xxhash64("node", F.lit("branch")), F.lit(2)) == 0, F.array(first, second)).otherwise(F.array(first))
+    for depth in range(1, DEPTH + 1):
         if large.isEmpty():
             break
-        led_rows, _ = materialise(_against_leader(large, least), "led")
-        share = led_rows.groupBy("node").agg(F.avg(F.col("near").cast("int")).alias("share"))
-        stop = share.filter((F.col("share") >= DENSE) | F.lit(depth == DEPTH)).select("node")
-        dense = add(dense, led_rows.join(stop, "node", "left_semi").select("node", "vid", "sketch", "m"))
-        wide = led_rows.join(stop, "node", "left_anti")
-        second = F.when(F.pmod(F.xxhash64("node", F.lit("branch")), F.lit(2)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        picked = wide.withColumn("j", F.explode(second)).withColumn("c", F.pmod(F.xxhash64("node", "j"), F.lit(COORDS)).cast("int"))
         child = F.xxhash64("node", "c", F.expr("substring(sketch, c + 1, 1)"))
-        level, _ = materialise(_sized(picked.select(child.alias("node"), "vid", "sketch").distinct()).select("node", "vid", "sketch", "m"), "level")
+        picked = large.withColumn("c", F.explode(picks)).select(child.alias("node"), "vid", "sketch", F.col("m").alias("above"))
+        stop = (F.col("m") >= DENSE * F.col("above")) | F.lit(depth == DEPTH)
+        level, _ = materialise(_sized(picked).select("node", "vid", "sketch", "m", stop.alias("dense")), "level")
         small = small.unionByName(level.filter(F.col("m") <= SMALL))
-        large = level.filter(F.col("m") > SMALL)
+        wide = level.filter(F.col("m") > SMALL)
+        found = wide.filter("dense")
+        dense = found if dense is None else dense.unionByName(found)
+        large = wide.filter(~F.col("dense"))
     return small, dense
 
 
@@ -412,7 +405,7 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
         who = rows.select("vid").distinct()
         return rows.join(texts_of(who), "vid")
 
-    small, dense = _terminal_nodes(vertices, least)
+    small, dense = _terminal_nodes(vertices)
     alone = lambda rows: rows.withColumn("comp", F.col("vid"))
     tried, _ = materialise(_compare_small(alone(small), least, False).distinct(), "pairs")
     links = verify(tried, texts_of(_ends(tried)), k, percent)

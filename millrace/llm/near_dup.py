@@ -38,7 +38,7 @@ from millrace.session import arrow_map, materialise
 
 COORDS, TREES = 64, 16
 #: Nodes up to this size are compared exhaustively; blocks of larger dense nodes.
-SMALL, BLOCK_ROWS, BLOCK_COLS = 200, 256, 2048
+SMALL, BLOCK_ROWS, BLOCK_COLS = 40, 256, 2048
 DEPTH = 4
 #: Share of its parent's documents from which a node counts as dense and stops branching.
 DENSE = 0.5

@@ -326,7 +326,7 @@ def _(t):
     return t.orders.select("o_orderkey", N.trade_signal(F.col("o_totalprice") - 100000).alias("s"))
 
 
-@add("mth3_thresholds", """WITH n AS (SELECT o_orderkey, o_totalprice * 100 AS v FROM orders) SELECT o_orderkey, floor(v * CASE WHEN v >= 20000000 THEN 0.003::DOUBLE WHEN v >= 10000000 THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END * 1.2::DOUBLE / 10)::BIGINT AS target FROM n""")
+@add("mth3_thresholds", """WITH n AS (SELECT o_orderkey, o_totalprice * 100 AS v FROM orders) SELECT o_orderkey, floor(round(v * CASE WHEN v >= 20000000 THEN 0.003::DOUBLE WHEN v >= 10000000 THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END * 1.2::DOUBLE, 2) / 10)::BIGINT AS target FROM n""")
 def _(t):
     return t.orders.select("o_orderkey", F.floor(N.profit_target(F.col("o_totalprice") * 100) / 10).alias("target"))
 

@@ -356,7 +356,7 @@ def _(t):
 
 
 WF = "(PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey)"
-_w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+_w = lambda: Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
 _keys = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"]
 
 
@@ -368,12 +368,12 @@ def _(t):
 
 @add("win14_lag_lead", f"SELECT {', '.join(_keys)}, lag(l_quantity) OVER {WF} AS prev, lead(l_quantity, 2) OVER {WF} AS next2, first_value(l_quantity) OVER {WF} AS first FROM lineitem")
 def _(t):
-    return t.lineitem.select(*_keys, F.lag("l_quantity").over(_w).alias("prev"), F.lead("l_quantity", 2).over(_w).alias("next2"), F.first("l_quantity").over(_w).alias("first"))
+    return t.lineitem.select(*_keys, F.lag("l_quantity").over(_w()).alias("prev"), F.lead("l_quantity", 2).over(_w()).alias("next2"), F.first("l_quantity").over(_w()).alias("first"))
 
 
 @add("win14_frames", f"SELECT {', '.join(_keys)}, sum(l_quantity) OVER {WF[:-1]} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s, max(l_quantity) OVER {WF[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM lineitem")
 def _(t):
-    return t.lineitem.select(*_keys, F.sum("l_quantity").over(_w.rowsBetween(-2, 1)).alias("s"), F.max("l_quantity").over(_w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    return t.lineitem.select(*_keys, F.sum("l_quantity").over(_w().rowsBetween(-2, 1)).alias("s"), F.max("l_quantity").over(_w().rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
 
 
 @add("srt1_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

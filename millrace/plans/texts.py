@@ -16,25 +16,24 @@ from millrace.sources import tables
 
 C = Catalogue()
 add = C.add
-text = F.col("text")
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
 
 
 @add("str1_sanitize")
 def _(t):
-    return t.documents.select("doc_id", X.clean(text).alias("clean"))
+    return t.documents.select("doc_id", X.clean(F.col("text")).alias("clean"))
 
 
 @add("str2_meaningful", f"SELECT doc_id, length(trim(text, {WS})) >= 100 AS ok FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.meaningful(text).alias("ok"))
+    return t.documents.select("doc_id", X.meaningful(F.col("text")).alias("ok"))
 
 
 @add("str3_text_stats", f"""SELECT doc_id, length(text) AS char_count, len({WORDS}) AS word_count,
   CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END AS line_count FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", F.length("text").alias("char_count"), X.word_count(text).alias("word_count"), X.line_count(text).alias("line_count"))
+    return t.documents.select("doc_id", F.length("text").alias("char_count"), X.word_count(F.col("text")).alias("word_count"), X.line_count(F.col("text")).alias("line_count"))
 
 
 @add("str4_caption_clean", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS body FROM pages")
@@ -44,18 +43,18 @@ def _(t):
 
 @add("str5_tokens", "SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> ''))) AS n FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.size(X.token_set(text)).alias("n"))
+    return t.documents.select("doc_id", F.size(X.token_set(F.col("text"))).alias("n"))
 
 
 @add("str6_lexical_tokens", f"SELECT doc_id, array_to_string({WORDS}, ' ') AS tokens FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(X.tokens(text), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @add("str7_input_clean", """SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE
   trim(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script.*?</script>', '', 'g'), '[<>"'';}{]{3,}', '', 'g'), '\\s+', ' ', 'g')) END AS clean FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", X.input_clean(text).alias("clean"))
+    return t.documents.select("doc_id", X.input_clean(F.col("text")).alias("clean"))
 
 
 @add("str8_emails", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), ',') AS emails FROM documents")
@@ -90,7 +89,7 @@ def _(t):
 
 @add("str16_token_estimate", "SELECT doc_id, (length(text) // 4)::INTEGER AS tokens, length(text) // 4 <= 500 AS within FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.token_estimate(text).alias("tokens"), (X.token_estimate(text) <= 500).alias("within"))
+    return t.documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), (X.token_estimate(F.col("text")) <= 500).alias("within"))
 
 
 _hits = lambda ws: " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws)
@@ -98,7 +97,7 @@ _hits = lambda ws: " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws)
 
 @add("str17_sentiment", f"WITH s AS (SELECT doc_id, {_hits(X.BULLISH)} AS u, {_hits(X.BEARISH)} AS d FROM documents) SELECT doc_id, CASE WHEN u > d * 1.5 THEN 'BULLISH' WHEN d > u * 1.5 THEN 'BEARISH' ELSE 'NEUTRAL' END AS label FROM s")
 def _(t):
-    return t.documents.select("doc_id", X.sentiment(text).alias("label"))
+    return t.documents.select("doc_id", X.sentiment(F.col("text")).alias("label"))
 
 
 @add("str21_normal_key", "SELECT DISTINCT lower(trim('  ' || c_mktsegment || ' ')) AS k FROM customer")
@@ -120,7 +119,7 @@ def _(t):
 @add("str24_render_conversation", """SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || CASE WHEN text IS NULL OR text = '' THEN '[Tools use]' ELSE text END, chr(10) ORDER BY turn) AS body
   FROM conversations GROUP BY 1""")
 def _(t):
-    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.when(F.coalesce(text, F.lit("")) == "", "[Tools use]").otherwise(text))
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.when(F.coalesce(F.col("text"), F.lit("")) == "", "[Tools use]").otherwise(F.col("text")))
     rows = t.conversations.select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x"))
     return rows.select("conv_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
 
@@ -167,7 +166,7 @@ CATEGORIES = (("greeting", ("^the",)), ("number", (r"[0-9]{3}",)), ("mail", ("@"
 
 @add("str31_category", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)^the') THEN 'greeting' WHEN regexp_matches(text, '[0-9]{3}') THEN 'number' WHEN contains(text, '@') THEN 'mail' ELSE 'general' END AS c FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.first_category(text, CATEGORIES).alias("c"))
+    return t.documents.select("doc_id", X.first_category(F.col("text"), CATEGORIES).alias("c"))
 
 
 @add("str32_numbered_names", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
@@ -185,7 +184,7 @@ def _(t):
   len(regexp_extract_all(lower(text), '[aeiouy]+')) AS syl FROM benchmark), f AS (SELECT *, 206.835::DOUBLE - 1.015::DOUBLE * (words / sentences) - 84.6::DOUBLE * (syl / words) AS v FROM s WHERE words > 0)
   SELECT item_id, words, sentences, round(v, 2) AS flesch, CASE WHEN v > 80 THEN 'Easy' WHEN v > 60 THEN 'Moderate' ELSE 'Hard' END AS level FROM f""")
 def _(t):
-    return t.benchmark.select("item_id", X.readability(text).alias("r")).filter("r.words > 0").select("item_id", "r.*")
+    return t.benchmark.select("item_id", X.readability(F.col("text")).alias("r")).filter("r.words > 0").select("item_id", "r.*")
 
 
 _dens = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{k}', ''))) // {len(k)}" for k in X.SEO_KEYWORDS)
@@ -193,7 +192,7 @@ _dens = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{k}', '
 
 @add("str34_keyword_density", rf"SELECT item_id, round(({_dens}) / greatest(1, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) * 100, 2) AS density FROM benchmark")
 def _(t):
-    return t.benchmark.select("item_id", X.keyword_density(text).alias("density"))
+    return t.benchmark.select("item_id", X.keyword_density(F.col("text")).alias("density"))
 
 
 _tone = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in X.TONES)
@@ -201,7 +200,7 @@ _tone = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39
 
 @add("str35_tone", f"SELECT doc_id, CASE {_tone} ELSE 'Neutral' END AS tone FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.tone(text).alias("tone"))
+    return t.documents.select("doc_id", X.tone(F.col("text")).alias("tone"))
 
 
 @add("str36_reverse_title", "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(reverse(n_name)), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS x FROM nation")
@@ -227,13 +226,12 @@ for key, f in (("chk2_paragraph_pack", K.paragraph_chunks), ("chk3_token_windows
 
 # --- dates ----------------------------------------------------------------------------------------------------------
 
-day = F.to_date("o_orderdate")
 ANCHOR = "DATE '1998-08-02'"
 
 
 @add("dat1_years_to_maturity", f"SELECT o_orderkey, round(greatest(date_diff('day', {ANCHOR}, o_orderdate::DATE) / 365.25::DOUBLE, 0), 8) AS y FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.round(D.years_until(day, F.lit("1998-08-02").cast("date")), 8).alias("y"))
+    return t.orders.select("o_orderkey", F.round(D.years_until(F.to_date("o_orderdate"), F.lit("1998-08-02").cast("date")), 8).alias("y"))
 
 
 @add("dat2_days_until", "SELECT o_orderkey, floor((epoch(o_orderdate)::BIGINT - 800000000) / 86400)::BIGINT AS d FROM orders")
@@ -274,27 +272,27 @@ def _(t):
 
 @add("dat10_trading_days", f"SELECT o_orderkey, trunc(date_diff('day', o_orderdate::DATE, {ANCHOR}) * 5 / 7)::INTEGER AS n FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", D.trading_days_between(day, F.lit("1998-08-02").cast("date")).alias("n"))
+    return t.orders.select("o_orderkey", D.trading_days_between(F.to_date("o_orderdate"), F.lit("1998-08-02").cast("date")).alias("n"))
 
 
 @add("dat11_shift", "SELECT o_orderkey, o_orderdate::DATE + 45 AS d FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.date_add(day, 45).alias("d"))
+    return t.orders.select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 45).alias("d"))
 
 
 @add("dat12_days_between", f"SELECT o_orderkey, date_diff('day', o_orderdate::DATE, {ANCHOR})::INTEGER AS n FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.datediff(F.lit("1998-08-02").cast("date"), day).alias("n"))
+    return t.orders.select("o_orderkey", F.datediff(F.lit("1998-08-02").cast("date"), F.to_date("o_orderdate")).alias("n"))
 
 
 @add("dat13_weekday", "SELECT o_orderkey, (isodow(o_orderdate) - 1)::INTEGER AS w, dayname(o_orderdate) AS name FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.weekday(day).alias("w"), F.date_format(day, "EEEE").alias("name"))
+    return t.orders.select("o_orderkey", F.weekday(F.to_date("o_orderdate")).alias("w"), F.date_format(F.to_date("o_orderdate"), "EEEE").alias("name"))
 
 
 @add("dat15_iso_week", "SELECT o_orderkey, isoyear(o_orderdate)::INTEGER AS y, week(o_orderdate)::INTEGER AS w, isodow(o_orderdate)::INTEGER AS d FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), day).alias("y"), F.weekofyear(day).alias("w"), (F.weekday(day) + 1).alias("d"))
+    return t.orders.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), F.to_date("o_orderdate")).alias("y"), F.weekofyear(F.to_date("o_orderdate")).alias("w"), (F.weekday(F.to_date("o_orderdate")) + 1).alias("d"))
 
 
 @add("dat16_strftime", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y at %H:%M') AS s FROM orders")
@@ -309,7 +307,7 @@ def _(t):
 
 @add("dat19_next_weekday", "SELECT o_orderkey, o_orderdate::DATE + ((4 - (isodow(o_orderdate) - 1) + 7) % 7)::INTEGER AS d FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", D.next_on_weekday(day, 4).alias("d"))
+    return t.orders.select("o_orderkey", D.next_on_weekday(F.to_date("o_orderdate"), 4).alias("d"))
 
 
 # --- numbers, nested values, hashes ---------------------------------------------------------------------------------
@@ -360,8 +358,8 @@ def _(t):
 
 @add("mth10_answer_score")
 def _(t):
-    d = t.documents.select("doc_id", X.token_set(text).alias("w"), F.length("text").alias("n"))
-    b = t.benchmark.filter("item_id < 3").select("item_id", X.token_set(text).alias("s"))
+    d = t.documents.select("doc_id", X.token_set(F.col("text")).alias("w"), F.length("text").alias("n"))
+    b = t.benchmark.filter("item_id < 3").select("item_id", X.token_set(F.col("text")).alias("s"))
     score = N.answer_score(F.col("s"), F.col("s"), F.col("w"), F.array().cast("array<string>"), F.col("n"))
     return d.crossJoin(core.small(b)).select("doc_id", "item_id", score.alias("r")).select("doc_id", "item_id", "r.*")
 
@@ -548,7 +546,7 @@ def _(t):
 
 @add("ret10_context", "SELECT doc_id, '[1] ' || coalesce(source, 'unknown') || chr(10) || text AS context FROM documents")
 def _(t):
-    return t.documents.select("doc_id", R.context(F.lit(1), F.col("source"), text).alias("context"))
+    return t.documents.select("doc_id", R.context(F.lit(1), F.col("source"), F.col("text")).alias("context"))
 
 
 REL = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

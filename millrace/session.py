@@ -34,7 +34,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -58,8 +58,9 @@ _roots: set[str] = set()
 def _sweep(spark: SparkSession, root: str) -> None:
     try:
         remove(spark, root)
-    except Exception:  # the JVM may be gone already
-        pass
+    except Exception:  # the JVM may be gone already; local folders can still go
+        if root.startswith(("/", "file:")):
+            shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:

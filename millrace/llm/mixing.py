@@ -16,11 +16,15 @@ sources without a stated weight, or with weight 0 or below, get no copies when w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms summed beyond the mean: the tail beyond ``mean + 12 * sqrt(mean) + 30`` is below 1e-15.
+#: Terms summed beyond the mean (and below a large one): the tail beyond ``mean + 12 * sqrt(mean) + 30`` is below 1e-15.
 TAIL_SD, TAIL = 12, 30
+#: Means up to which the sum starts at 0. ``exp(-rate)`` is 0.0 from about 745 on.
+DIRECT = 500
 #: Sources up to which rates are broadcast, and the salts that split a hot source beyond.
 BROADCAST_SOURCES, SALTS = 100_000, 64
 
@@ -49,9 +53,18 @@ def source_rates(
 
 
 def poisson_quantile(rate: Column, u: Column) -> Column:
-    """The least k with CDF(k) >= u. Spark has no Poisson quantile, so the terms are summed in an array fold."""
-    last = F.ceil(rate + TAIL_SD * F.sqrt(rate) + TAIL).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    """The least k with CDF(k) >= u. Spark has no Poisson quantile, so the terms are summed in an array fold.
+
+    Up to a mean of ``DIRECT`` the sum starts at 0. Beyond, ``exp(-rate)`` nears the least double, so it starts as far below
+    the mean as it ends above, at a term taken from its logarithm (Stirling's series; the error is below 1e-14 from 200 on).
+    """
+    far = rate > DIRECT
+    width = TAIL_SD * F.sqrt(rate) + TAIL
+    k0 = F.when(far, F.floor(rate - width)).otherwise(0).cast("int")
+    last = F.ceil(rate + width).cast("int")
+    log_p0 = (k0 - rate) - k0 * F.log1p((k0 - rate) / rate) - F.log(2 * math.pi * k0) / 2 - 1 / (12 * k0) + 1 / (360.0 * k0 * k0 * k0)
+    p0 = F.when(far, F.exp(log_p0)).otherwise(F.exp(-rate))
+    start = F.struct(p0.alias("p"), p0.alias("cdf"), k0.alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * rate / i
@@ -62,7 +75,7 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
             F.when(more, i).otherwise(acc["k"]).alias("k"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(k0 + 1, last), start, step, lambda acc: acc["k"])
 
 
 def _with_rate(docs: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
@@ -85,10 +98,7 @@ def mix(
     shuffle: bool = True,
 ) -> DataFrame:
     """``docs`` replicated to the target rates, plus ``copy_no`` (from 1) and ``shuffle_key``, in global random order; columns of those
-    two names are replaced.
-
-    ``exp(-rate)`` bounds rates at about 700 repetitions; target rates beyond that are no use in training data.
-    """
+    two names are replaced."""
     u = uniform(seed, F.col(id_col))
     rates = source_rates(docs, source_col, weights, budget).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     joined = _with_rate(docs, rates, F.col(source_col)).withColumn("__u", u)

@@ -1,5 +1,7 @@
 """Operators with an SQL form: against DuckDB, and on awkward rows."""
 
+import math
+
 import pytest
 from oracle import connect, compare
 from pyspark.sql import functions as F
@@ -66,6 +68,24 @@ def test_mixing(spark, docs_of, odd):
     assert mixing.mix(odd).count() > 0 and mixing.mix(odd.limit(0)).count() == 0
 
 
+def _quantile(rate, u):
+    k, cdf = 0, math.exp(-rate)
+    while cdf < u:
+        k += 1
+        cdf += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+    return k
+
+
+def test_large_rates(spark, docs_of):
+    rates, us = [0.5, 499.5, 500.5, 700.0, 800.0, 1230.0, 20_000.0], [1e-9, 0.001, 0.3, 0.5, 0.9, 0.999, 1 - 1e-9]
+    rows = spark.createDataFrame([(r, u) for r in rates for u in us], "r double, x double")
+    got = rows.select("r", "x", mixing.poisson_quantile(F.col("r"), F.col("x")).alias("k")).collect()
+    assert {(g.r, g.x): g.k for g in got} == {(r, u): _quantile(r, u) for r in rates for u in us}
+    docs = docs_of(["t"] * 200).filter("source = 's0'")
+    n = [r["count"] for r in mixing.mix(docs, {"s0": 1.0}, budget=120_000, shuffle=False).groupBy("doc_id").count().collect()]
+    assert len(n) == 100 and len(set(n)) > 30 and sum(n) / 100 == pytest.approx(1200, rel=0.01)
+
+
 def test_salted_rates_agree(docs_of, monkeypatch):
     docs = docs_of(["t"] * 300)
     want = sorted((r.doc_id, r.copy_no) for r in mixing.mix(docs).collect())

@@ -5,7 +5,7 @@ and layout reduced to single spaces) and the digest of the *entire* canonical te
 known licences. The same lookup runs on two kinds of entire text: the whole document, and each of its sentences as
 a notice of its own (a short notice such as a one-line grant is a complete text, just embedded in another).
 
-The table of known texts is a parameter; ``KNOWN`` holds the grants and notices built in. It is small by
+The table of known texts is a parameter; ``known_texts`` gives the grants and notices built in. It is small by
 construction, and it is broadcast only after a check of its size (``BROADCAST_ROWS``); a larger one is joined by hash.
 
 Defined results: null or empty texts match nothing; repeated rows are reported once each; a notice that occurs twice
@@ -14,6 +14,8 @@ counts twice in ``n_notices``; when several licences share one canonical text al
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,59 @@ THIS SOFTWARE.""",
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
-#: Copyright lines carry names and years and are never part of a licence's wording. Fixed patterns.
-COPYRIGHT_LINE = r"(?md)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+BSD_1_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = """{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Further whole licences. Lists are known with numbers and with other marks; ``licence_texts`` holds the long ones.
+WHOLE = (
+    *(("BSD-2-Clause", BSD_1_2.format(*n) + BSD_END) for n in (("1. ", "2. "), ("* ", "* "))),
+    *(("BSD-3-Clause", BSD_1_2.format(*n) + BSD_3.format(n[2]) + BSD_END) for n in (("1. ", "2. ", "3. "), ("* ", "* ", "* "))),
+    (
+        "0BSD",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE.""",
+    ),
+)
+#: Title lines that files put above a whole text which does not carry its own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause"),
+}
+
+#: Words that follow 'copyright', or the list mark '(c)', in the wording of licences rather than in a notice.
+WORDING = (
+    r"holders?|owners?|notices?|laws?|licen[cs]e[sd]?|interests?|statements?|permissions?|protection|doctrines?|status|treat(?:y|ies)|disclaimers?"
+    r"|claims?|rights?|ownership|infringements?|and|or|in|is|are|on|to|for|of|as|that|this|which|under|with|such|if|by applicable|the (?:software|library|program|work)"
+)
+LISTED = WORDING + r"|you|the|a|an|any|if|all|must|each|no|it|its|whether|where|when|use|distribute|modify|make|sell|provide|reproduce|shall|may|not|every|only"
+#: Notices carry names and years and are never part of a licence's wording: 'copyright' or '(c)' with a sign, a year, a
+#: blank to fill in or a holder. A line of the wording that happens to start with 'copyright holders' is none.
+COPYRIGHT_LINE = (
+    r"(?md)^[ \t]*(copyright[ \t]*[:,]?[ \t]*(\(c\)|©|\d|[\[<{])|copyright[ \t]+(?!(?:" + WORDING + r")\b)\p{L}"
+    r"|\(c\)[ \t]*(?!(?:" + LISTED + r")\b)[\p{L}\d\[<{©]|©|all rights reserved)[^\n]*$"
+)
 #: Equivalent spellings, applied as whole words after lower-casing and removal of punctuation. Fixed values.
 SPELLINGS = (
     ("licence", "license"),
@@ -80,8 +133,18 @@ def canonical(text: Column) -> Column:
     return F.trim(c)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_texts() -> list[tuple[str, str]]:
+    """All built-in (licence id, text) pairs: ``KNOWN``, ``WHOLE``, both below their titles, and the files."""
+    files = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    # Apache-2.0 is as often given without its appendix; that starts on a line of its own.
+    files += [(k, body[: body.index("APPENDIX:")]) for k, body in files if k == "Apache-2.0"]
+    short = [(k, body) for k, body in (*KNOWN, *WHOLE) if "\n" in body]
+    return [*KNOWN, *WHOLE, *((k, f"{title}\n{body}") for k, body in short for title in TITLES[k]), *files]
+
+
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
     """``digest, licence``: one row per distinct pair."""
+    known = known_texts() if known is None else known
     rows = spark.createDataFrame(list(known), "licence string, body string")
     return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "licence").distinct()
 
@@ -95,13 +158,14 @@ def sentences(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"\n+|[.!?]+[ \t]+", -1)
 
 
-def licence_scan(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``<id>, digest, text_licences, notice_licences, n_notices``.
 
     ``text_licences`` names the licences whose whole wording is the whole document, ``notice_licences`` those whose
     wording is a whole sentence of it (both sorted arrays, empty if none).
     """
     spark = docs.sparkSession
+    known = known_texts() if known is None else known
     digests, n = known_digests(spark, known), len(known)
     by_digest = digests.groupBy("digest").agg(F.array_sort(F.collect_set("licence")).alias("licences"))
     base = docs.select(F.col(id_col), F.col(text_col).alias("__t")).withColumn("__row", F.monotonically_increasing_id())
@@ -138,8 +202,12 @@ def op9(docs: DataFrame) -> DataFrame:
     )
 
 
+#: The SQL form keeps its own pattern, which has no notion of wording, and the texts of ``KNOWN`` alone.
+SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+
+
 def _sql_canonical(x: str) -> str:
-    c = f"regexp_replace(lower(coalesce({x}, '')), '{COPYRIGHT_LINE.replace('(?md)', '(?m)')}', ' ', 'g')"
+    c = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_COPYRIGHT_LINE}', ' ', 'g')"
     c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for old, new in SPELLINGS:
         c = f"replace({c}, ' {old} ', ' {new} ')"

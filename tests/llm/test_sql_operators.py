@@ -1,6 +1,7 @@
 """Operators with an SQL form: against DuckDB, and on awkward rows."""
 
 import math
+import textwrap
 
 import pytest
 from oracle import connect, compare
@@ -103,6 +104,30 @@ def test_licences(docs_of, odd):
     assert licences.licence_scan(odd).count() == odd.count() and licences.licence_scan(odd.limit(0)).count() == 0
 
 
+def test_rewrapped_licences(spark, docs_of):
+    whole = {k: body for k, body in reversed((*licences.KNOWN, *licences.WHOLE)) if "\n" in body}
+    want, texts = [], []
+    for k, body in whole.items():
+        for width in (40, 60, 72, 78, 79, 80, 100, 120, 10**6):
+            for head in ("", "Copyright (c) 2020 A. Person\n\n", f"{licences.TITLES[k][0]}\n\nCopyright 2020, A. Person\nAll rights reserved.\n\n", f"{licences.TITLES[k][1]}\n\nCopyright A. Person\n"):
+                want.append(k)
+                texts.append(head + textwrap.fill(" ".join(body.split()), width))
+    got = {r.doc_id: r.text_licences for r in licences.licence_scan(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(want))] == [[k] for k in want]
+    cut = whole["MIT"].replace("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR\n", "")
+    assert licences.licence_scan(docs_of([cut])).first().text_licences == []
+
+
+def test_long_licences(docs_of):
+    known = licences.known_texts()
+    long = [(k, b) for k, b in known if len(b) > 5000]
+    assert {k for k, _ in long} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    wrap = lambda b, n: "\n\n".join(p if "opyright (" in p or "opyright [" in p else textwrap.fill(" ".join(p.split()), n) for p in b.split("\n\n"))
+    texts = [b if n is None else wrap(b, n) for _, b in long for n in (None, 60, 100)]
+    got = {r.doc_id: r.text_licences for r in licences.licence_scan(docs_of(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[k] for k, _ in long for _ in range(3)]
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.org/es/x", "http://example.org/en/12", "http://example.org", "http://org/", "http://notorg/", "https://x.com/de/", "https://x.com/frx", None, "no scheme", "http://www.cheap-pills.net/", "a://b://c/d?e#f", "http://pillsbury.net/"]
     pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(urls)], "page_id int, url string, host string, other string")

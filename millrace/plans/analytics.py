@@ -468,12 +468,12 @@ def _(t):
 
 @add("ldg2_admit_funds")
 def _(t):
-    return ledger.admit_funds(trades(t).filter("account % 10 = 0"), ["ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"], 50_000.0)
+    return ledger.admit_funds(trades(t), ["ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"], 50_000.0)
 
 
 @add("ldg4_admit_short")
 def _(t):
-    return ledger.admit_funds(trades(t).filter("account % 10 = 0"), ["ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"], 50_000.0, short=True)
+    return ledger.admit_funds(trades(t), ["ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"], 50_000.0, short=True)
 
 
 @add("ldg5_report")

@@ -464,12 +464,16 @@ BM25 = """d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(tex
 DENSE = """v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 8) AS score FROM embeddings a, embeddings b WHERE a.vec_id < {n})"""
 
 
-def bm25(t, n):
-    return R.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), t.benchmark.filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+def bm25(t, n=None):
+    """Scores for the benchmark items with an id below ``n``, or all."""
+    items = t.benchmark if n is None else t.benchmark.filter(F.col("item_id") < n)
+    return R.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
-def dense_scores(t, n):
-    q = t.embeddings.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+def dense_scores(t, n=None):
+    """Scores for the vectors with an id below ``n``, or for those of all benchmark items."""
+    items = t.benchmark.select(F.col("item_id").alias("vec_id")).distinct()
+    q = (t.embeddings.join(items, "vec_id", "left_semi") if n is None else t.embeddings.filter(F.col("vec_id") < n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     pairs = t.embeddings.crossJoin(core.small(q))
     return pairs.select("query_id", F.col("vec_id").alias("id"), F.round(N.cosine(F.col("qv"), F.col("embedding"), 0.0), 8).alias("score"))
 
@@ -488,7 +492,7 @@ def _(t):
 
 @add("ret2_bm25_topk", "WITH " + BM25.format(n=1000) + f" SELECT query_id, id, round(score, 8) AS score, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10")
 def _(t):
-    return R.top(rounded(bm25(t, 1000)), 10)
+    return R.top(rounded(bm25(t)), 10)
 
 
 @add("ret3_dense_topk", "WITH " + DENSE.format(n=20) + f" SELECT query_id, id, score, {TOP} AS rank FROM v QUALIFY {TOP} <= 10")
@@ -507,7 +511,7 @@ HYBRID = f"""l AS (SELECT query_id, id, {NORM} AS x FROM (SELECT query_id, id, r
   h AS (SELECT coalesce(l.query_id, m.query_id) AS query_id, coalesce(l.id, m.id) AS id, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 8) AS score FROM l FULL JOIN m ON l.query_id = m.query_id AND l.id = m.id)"""
 
 
-def hybrid(t, n, k=10):
+def hybrid(t, n=None, k=10):
     both = R.hybrid(rounded(bm25(t, n)), dense_scores(t, n), 2 * k)
     return core.first_n(rounded(both.drop("rank")), ["query_id"], [F.desc("score"), F.col("id")], k)
 
@@ -532,7 +536,7 @@ def _(t):
 
 @add("ret8_rerank")
 def _(t):
-    top = R.top(rounded(bm25(t, 20)), 15)
+    top = R.top(rounded(bm25(t)), 15)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     both = top.join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
     return R.rerank(both, R.lexical_overlap(F.col("query"), F.col("text")), 5).select("query_id", "id", "score", "rank")
@@ -562,18 +566,18 @@ def relevant(t):
   g AS (SELECT rel.query_id, count(DISTINCT rel.id) AS n, min(r.rank) AS first, count(r.rank) AS hits, coalesce(sum(1 / log2(r.rank + 1)), 0) AS dcg FROM rel LEFT JOIN r ON rel.query_id = r.query_id AND rel.id = r.id GROUP BY 1)
   SELECT query_id, round(coalesce(1 / first, 0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, hits / 10 AS precision, round(hits / n, 6) AS recall FROM g""")
 def _(t):
-    q = R.quality(R.top(rounded(bm25(t, 1000)), 10), relevant(t), 10)
+    q = R.quality(R.top(rounded(bm25(t)), 10), relevant(t), 10)
     return q.select("query_id", *[F.round(c, 6).alias(c) for c in ("mrr", "ndcg", "precision", "recall")])
 
 
-def method_report(t, n=20, k=10):
-    """Mean quality of four retrieval methods over the same queries."""
-    rel = relevant(t).filter(F.col("query_id") < n)
-    lex = rounded(bm25(t, n))
+def method_report(t, k=10):
+    """Mean quality of four retrieval methods over all benchmark items."""
+    rel = relevant(t)
+    lex = rounded(bm25(t))
     first = R.top(lex, 3 * k)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     pairs = first.join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
-    methods = {"bm25": R.top(lex, k), "semantic": core.first_n(dense_scores(t, n), ["query_id"], [F.desc("score"), F.col("id")], k), "hybrid": hybrid(t, n, k), "rerank": R.rerank(pairs, R.lexical_overlap(F.col("query"), F.col("text")), k)}
+    methods = {"bm25": R.top(lex, k), "semantic": core.first_n(dense_scores(t), ["query_id"], [F.desc("score"), F.col("id")], k), "hybrid": hybrid(t, k=k), "rerank": R.rerank(pairs, R.lexical_overlap(F.col("query"), F.col("text")), k)}
     out = None
     for name, ranked in methods.items():
         one = R.quality(ranked.select("query_id", "id", "rank"), rel, k).select(F.lit(name).alias("method"), "mrr", "ndcg", "precision", "recall")
@@ -584,7 +588,7 @@ def method_report(t, n=20, k=10):
 @add("ret12_sweep")
 def _(t):
     """Chunk size by mean reciprocal rank of the containing chunk; the best one is marked."""
-    q = t.benchmark.filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     out = None
     for size in (100, 200, 400):
         c = K.word_windows(t.documents.select("doc_id", "text"), size=size, overlap=size // 10)

@@ -1,5 +1,6 @@
 """Queries without an SQL form, or whose SQL covers less: every row of the tables gets its result."""
 
+import pandas as pd
 import pytest
 
 from millrace.plans import catalogue
@@ -39,3 +40,28 @@ def test_every_account_gets_decisions(spark, sf_dir, name):
     want = [x for a in by for x in _decided(by[a], name == "ldg4_admit_short")]
     assert [r.reason for r in got] == [w[0] for w in want]
     assert [r.balance_after for r in got] == pytest.approx([w[1] for w in want])
+
+
+@pytest.fixture(scope="module")
+def texts_dir(tmp_path_factory):
+    """24 benchmark items found in one document each, and item 5000 in twelve."""
+    d = tmp_path_factory.mktemp("texts")
+    ids = [*range(24), 5000]
+    items = {i: " ".join(f"w{i}x{j}" for j in range(12)) for i in ids}
+    docs = [f"start {items[i]} end" for i in ids for _ in range(12 if i == 5000 else 1)]
+    pd.DataFrame({"item_id": ids, "text": list(items.values())}).to_parquet(d / "benchmark.parquet")
+    pd.DataFrame({"doc_id": range(len(docs)), "text": docs, "lang": "en", "source": "s", "n_chars": [len(x) for x in docs]}).to_parquet(d / "documents.parquet")
+    pd.DataFrame({"vec_id": ids, "label": 0, "embedding": [[float(i % 5), 1.0] for i in ids]}).to_parquet(d / "embeddings.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["ret2_bm25_topk", "ret8_rerank", "ret11_metrics"])
+def test_every_item_is_searched(spark, texts_dir, name):
+    assert {r.query_id for r in Q[name](spark, texts_dir).collect()} == {*range(24), 5000}
+
+
+def test_quality_counts_searched_items(spark, texts_dir):
+    assert {r.query_id: (r.mrr, round(r.recall, 3)) for r in Q["ret11_metrics"](spark, texts_dir).collect()} == {**{i: (1.0, 1.0) for i in range(24)}, 5000: (1.0, 0.833)}
+    assert {r["size"]: r.mrr for r in Q["ret12_sweep"](spark, texts_dir).collect()} == {100: 1.0, 200: 1.0, 400: 1.0}
+    got = {r.method: r for r in Q["ret13_method_report"](spark, texts_dir).collect()}
+    assert (got["bm25"].mrr, got["bm25"].recall) == (1.0, round((24 + 10 / 12) / 25, 3))

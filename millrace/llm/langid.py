@@ -178,21 +178,21 @@ def decide(model: Model, m: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 
 def sample(docs: DataFrame, usable: Column, text_col: str, lang_col: str) -> pd.DataFrame:
-    """The bounded training sample: whole texts of at most SAMPLE_ROWS rows in all, shared evenly by the languages.
+    """The bounded training sample: at most SAMPLE_ROWS distinct whole texts in all, shared evenly by the languages.
 
-    Rows with the smallest hash of their text are taken. Only rows whose hash lies below a share that leaves about
+    Texts with the smallest hash are taken; copies count once. Only texts whose hash lies below a share that leaves about
     four times the bound are ranked, so no task ever sees a whole hot language.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.withColumn("__h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).toPandas()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__h").alias("m")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).toPandas()
     if not len(sizes):
         return pd.DataFrame({"text": [], "lang": []})
     each = SAMPLE_ROWS // len(sizes)
-    below = {r.lang: int((1 << 40) * min(1.0, 4 * each / r.n)) for r in sizes.itertuples()}  # at most MAX_LANGS entries
+    below = {r.lang: int((1 << 40) * min(1.0, 4 * each / max(r.m, 1))) for r in sizes.itertuples()}  # at most MAX_LANGS entries
     cut = F.create_map(*[F.lit(v) for kv in below.items() for v in kv])
-    near = rows.filter(F.col("__h") < cut[F.col("lang")])
+    near = rows.filter(F.col("__h") < cut[F.col("lang")]).distinct()  # copies of a text meet before the shuffle
     order = Window.partitionBy("lang").orderBy("__h", "text")
     chosen = near.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= each)
     return chosen.select("text", "lang", "__r").toPandas().sort_values(["lang", "__r"])[["text", "lang"]]

@@ -307,3 +307,12 @@ def test_pipeline_stages(spark, sf_dir, docs_of):
     assert set(rows) <= set(before)
     for _, stage in p.STAGES:
         assert stage(spark, docs_of([None, "", "x y z"]).limit(0), sf_dir).count() == 0
+
+
+def test_language_sample_takes_a_text_once(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 40)
+    texts = spark.createDataFrame([(f"text number {i} of many",) for i in range(200)], "text string")
+    first = texts.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 40))).first().text
+    docs = docs_of([r.text for r in texts.collect()] + [first] * 2000)
+    got = langid.sample(docs, F.lit(True), "text", "lang")
+    assert len(got) == 40 and got["text"].nunique() == 40 and first in set(got["text"])

@@ -174,7 +174,7 @@ def human_size(n: Column) -> Column:
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("long")))
         .when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / 1024.0, 1)))
-        .otherwise(F.format_string("%.1f MB", F.bround(n / (1024.0 * 1024.0), 1)))
+        .when(n.isNotNull(), F.format_string("%.1f MB", F.bround(n / (1024.0 * 1024.0), 1)))
     )
 
 

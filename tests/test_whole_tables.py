@@ -65,3 +65,12 @@ def test_quality_counts_searched_items(spark, texts_dir):
     assert {r["size"]: r.mrr for r in Q["ret12_sweep"](spark, texts_dir).collect()} == {100: 1.0, 200: 1.0, 400: 1.0}
     got = {r.method: r for r in Q["ret13_method_report"](spark, texts_dir).collect()}
     assert (got["bm25"].mrr, got["bm25"].recall) == (1.0, round((24 + 10 / 12) / 25, 3))
+
+
+def test_long_documents(spark, tmp_path):
+    texts = ["short", "line of text\n" * 200 + "## **end** of it\n| x | y |\nlast", None]
+    sizes = pd.array([5, 3 * 1024 * 1024, None], dtype="Int64")
+    pd.DataFrame({"doc_id": range(3), "text": texts, "lang": "en", "source": "s", "n_chars": sizes}).to_parquet(tmp_path / "documents.parquet")
+    assert {r.doc_id: r["size"] for r in Q["str12_human_size"](spark, str(tmp_path)).collect()} == {0: "5 B", 1: "3.0 MB", 2: None}
+    plain = {r.doc_id: r.plain for r in Q["str30_markdown"](spark, str(tmp_path)).collect()}
+    assert plain[1].endswith("line of text\nend of it\n\nlast") and plain[0].endswith("short") and plain[2] is None

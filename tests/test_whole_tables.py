@@ -74,3 +74,9 @@ def test_long_documents(spark, tmp_path):
     assert {r.doc_id: r["size"] for r in Q["str12_human_size"](spark, str(tmp_path)).collect()} == {0: "5 B", 1: "3.0 MB", 2: None}
     plain = {r.doc_id: r.plain for r in Q["str30_markdown"](spark, str(tmp_path)).collect()}
     assert plain[1].endswith("line of text\nend of it\n\nlast") and plain[0].endswith("short") and plain[2] is None
+
+
+def test_answers_are_scored_against_every_item(spark, texts_dir):
+    got = {(r.doc_id, r.item_id): r.relevance for r in Q["mth10_answer_score"](spark, texts_dir).collect()}
+    assert set(got) == {(d, i) for d in range(36) for i in [*range(24), 5000]}
+    assert got[30, 5000] == round(12 / 14, 3) and got[30, 23] == 0

@@ -45,6 +45,17 @@ def is_trading_day(day: Column) -> Column:
     return (F.weekday(day) < 5) & ~F.array_contains(holiday, F.month(day) * 100 + F.dayofmonth(day))
 
 
+def market_open(ts: Column) -> Column:
+    """Whether the market trades at a moment: a trading day, from 09:30 and before 16:00."""
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    return is_trading_day(F.to_date(ts)) & (minute >= 570) & (minute < 960)
+
+
+def epoch_iso(epoch: Column) -> Column:
+    """Epoch seconds as ISO text in UTC; the session's zone is UTC."""
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def next_on_weekday(day: Column, weekday: int) -> Column:
     """First date from ``day`` on (itself counts) with that weekday, Monday = 0."""
     return F.date_add(day, F.pmod(F.lit(weekday) - F.weekday(day), F.lit(7)).cast("int"))

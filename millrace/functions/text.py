@@ -38,6 +38,14 @@ TONES = (
     ("Negative", ("sad", "terrible", "worst", "angry")),
     ("Polite", ("please", "kindly", "thank")),
 )
+# Frequent words by which a short text's language is told.
+STOP_WORDS = {
+    "en": ("the", "of", "and", "to", "is", "that"),
+    "fr": ("le", "les", "et", "des", "une", "est"),
+    "de": ("der", "die", "das", "und", "nicht", "ist"),
+    "es": ("el", "los", "las", "y", "una", "es"),
+}
+# Patterns and character entities.
 ERROR_PATTERN = "ERROR|FATAL|Exception|Traceback"
 EMAIL_EXACT = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -228,6 +236,16 @@ def markdown_plain(c: Column) -> Column:
     return F.regexp_replace(F.replace(t, F.lit("<br/>"), F.lit("\n")), r"(?U)^\s+|\s+$", "")
 
 
+def stop_word_language(c: Column) -> Column:
+    """Language with the most stop words among a text's tokens (the first listed on ties); ``und`` without any."""
+    words, out, best = tokens(c), F.lit("und"), F.lit(0)
+    held = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+    for lang, listed in STOP_WORDS.items():
+        n = held(listed)
+        out, best = F.when(n > best, lang).otherwise(out), F.greatest(n, best)
+    return out
+
+
 def replace_all(c: Column, pairs) -> Column:
     """Literal replacements in the given order."""
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)

@@ -2,33 +2,64 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.fold import fold
+from millrace.session import materialise
+
+
+def _timed(requests: DataFrame, user: str, ts: str) -> DataFrame:
+    return requests.select(F.col(user).alias("who"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+
 
 def admit_rate(requests: DataFrame, user: str, ts: str, most: int, window_seconds: float) -> DataFrame:
     """Sliding-window limiter: a request passes while fewer than ``most`` *admitted* ones are younger than the window;
-    refused ones are not remembered. An ordered fold per user that keeps only the last ``most`` admitted times."""
-    g = requests.groupBy(user).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("ts"))
-    w = int(window_seconds * 1_000_000)
-    step = f"""transform(array(size(filter(s.last, x -> t - x < {w}))), n -> named_struct(
-        'last', if(n < {most}, slice(concat(array(t), s.last), 1, {most}), s.last),
-        'out', array_append(s.out, named_struct('t', t, 'admitted', n < {most}))))[0]"""
-    zero = "named_struct('last', cast(array() as array<bigint>), 'out', cast(array() as array<struct<t:bigint,admitted:boolean>>))"
-    out = g.select(user, F.inline(F.expr(f"aggregate(ts, {zero}, (s, t) -> {step}, s -> s.out)")))
-    return out.select(user, F.timestamp_micros("t").alias(ts), "admitted")
+    refused ones are not remembered. An ordered fold per user that keeps the last ``most`` admitted times; a request
+    without a time is refused."""
+    width = int(window_seconds * 1_000_000)
+
+    def fresh():
+        last = deque()
+
+        def step(t):
+            while t is not None and last and t - last[0] >= width:
+                last.popleft()
+            ok = t is not None and len(last) < most
+            if ok:
+                last.append(t)
+            return (ok,)
+
+        return step
+
+    out = fold(_timed(requests, user, ts), ["who"], ["at"], ["at"], fresh, "admitted boolean")
+    return out.select(F.col("who").alias(user), F.timestamp_micros("at").alias(ts), "admitted")
 
 
 def admit_cooldown(requests: DataFrame, user: str, ts: str, cooldown: int = 60, cap: int = 2) -> DataFrame:
     """A request passes if the user's last admitted one is ``cooldown`` whole seconds away and fewer than ``cap`` were
-    admitted in all; ``reason`` is ``cooldown``, ``cap`` or null."""
-    g = requests.groupBy(user).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("ts"))
-    step = f"""transform(array(CASE WHEN s.n > 0 AND cast({cooldown} - (t - s.last) / 1000000.0D as int) > 0 THEN 'cooldown'
-          WHEN s.n >= {cap} THEN 'cap' END), w -> named_struct('last', if(w IS NULL, t, s.last), 'n', s.n + if(w IS NULL, 1, 0),
-          'out', array_append(s.out, named_struct('t', t, 'reason', w))))[0]"""
-    zero = "named_struct('last', 0L, 'n', 0, 'out', cast(array() as array<struct<t:bigint,reason:string>>))"
-    out = g.select(user, F.inline(F.expr(f"aggregate(ts, {zero}, (s, t) -> {step}, s -> s.out)")))
-    return out.select(user, F.timestamp_micros("t").alias(ts), "reason")
+    admitted in all; ``reason`` is ``cooldown``, ``cap``, ``time`` (a request without one) or null."""
+
+    def fresh():
+        last, n = 0, 0
+
+        def step(t):
+            nonlocal last, n
+            if t is None:
+                return ("time",)
+            if n and int(cooldown - (t - last) / 1_000_000) > 0:
+                return ("cooldown",)
+            if n >= cap:
+                return ("cap",)
+            last, n = t, n + 1
+            return (None,)
+
+        return step
+
+    out = fold(_timed(requests, user, ts), ["who"], ["at"], ["at"], fresh, "reason string")
+    return out.select(F.col("who").alias(user), F.timestamp_micros("at").alias(ts), "reason")
 
 
 def daily_quota(requests: DataFrame, user: str, ts: str, most: int = 10) -> DataFrame:
@@ -54,16 +85,20 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
     )
 
 
-def span_tree(spans: DataFrame, depth: int = 64) -> DataFrame:
-    """``span_id, parent_id, root_id, level``: a missing parent makes a root. One join per level until none is left."""
-    ids = spans.select(F.col("span_id").alias("__p"))
-    s = spans.join(ids, F.col("parent_id") == F.col("__p"), "left").withColumn("parent_id", F.col("__p")).drop("__p")
-    out = s.filter("parent_id IS NULL").select("span_id", "parent_id", F.col("span_id").alias("root_id"), F.lit(0).alias("level"))
-    last = out
-    for level in range(1, depth):
-        up = last.select(F.col("span_id").alias("__p"), "root_id")
-        last = s.join(up, F.col("parent_id") == F.col("__p")).select("span_id", "parent_id", "root_id", F.lit(level).alias("level"))
-        if last.isEmpty():
+def span_tree(spans: DataFrame) -> DataFrame:
+    """``span_id, parent_id, root_id, level``: a missing parent makes a root. Span ids are unique.
+
+    Pointer doubling: every span first points to its parent, then to what that points to, so a tree of any depth takes the
+    logarithm of its depth in joins, each written out. Spans on or below a cycle have no root and are left out.
+    """
+    ids = spans.select(F.col("span_id").alias("p"))
+    s = spans.select("span_id", "parent_id").join(ids, F.col("parent_id") == F.col("p"), "left").select("span_id", F.col("p").alias("parent_id"))
+    level = F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long")
+    now, _ = materialise(s.select("*", F.coalesce("parent_id", "span_id").alias("root_id"), level.alias("level"), F.lit(True).alias("open")), "tree")
+    for _ in range(now.count().bit_length() + 1):
+        up = now.select(F.col("span_id").alias("at"), F.col("root_id").alias("above"), F.col("level").alias("more"))
+        on = now.join(up, F.col("root_id") == F.col("at"))
+        now, _ = materialise(on.select("span_id", "parent_id", F.col("above").alias("root_id"), (F.col("level") + F.col("more")).alias("level"), (F.col("more") > 0).alias("open")), "tree")
+        if now.filter("open").isEmpty():
             break
-        out = out.unionByName(last)
-    return out
+    return now.filter("NOT open").select("span_id", "parent_id", "root_id", F.col("level").cast("int").alias("level"))

@@ -7,13 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import with_row_index
+
 BROADCAST_BYTES = 64 << 20
+#: Blocks that a query set beyond that size meets the rows in.
+BLOCKS = 256
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is below BROADCAST_BYTES."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint if the optimizer's size estimate is below BROADCAST_BYTES; otherwise left to AQE."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
+    """Broadcast hint where the size estimate allows it; otherwise left to AQE."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def with_each(rows: DataFrame, queries: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """All rows beside every row of a stated query set. A set too large to broadcast meets the rows in blocks: a row goes to
+    one block, the queries to all of them."""
+    if is_small(queries):
+        return rows.crossJoin(F.broadcast(queries))
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(blocks)))
+    asked = queries.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.join(asked, "__block").drop("__block")
 
 
 def where(df: DataFrame, **equal) -> DataFrame:
@@ -83,9 +101,9 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(queries: DataFrame, names: DataFrame, query: str, name: str, least: float = 80, top: int = 3) -> DataFrame:
-    """Best ``top`` names of at least ``least`` similarity for every query; ``names`` is a size-checked lookup list."""
+    """Best ``top`` names of at least ``least`` similarity for every query; ``names`` is a lookup list."""
     q = queries.select(query).distinct()
-    pairs = q.crossJoin(small(names.select(name).distinct())).withColumn("score", token_sort_ratio(F.col(query), F.col(name)))
+    pairs = with_each(q, names.select(name).distinct()).withColumn("score", token_sort_ratio(F.col(query), F.col(name)))
     return first_n(pairs.filter(F.col("score") >= least), [query], [F.desc("score"), F.col(name)], top)
 
 
@@ -99,9 +117,12 @@ def missing(df: DataFrame) -> DataFrame:
 
 
 def distinct(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """``column, n_distinct``: distinct non-null values; sketches where ``approximate``."""
-    f = F.approx_count_distinct if approximate else F.countDistinct
-    return _long(df.select(*[f(c).alias(c) for c in df.columns]), df.columns, "n_distinct")
+    """``column, n_distinct``: distinct non-null values; sketches where ``approximate``. Exact counts shuffle a column at a
+    time, each distinct value of a task once."""
+    if approximate:
+        return _long(df.select(*[F.approx_count_distinct(c).alias(c) for c in df.columns]), df.columns, "n_distinct")
+    one = lambda c: df.select(F.col(c).alias("v")).filter("v IS NOT NULL").distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
+    return reduce(DataFrame.unionByName, [one(c).select(F.lit(c).alias("column"), "n_distinct") for c in df.columns])
 
 
 def _long(one_row: DataFrame, columns, value: str) -> DataFrame:
@@ -120,6 +141,25 @@ def leakage_candidates(columns: list[str], target: str | None = None) -> list[st
     return [c for c in columns if hit(c.lower())]
 
 
+#: The sentences of an audit and the steps of a cleaning plan, which users compare word for word.
+ADVICE = {
+    "missing": "Address missing values.",
+    "duplicates": "Remove duplicate rows.",
+    "constant": "Consider removing constant columns: {}",
+    "high": "Review high-cardinality columns: {}",
+    "imbalance": "Imbalanced classes detected in target. Consider resampling or generating synthetic data.",
+    "leakage": "Evaluate potential leakage candidates: {}",
+}
+STEPS = {
+    "missing": ("Impute missing values", "To maintain data integrity and usability."),
+    "duplicates": ("Remove duplicates", "To ensure each record is unique and valid."),
+    "constant": ("Remove constant columns: {}", "To reduce redundancy and improve model performance."),
+    "high": ("Consider handling high cardinality columns: {}", "To prevent overfitting and improve interpretability."),
+    "imbalance": ("Resample or synthesize data", "To address class imbalance and improve model training."),
+    "leakage": ("Evaluate leakage candidates: {}", "To prevent data leakage in future model scoring."),
+}
+
+
 def audit(df: DataFrame, target: str | None = None, imbalance: float = 0.2) -> dict:
     """Dataset audit as a dict of small facts: sizes, missing, duplicates, distinct, constant and high-cardinality
     columns, class counts and imbalance, leakage candidates, recommendations."""
@@ -135,37 +175,58 @@ def audit(df: DataFrame, target: str | None = None, imbalance: float = 0.2) -> d
         worst = balance.agg(F.min("share").alias("s")).first()["s"]
         classes, skewed = balance, worst is not None and worst < imbalance
     leaks = leakage_candidates(df.columns, target)
-    advice = [
-        ("Address missing values.", any(lost.values())),
-        ("Remove duplicate rows.", extra > 0),
-        (f"Consider removing constant columns: {constant}", constant),
-        (f"Review high-cardinality columns: {high}", high),
-        ("Imbalanced classes detected in target. Consider resampling or generating synthetic data.", skewed),
-        (f"Evaluate potential leakage candidates: {leaks}", leaks),
-    ]
+    found = {"missing": any(lost.values()), "duplicates": extra > 0, "constant": constant, "high": high, "imbalance": skewed, "leakage": leaks}
     return {
         "rows": n, "columns": len(df.columns), "types": dict(df.dtypes), "missing": lost, "duplicates": extra, "distinct": unique, "constant": constant,
-        "high_cardinality": high, "classes": classes, "imbalanced": skewed, "leakage": leaks, "advice": [a for a, on in advice if on],
+        "high_cardinality": high, "classes": classes, "imbalanced": skewed, "leakage": leaks, "found": found,
+        "advice": [ADVICE[k].format(v) for k, v in found.items() if v],
     }
 
 
+def cleaning_plan(report: dict) -> list[tuple[str, str]]:
+    """(step, reason) for everything that an audit found, in the order in which steps are taken."""
+    name = lambda v: ", ".join(v) if isinstance(v, list) else ""
+    return [(STEPS[k][0].format(name(v)), STEPS[k][1]) for k, v in report["found"].items() if v]
+
+
+def cleaned(df: DataFrame, report: dict) -> DataFrame:
+    """The plan's steps applied: impute, remove duplicates, remove constant columns; the others only advise."""
+    out = impute(df) if report["found"]["missing"] else df
+    out = out.dropDuplicates() if report["found"]["duplicates"] else out
+    return out.drop(*report["found"]["constant"])
+
+
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     counts = df.filter(F.col(target).isNotNull()).groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
     return counts.crossJoin(F.broadcast(total)).select("class", "n", (F.col("n") / F.col("t")).alias("share"))  # one row
 
 
+def _median(df: DataFrame, c: str, kind: str) -> DataFrame:
+    """One row with the exact median: the middle of a range-partitioned order, so no task holds all values."""
+    values = df.filter(F.col(c).isNotNull()).select(F.col(c).alias("v"))
+    n = values.count()
+    middle = with_row_index(values, "v").filter(F.col("row_nr").isin((n - 1) // 2, n // 2))
+    return middle.agg(F.avg("v").cast(kind).alias("v"))
+
+
+def _mode(df: DataFrame, c: str) -> DataFrame:
+    counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "v").limit(1).agg(F.first("v").alias("v"))
+
+
 def impute(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Numeric nulls become the median, other nulls the most frequent value (the smallest on ties, false for an empty
-    boolean column). One pass gathers all fill values."""
+    boolean column). Each fill value is one row, found by sorted or counted partitions."""
     columns = columns or df.columns
     kinds = dict(df.dtypes)
     number = lambda c: kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")
-    fill = lambda c: F.median(c).cast(kinds[c]) if number(c) else F.mode(c, True)
-    values = df.select(*[fill(c).alias(f"__{c}") for c in columns])
-    joined = df.crossJoin(F.broadcast(values))  # one row
     rest = lambda c: [F.lit(False)] if kinds[c] == "boolean" else []
-    return joined.select(*[F.coalesce(c, f"__{c}", *rest(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    out = df
+    for c in columns:
+        fill = _median(df, c, kinds[c]) if number(c) else _mode(df, c)
+        out = out.crossJoin(F.broadcast(fill.withColumnRenamed("v", f"__{c}")))  # one row
+    return out.select(*[F.coalesce(c, f"__{c}", *rest(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def clean(df: DataFrame, drop_constant: bool = True) -> DataFrame:

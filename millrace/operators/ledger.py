@@ -1,14 +1,17 @@
-"""Ledger operators. State that one decision hands to the next is an ordered fold over a key's rows: rows are sorted
-into an array per key and folded by ``aggregate`` inside Catalyst; each key is its own group and bounded by one account
-(or one account and symbol)."""
+"""Ledger operators. State that one decision hands to the next is an ordered fold: a sorted stream of a key's rows, one
+state at a time, so an account of any length costs as many steps as it has rows."""
 
 from __future__ import annotations
 
+import decimal
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import SPREAD
 from millrace.operators.core import lookup
+from millrace.operators.fold import fold
 
 MIN_SHORT = -1000.0
 
@@ -42,55 +45,77 @@ def running_position(trades: DataFrame, order: list) -> DataFrame:
 
 def average_cost(trades: DataFrame, order: list[str], by: tuple[str, ...] = ("account", "symbol")) -> DataFrame:
     """Moving-average cost with realised profit, quantised half-even at every step; sells beyond the position are
-    rejected and change nothing. Returns ``<by>, <order>, side, quantity, price, accepted, position_after,
-    avg_cost_after, realized``."""
+    rejected and change nothing, and so are trades without a quantity or price. Returns ``<by>, <order>, side, quantity,
+    price, accepted, position_after, avg_cost_after, realized``."""
     own = [c for c in order if c not in by]
-    q, m = "decimal(28,8)", "decimal(28,2)"
-    row = F.struct(*own, "side", F.col("quantity").cast(q).alias("q"), F.col("price").cast("decimal(28,4)").alias("p"))
-    groups = trades.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    out = f"struct<{', '.join(f'{c}:{trades.schema[c].dataType.simpleString()}' for c in own)},side:string,quantity:{q},price:decimal(28,4),accepted:boolean,position_after:{q},avg_cost_after:{m},realized:{m}>"
-    zero = f"named_struct('pos', cast(0 as {q}), 'cost', cast(0 as decimal(28,4)), 'out', cast(array() as array<{out}>))"
-    avg = lambda cost, pos: f"if({pos} = 0, cast(0 as {m}), cast(bround({cost} / {pos}, 2) as {m}))"
-    fields = ", ".join(f"'{c}', r.{c}" for c in own)
-    # Three nested one-element transforms name intermediate values: sold cost, then the state after, then the record.
-    step = f"""transform(transform(array(named_struct(
-          'ok', r.side = 'buy' OR r.q <= s.pos,
-          'part', if(r.side = 'buy', cast(0 as {m}), cast(bround({avg('s.cost', 's.pos')} * r.q, 2) as {m})))),
-        t -> named_struct('ok', t.ok,
-          'pos', cast(if(t.ok, if(r.side = 'buy', s.pos + r.q, s.pos - r.q), s.pos) as {q}),
-          'cost', cast(if(t.ok, if(r.side = 'buy', s.cost + r.q * r.p, if(s.pos = r.q, 0, bround(s.cost - t.part, 2))), s.cost) as decimal(28,4)),
-          'real', cast(if(t.ok AND r.side = 'sell', bround(r.q * r.p - t.part, 2), 0) as {m}))),
-        u -> named_struct('pos', u.pos, 'cost', u.cost, 'out', array_append(s.out, cast(named_struct({fields}, 'side', r.side,
-          'quantity', r.q, 'price', r.p, 'accepted', u.ok, 'position_after', u.pos, 'avg_cost_after', {avg('u.cost', 'u.pos')},
-          'realized', u.real) as {out}))))[0]"""
-    folded = F.expr(f"aggregate(rows, {zero}, (s, r) -> {step}, s -> s.out)")
-    return groups.select(*by, F.inline(folded))
+    rows = trades.select(*by, *own, "side", F.col("quantity").cast("decimal(28,8)").alias("quantity"), F.col("price").cast("decimal(28,4)").alias("price"))
+
+    def fresh():
+        decimal.setcontext(decimal.Context(prec=60))  # beyond any product of the columns
+        cents, parts, units = Decimal("0.01"), Decimal("0.0001"), Decimal("0.00000001")
+        held, cost = Decimal(0), Decimal(0)
+        even = lambda x: x.quantize(cents, decimal.ROUND_HALF_EVEN)
+        mean = lambda: even(cost / held) if held else Decimal("0.00")
+
+        def step(side, q, p):
+            nonlocal held, cost
+            gain, ok = Decimal("0.00"), q is not None and p is not None and (side == "buy" or q <= held)
+            if ok and side == "buy":
+                held, cost = held + q, (cost + q * p).quantize(parts, decimal.ROUND_HALF_UP)
+            elif ok:
+                part = even(mean() * q)
+                gain = even(q * p - part)
+                held, cost = held - q, Decimal(0) if held == q else even(cost - part)
+            return ok, held.quantize(units), mean(), gain
+
+        return step
+
+    adds = "accepted boolean, position_after decimal(28,8), avg_cost_after decimal(28,2), realized decimal(28,2)"
+    return fold(rows, list(by), [*own, "side", "quantity", "price"], ["side", "quantity", "price"], fresh, adds)
 
 
 def admit_funds(trades: DataFrame, order: list[str], opening: float = 10_000.0, short: bool = False) -> DataFrame:
     """Which trades an account accepts, one after another: a buy at price * (1 + spread) needs the cash and a known
     price, a sell at price * (1 - spread) needs the holding (or, where ``short``, that holding * price is above
-    MIN_SHORT). Returns ``account, <order>, reason, balance_after``; an accepted trade has a null reason."""
+    MIN_SHORT). Returns ``account, <order>, reason, balance_after``; an accepted trade has a null reason. A null price
+    counts as 0."""
     own = [c for c in order if c != "account"]
-    row = F.struct(*own, F.col("side"), F.col("quantity").cast("double").alias("q"), F.col("price").cast("double").alias("p"), *([] if "symbol" in own else ["symbol"]))
-    groups = trades.groupBy("account").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    fields = [f"{c}:{trades.schema[c].dataType.simpleString()}" for c in own]
-    out = f"struct<{', '.join(fields)},reason:string,balance_after:double>"
-    sym = trades.schema["symbol"].dataType.simpleString()
-    held = "coalesce(try_element_at(s.held, r.symbol), 0D)"
-    refuse = f"{held} * r.p <= {MIN_SHORT}" if short else f"{held} < r.q"
-    buy, sell = f"r.p * {1 + SPREAD}", f"r.p * {1 - SPREAD}"
-    step = f"""transform(array(CASE WHEN r.q <= 0 OR r.q IS NULL THEN 'quantity'
-          WHEN r.side = 'buy' AND {buy} * r.q > s.cash THEN 'funds' WHEN r.side = 'buy' AND r.p = 0 THEN 'symbol'
-          WHEN r.side = 'sell' AND {refuse} THEN 'holdings' END),
-        w -> named_struct(
-          'cash', s.cash + if(w IS NOT NULL, 0D, if(r.side = 'buy', -{buy} * r.q, {sell} * r.q)),
-          'held', if(w IS NOT NULL, s.held, map_concat(map_filter(s.held, (k, v) -> k <> r.symbol),
-                    map(r.symbol, {held} + if(r.side = 'buy', r.q, -r.q)))),
-          'out', array_append(s.out, cast(named_struct({', '.join(f"'{c}', r.{c}" for c in own)}, 'reason', w, 'balance_after',
-                    s.cash + if(w IS NOT NULL, 0D, if(r.side = 'buy', -{buy} * r.q, {sell} * r.q))) as {out}))))[0]"""
-    zero = f"named_struct('cash', cast({opening} as double), 'held', cast(map() as map<{sym},double>), 'out', cast(array() as array<{out}>))"
-    return groups.select("account", F.inline(F.expr(f"aggregate(rows, {zero}, (s, r) -> {step}, s -> s.out)")))
+    cols = list(dict.fromkeys(["account", *own, "symbol", "side"]))
+    rows = trades.select(*cols, F.col("quantity").cast("double").alias("quantity"), F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"))
+
+    def fresh():
+        cash, held = opening, {}
+
+        def step(side, symbol, q, p):
+            nonlocal cash
+            have, reason = held.get(symbol, 0.0), None
+            buy, sell = p * (1 + SPREAD), p * (1 - SPREAD)
+            if q is None or q <= 0:
+                reason = "quantity"
+            elif side == "buy":
+                reason = "funds" if buy * q > cash else "symbol" if p == 0 else None
+            elif side == "sell" and (have * p <= MIN_SHORT if short else have < q):
+                reason = "holdings"
+            if reason is None:
+                cash += -buy * q if side == "buy" else sell * q
+                held[symbol] = have + (q if side == "buy" else -q)
+            return reason, cash
+
+        return step
+
+    reads = ["side", "symbol", "quantity", "price"]
+    return fold(rows, ["account"], [*own, "side", "quantity", "price"], reads, fresh, "reason string, balance_after double", ["account", *own])
+
+
+def unrealised(positions: DataFrame, prices: DataFrame, strict: bool = False) -> DataFrame:
+    """``positions`` (account, symbol, quantity, avg_cost) with ``price, market_value, unrealized``, quantised half-even at every
+    step. A symbol without a price has price 0, so its whole cost is lost; where ``strict`` it fails the query."""
+    p = prices.select(F.col("symbol").alias("of"), F.col("price").cast("decimal(18,2)").alias("price"))
+    joined = positions.join(p, F.col("symbol") == F.col("of"), "left").drop("of")
+    price = F.coalesce("price", F.raise_error(F.lit("no price")).cast("decimal(18,2)") if strict else F.lit(Decimal("0.00")))
+    worth = lambda c: F.bround(F.col("quantity").cast("decimal(18,4)") * c, 2).cast("decimal(28,2)")
+    priced = joined.withColumn("price", price.cast("decimal(18,2)"))
+    return priced.withColumn("market_value", worth(F.col("price"))).withColumn("unrealized", worth(F.col("price") - F.col("avg_cost").cast("decimal(18,2)")))
 
 
 def report(profits: DataFrame) -> DataFrame:
@@ -106,16 +131,25 @@ def merge_items(items: DataFrame, order: list) -> DataFrame:
 
 
 def stock_after(moves: DataFrame, stock: DataFrame, order: list) -> DataFrame:
-    """Sales of a product as long as the running total fits its stock; from the first that does not, refused sales are
-    left out of the total by a fold. Returns ``product, <order>, quantity, accepted, left``."""
+    """Sales of a product as long as the running total of accepted ones fits its stock; a refused sale takes nothing.
+    Returns ``product, <order>, quantity, accepted, left``. A product without stock has 0; a null quantity is refused."""
     own = [c for c in order if c != "product"]
-    g = moves.groupBy("product").agg(F.array_sort(F.collect_list(F.struct(*own, F.col("quantity").cast("double").alias("q")))).alias("rows"))
-    g = g.join(stock, "product", "left").withColumn("on_hand", F.coalesce(F.col("on_hand").cast("double"), F.lit(0.0)))
-    kinds = ", ".join(f"{c}:{moves.schema[c].dataType.simpleString()}" for c in own)
-    out = f"struct<{kinds},quantity:double,accepted:boolean,left:double>"
-    step = f"""named_struct('n', if(r.q <= s.n, s.n - r.q, s.n), 'out', array_append(s.out, cast(named_struct({', '.join(f"'{c}', r.{c}" for c in own)},
-        'quantity', r.q, 'accepted', r.q <= s.n, 'left', if(r.q <= s.n, s.n - r.q, s.n)) as {out})))"""
-    return g.select("product", F.inline(F.expr(f"aggregate(rows, named_struct('n', on_hand, 'out', cast(array() as array<{out}>)), (s, r) -> {step}, s -> s.out)")))
+    rows = moves.select("product", *own, F.col("quantity").cast("double").alias("quantity")).join(stock, "product", "left")
+    rows = rows.withColumn("on_hand", F.coalesce(F.col("on_hand").cast("double"), F.lit(0.0)))
+
+    def fresh():
+        n = None
+
+        def step(q, on_hand):
+            nonlocal n
+            n = on_hand if n is None else n
+            ok = q is not None and q <= n
+            n -= q if ok else 0.0
+            return ok, n
+
+        return step
+
+    return fold(rows, ["product"], [*own, "quantity"], ["quantity", "on_hand"], fresh, "accepted boolean, left double", ["product", *own, "quantity"])
 
 
 def reject_reason(side: Column, quantity: Column, price: Column, symbol: Column) -> Column:

@@ -1,13 +1,16 @@
-"""Lexical, dense and hybrid retrieval, and ranking quality. No UDF: postings, joins and windows."""
+"""Lexical, dense and hybrid retrieval, and ranking quality: postings, joins and windows; only a pluggable model is a UDF."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import cosine, min_max
 from millrace.functions.text import tokens
-from millrace.operators.core import first_n, small
+from millrace.operators.core import first_n, small, with_each
 
 K1, B = 1.5, 0.75
 
@@ -21,18 +24,19 @@ def postings(chunks: DataFrame, chunk_id: str = "id", text: str = "text") -> Dat
 def bm25(chunks: DataFrame, queries: DataFrame, chunk_id: str = "id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """``query_id, id, score`` of every chunk that shares a term, Okapi BM25 with idf = ln(1 + (N - df + 0.5)/(df + 0.5)).
 
-    Postings are cut to the queries' terms before the join, so the shuffle carries matching postings only.
+    Texts are cut into terms once; postings carry their chunk's length and are reduced to the queries' terms before the
+    shuffle. Chunk ids are unique.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term"))
     q = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    lengths = chunks.select(F.col(chunk_id).alias("id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("len"))
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))  # one row
-    words = chunks.select(F.col(chunk_id).alias("id"), F.explode(tokens(F.col(text))).alias("term"))
-    hits = words.join(small(q.select("term").distinct()), "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    cut = chunks.select(F.col(chunk_id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
+    total = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avg_len"))  # one row
+    words = cut.select("id", F.size("ws").alias("len"), F.explode("ws").alias("term"))
+    hits = words.join(small(q.select("term").distinct()), "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(total)).select("term", "id", part.alias("s"))
+    scored = hits.join(df, "term").crossJoin(F.broadcast(total)).select("term", "id", part.alias("s"))
     return q.join(scored, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("s")).alias("score"))
 
 
@@ -45,7 +49,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     """Exact scan: ``query_id, id, score, rank`` by cosine of a bounded query set against all vectors. ``queries`` is
     ``query_id, qv``; ``most`` is a cosine-distance limit."""
     q = queries.select("query_id", F.col("qv"))
-    pairs = vectors.select(F.col(vec_id).alias("id"), F.col(vec).alias("v")).crossJoin(small(q)).select("query_id", "id", cosine(F.col("qv"), F.col("v")).alias("score"))
+    pairs = with_each(vectors.select(F.col(vec_id).alias("id"), F.col(vec).alias("v")), q).select("query_id", "id", cosine(F.col("qv"), F.col("v")).alias("score"))
     if most is not None:
         pairs = pairs.filter(1 - F.col("score") < most)
     return first_n(pairs, ["query_id"], [F.desc("score"), F.col("id")], k)
@@ -77,6 +81,15 @@ def rerank(ranked: DataFrame, scorer: Column, k: int) -> DataFrame:
     return first_n(some.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+def model_scorer(score: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A model that scores lists of (query, text) pairs, as a column expression on Arrow batches; null texts are empty."""
+
+    def scored(query: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(score(query.fillna("").tolist(), text.fillna("").tolist()), dtype="float64")
+
+    return F.pandas_udf(scored, "double")
+
+
 def lexical_overlap(query: Column, text: Column) -> Column:
     """Default pair scorer: share of the query's distinct tokens that the text holds."""
     q, t = F.array_distinct(tokens(query)), F.array_distinct(tokens(text))
@@ -113,6 +126,27 @@ def quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, id``: documents (``id, text``) whose text holds an item's (``query_id, query``) as a substring.
+
+    Every blank-separated token inside an item stands whole in any text that holds it, so the item's rarest one fetches the
+    candidates by an equi-join and only those are searched. Items of one or two tokens are held against every document.
+    """
+    pieces = lambda c: F.split(c, r"(?U)\s+")
+    cut = items.filter("query <> ''").select("query_id", "query", pieces(F.col("query")).alias("p"))
+    inner = cut.select("query_id", "query", F.filter("p", lambda x, i: (i > 0) & (i < F.size("p") - 1) & (x != "")).alias("inner"))
+    words = docs.select("id", F.explode(F.array_distinct(pieces(F.col("text")))).alias("token"))
+    asked = inner.select("query_id", F.explode("inner").alias("token")).distinct()
+    seen = words.join(small(asked.select("token").distinct()), "token", "left_semi")
+    counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    anchors = asked.join(counts, "token").groupBy("query_id").agg(F.min(F.struct("n", "token")).alias("a")).select("query_id", F.col("a.token").alias("token"))
+    candidates = seen.join(small(anchors), "token").select("query_id", "id")
+    searched = candidates.join(docs, "id").join(small(items), "query_id")
+    short = with_each(docs, inner.filter(F.size("inner") == 0).select("query_id", "query"))
+    cols = ["query_id", "id", "query", "text"]
+    return searched.select(cols).unionByName(short.select(cols)).filter(F.contains("text", "query")).select("query_id", "id").distinct()
+
+
 def keyword_coverage(keywords: Column, texts: Column) -> Column:
     """Per cent of the keywords that occur, case aside, in any of the texts."""
     low = F.lower(F.array_join(texts, "\n"))

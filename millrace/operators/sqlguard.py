@@ -3,6 +3,8 @@ semicolon pass, and any command or second statement is refused."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,19 @@ def validate(spark: SparkSession, sql: str) -> tuple[bool, str]:
     except AnalysisException as e:
         return False, e.getCondition() or str(e)
     return True, "ok"
+
+
+def ask(spark: SparkSession, question: str, generate: Callable[[str, str], str], limit: int | None = 100) -> tuple[str, DataFrame]:
+    """From a question to rows: list the tables, describe them, let ``generate`` (question, description) write a query, check
+    it without running it, and run it. What does not pass the check is refused. Returns the query and its rows."""
+    from millrace.sources.tables import catalog
+
+    columns = catalog(spark).orderBy("table", "column").collect()  # a row for each column of the catalog
+    tables = {}
+    for r in columns:
+        tables.setdefault(r["table"], []).append(f"{r['column']} {r['type']}")
+    sql = generate(question, "\n".join(f"{t}({', '.join(cols)})" for t, cols in tables.items()))
+    valid, message = validate(spark, sql)
+    if not valid:
+        raise Refused(message)
+    return sql, run(spark, sql, limit)

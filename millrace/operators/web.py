@@ -48,6 +48,7 @@ TAG = r"^[A-Za-z]{2,3}(-[A-Za-z]{4})?(-([A-Za-z]{2}|[0-9]{3}))?(-[A-Za-z0-9]{5,8
 
 def page_status(tag: Column, detected: Column) -> tuple[Column, Column]:
     """(status, advice) of a page's language tag against the detected language; the first rule that fits decides."""
+    # The statuses and sentences of the advice.
     base = F.lower(F.split(F.trim(tag), "[-_]")[0])
     std = standard_tag(tag)
     quote = lambda a, b, c: F.concat(F.lit(a), tag, F.lit(b), std, F.lit(c))

@@ -410,14 +410,36 @@ def _(t):
 # --- folds, ledger, streams in batch form ---------------------------------------------------------------------------
 
 
-@add("stm5_rate_limit")
+def _limiter(most: int, micros: int) -> str:
+    young = f"list_filter(f.last, lambda x: e.t - x < {micros})"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+  f AS (SELECT user_id, t, n, true AS admitted, [t] AS last FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.t, e.n, len({young}) < {most}, CASE WHEN len({young}) < {most} THEN list_append({young}, e.t) ELSE f.last END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT user_id, make_timestamp(t) AS ts, admitted FROM f"""
+
+
+def _utc(df):
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@add("stm5_rate_limit", _limiter(2, 3_600_000_000))
+def _(t):
+    return _utc(activity.admit_rate(t.events, "user_id", "ts", 2, 3600))
+
+
+@add("flt24_min_minutes", _limiter(1, 1_800_000_000))
 def _(t):
-    return activity.admit_rate(t.events, "user_id", "ts", 2, 3600)
+    """A trade needs half an hour since the last accepted one."""
+    return _utc(activity.admit_rate(t.events, "user_id", "ts", 1, 1800))
 
 
-@add("stm6_cooldown")
+@add("stm6_cooldown", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+  f AS (SELECT user_id, t, n, NULL::VARCHAR AS reason, t AS last, 1 AS k FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, t, n, w, CASE WHEN w IS NULL THEN t ELSE last END, k + (w IS NULL)::INTEGER FROM (SELECT e.*, f.last, f.k,
+    CASE WHEN trunc(3600 - (e.t - f.last) / 1000000.0::DOUBLE) > 0 THEN 'cooldown' WHEN f.k >= 5 THEN 'cap' END AS w
+    FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)) SELECT user_id, make_timestamp(t) AS ts, reason FROM f""")
 def _(t):
-    return activity.admit_cooldown(t.events, "user_id", "ts", 3600, 5)
+    return _utc(activity.admit_cooldown(t.events, "user_id", "ts", 3600, 5))
 
 
 @add("stm11_content_cache", "SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -466,19 +488,42 @@ def _(t):
     return t.orders.select("o_custkey", "o_orderkey", F.when(~(F.col("o_totalprice") - 20000 > 0), "amount").alias("reason"))
 
 
-@add("ldg2_admit_funds")
+def _admitted(refuse: str, only: str = "") -> str:
+    key = "ts, l_orderkey, l_linenumber, symbol, l_suppkey"
+    return f"""WITH RECURSIVE {TRADES}, t AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY {key}, side, quantity, price) AS n FROM trades),
+  f AS (SELECT account, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, NULL::BIGINT AS l_orderkey, NULL::INTEGER AS l_linenumber, NULL::BIGINT AS symbol, NULL::BIGINT AS l_suppkey,
+    NULL::VARCHAR AS side, NULL::VARCHAR AS reason, 50000.0::DOUBLE AS cash, MAP {{-1::BIGINT: 0.0::DOUBLE}} AS held FROM (SELECT DISTINCT account FROM trades) UNION ALL
+  SELECT account, n, {key}, side, w, CASE WHEN w IS NULL THEN cash + CASE WHEN side = 'buy' THEN -(price * 1.002::DOUBLE) * quantity ELSE price * 0.998::DOUBLE * quantity END ELSE cash END,
+    CASE WHEN w IS NULL THEN map_concat(held, MAP {{symbol: have + signed}}) ELSE held END
+  FROM (SELECT *, CASE WHEN quantity <= 0 THEN 'quantity' WHEN side = 'buy' AND price * 1.002::DOUBLE * quantity > cash THEN 'funds' WHEN side = 'buy' AND price = 0 THEN 'symbol'
+    WHEN side = 'sell' AND {refuse} THEN 'holdings' END AS w FROM (SELECT t.*, f.cash, f.held, coalesce(f.held[t.symbol], 0.0::DOUBLE) AS have
+    FROM f JOIN t ON t.account = f.account AND t.n = f.n + 1)))
+  SELECT account, {key}, reason, cash AS balance_after FROM f WHERE n > 0 {only}"""
+
+
+@add("ldg2_admit_funds", _admitted("have < quantity"))
 def _(t):
     return ledger.admit_funds(trades(t), ["ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"], 50_000.0)
 
 
-@add("ldg4_admit_short")
+@add("ldg3_sells", _admitted("have < quantity", "AND side = 'sell'"))
+def _(t):
+    """The decisions on sells, each after all trades of the account before it."""
+    key = ["account", "ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"]
+    decided = ledger.admit_funds(trades(t).withColumn("kind", F.col("side")), [*key[1:], "kind"], 50_000.0)
+    return decided.filter("kind = 'sell'").drop("kind")
+
+
+@add("ldg4_admit_short", _admitted("have * price <= -1000"))
 def _(t):
     return ledger.admit_funds(trades(t), ["ts", "l_orderkey", "l_linenumber", "symbol", "l_suppkey"], 50_000.0, short=True)
 
 
-@add("ldg5_report")
+@add("ldg5_report", f"WITH {PROFIT} SELECT account, round(value, 2) AS total_portfolio_value, round(value - 10000, 2) AS total_profit_loss FROM p")
 def _(t):
-    return ledger.report(ledger.profit(trades(t), prices(t)))
+    """Reports as JSON, read again."""
+    made = ledger.report(ledger.profit(trades(t), prices(t))).select(F.from_json("report", "account long, total_portfolio_value double, total_profit_loss double").alias("r"))
+    return made.select("r.*")
 
 
 @add("ldg6_bankrupt", f"WITH {PROFIT} SELECT account FROM p WHERE value <= 0")
@@ -491,7 +536,11 @@ def _(t):
     return ledger.profit(trades(t), prices(t)).select("account", two(F.col("value") - 10000, "pnl"))
 
 
-@add("ldg8_stock")
+@add("ldg8_stock", """WITH RECURSIVE m AS (SELECT l_partkey AS product, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity AS quantity, coalesce(p_size * 10, 0)::DOUBLE AS on_hand,
+    row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
+  f AS (SELECT *, quantity <= on_hand AS accepted, on_hand - CASE WHEN quantity <= on_hand THEN quantity ELSE 0 END AS rest FROM m WHERE n = 1 UNION ALL
+  SELECT m.*, m.quantity <= f.rest, f.rest - CASE WHEN m.quantity <= f.rest THEN m.quantity ELSE 0 END FROM f JOIN m ON m.product = f.product AND m.n = f.n + 1)
+  SELECT product, l_shipdate, l_orderkey, l_linenumber, l_suppkey, quantity, accepted, rest AS "left" FROM f""")
 def _(t):
     moves = t.lineitem.select(F.col("l_partkey").alias("product"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("quantity"))
     return ledger.stock_after(moves, t.part.select(F.col("p_partkey").alias("product"), (F.col("p_size") * 10).alias("on_hand")), ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"])

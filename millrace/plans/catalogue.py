@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import ledger
-from millrace.plans import analytics, relational, texts
+from millrace.plans import analytics, relational, surfaces, texts
 from millrace.plans.base import Tables
 
-PARTS = (relational.C, analytics.C, texts.C)
+PARTS = (relational.C, analytics.C, texts.C, surfaces.C)
 
 
 def portfolio_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import activity, core, ledger, web
 from millrace.plans.base import Catalogue
+from millrace.plans.texts import HTML
 from millrace.sources import sinks, tables
 
 C = Catalogue()
@@ -341,13 +342,13 @@ def _(t):
     return activity.trace_rollup(spans(t)).orderBy(F.desc("started"))
 
 
-@add("jon19_calendar_expand", """WITH d AS (SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + 6, INTERVAL 1 DAY))::DATE AS day FROM orders WHERE o_orderkey % 10 = 0)
+@add("jon19_calendar_expand", """WITH d AS (SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + 6, INTERVAL 1 DAY))::DATE AS day FROM orders)
   SELECT o_orderkey, day FROM d WHERE month(day) * 100 + day(day) IN (101, 619, 704, 1225)""")
 def _(t):
     from millrace.functions.dates import MARKET_HOLIDAYS
 
     start = F.to_date("o_orderdate")
-    days = t.orders.filter("o_orderkey % 10 = 0").select("o_orderkey", F.explode(F.sequence(start, F.date_add(start, 6))).alias("day"))
+    days = t.orders.select("o_orderkey", F.explode(F.sequence(start, F.date_add(start, 6))).alias("day"))
     calendar = t.spark.createDataFrame([(m * 100 + d,) for m, d in MARKET_HOLIDAYS], "md int")
     return days.join(core.small(calendar), F.month("day") * 100 + F.dayofmonth("day") == F.col("md"), "left_semi")
 
@@ -359,10 +360,13 @@ for how, key in (("inner", "inner"), ("left", "left"), ("right", "right"), ("ful
         return t.nation.filter("n_regionkey < 3").join(t.region.filter("r_regionkey > 0"), F.col("n_regionkey") == F.col("r_regionkey"), how).select("n_name", "r_name")
 
 
-@add("jon16_range_join", """SELECT e.event_id, p.p_partkey FROM events e JOIN (SELECT p_partkey, p_size AS lo, p_size + 2 AS hi FROM part WHERE p_partkey <= 50) p ON e.value BETWEEN lo AND hi WHERE e.event_id < 2000""")
+@add("jon16_range_join", """SELECT e.event_id, count(p_partkey) AS parts, min(p_partkey) AS first_part FROM events e
+  LEFT JOIN (SELECT p_partkey, p_size AS lo, p_size + 2 AS hi FROM part) p ON e.value BETWEEN lo AND hi GROUP BY 1""")
 def _(t):
-    s = t.part.filter("p_partkey <= 50").select("p_partkey", F.col("p_size").alias("lo"), (F.col("p_size") + 2).alias("hi"))
-    return core.range_join(t.events.filter("event_id < 2000").select("event_id", "value"), s, "value", "lo", "hi", 4).select("event_id", "p_partkey")
+    """Parts whose size range holds an event's value, as a count: equal ranges are added up before the join."""
+    s = t.part.groupBy(F.col("p_size").alias("lo")).agg(F.count("p_partkey").alias("n"), F.min("p_partkey").alias("first")).withColumn("hi", F.col("lo") + 2)
+    hits = core.range_join(t.events.select("event_id", "value"), s, "value", "lo", "hi", 4).groupBy("event_id").agg(F.sum("n").alias("parts"), F.min("first").alias("first_part"))
+    return t.events.select("event_id").join(hits, "event_id", "left").fillna(0, ["parts"])
 
 
 @add("jon17_star_join", """SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -373,7 +377,12 @@ def _(t):
     return j.groupBy("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@add("jon11_fuzzy_names")
+_norm = lambda c: rf"array_to_string(list_sort(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda w: w <> '')), ' ')"
+
+
+@add("jon11_fuzzy_names", f"""WITH q AS (SELECT DISTINCT string_split(n_name, ' ')[-1] || ' ' || lower(n_name) AS q FROM nation), n AS (SELECT DISTINCT n_name FROM nation),
+  p AS (SELECT q, n_name, {_norm('q')} AS a, {_norm('n_name')} AS b FROM q, n), s AS (SELECT q, n_name, 100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) AS score FROM p)
+  SELECT q, n_name, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, n_name) AS rank FROM s WHERE score >= 50 QUALIFY rank <= 3""")
 def _(t):
     q = t.nation.select(F.concat(F.reverse(F.split("n_name", " "))[0], F.lit(" "), F.lower("n_name")).alias("q"))
     return core.fuzzy_match(q, t.nation, "q", "n_name", 50, 3)
@@ -436,17 +445,17 @@ def _(t):
 
 # --- sets -----------------------------------------------------------------------------------------------------------
 
-A, B = "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 40", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 30"
-_a = lambda t: t.customer.filter("c_custkey < 40").select(F.col("c_nationkey").alias("k"))
-_b = lambda t: t.supplier.filter("s_suppkey < 30").select(F.col("s_nationkey").alias("k"))
+A, B = "SELECT c_custkey AS k FROM customer", "SELECT o_custkey AS k FROM orders"
+_a = lambda t: t.customer.select(F.col("c_custkey").alias("k"))
+_b = lambda t: t.orders.select(F.col("o_custkey").alias("k"))
 for name, sql, op in (
     ("set1_union", f"{A} UNION {B}", lambda a, b: a.union(b).distinct()),
     ("set2_union_all", f"{A} UNION ALL {B}", lambda a, b: a.unionByName(b)),
-    ("set5_distinct", f"SELECT DISTINCT k FROM ({A})", lambda a, b: a.distinct()),
+    ("set5_distinct", f"SELECT DISTINCT k FROM ({B})", lambda a, b: b.distinct()),
     ("set8_intersect", f"{A} INTERSECT {B}", lambda a, b: a.intersect(b)),
     ("set8_intersect_all", f"{A} INTERSECT ALL {B}", lambda a, b: a.intersectAll(b)),
     ("set8_except", f"{A} EXCEPT {B}", lambda a, b: a.subtract(b)),
-    ("set8_except_all", f"{A} EXCEPT ALL {B}", lambda a, b: a.exceptAll(b)),
+    ("set8_except_all", f"{B} EXCEPT ALL {A}", lambda a, b: b.exceptAll(a)),
 ):
 
     @add(name, sql)
@@ -454,10 +463,10 @@ for name, sql, op in (
         return op(_a(t), _b(t))
 
 
-@add("set3_union_first", "SELECT k, min(side) AS side FROM (SELECT DISTINCT c_nationkey AS k, 1 AS side FROM customer WHERE c_custkey < 40 UNION ALL SELECT s_nationkey, 2 FROM supplier) GROUP BY k")
+@add("set3_union_first", f"SELECT k, min(side) AS side FROM (SELECT k, 1 AS side FROM ({A}) UNION ALL SELECT k, 2 FROM ({B})) GROUP BY k")
 def _(t):
-    both = _a(t).withColumn("side", F.lit(1)).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"), F.lit(2).alias("side")))
-    return core.first_n(both, ["k"], [F.col("side")], 1, "r").drop("r")
+    both = _a(t).withColumn("side", F.lit(1)).unionByName(_b(t).withColumn("side", F.lit(2)))
+    return both.groupBy("k").agg(F.min("side").alias("side"))
 
 
 @add("set4_token_jaccard", r"""WITH s AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS w FROM benchmark)
@@ -527,6 +536,7 @@ def _(t):
     return t.pages.select("page_id", status.alias("status"), advice.alias("advice"))
 
 
-@add("src14_page_text")
+@add("src14_page_text", f"""SELECT page_id, {LANG} AS lang_tag, {HTML} AS body,
+  len(list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), lambda u: regexp_matches(u, '^https?://'))) AS n_links FROM pages""")
 def _(t):
     return web.pages_text(t.pages).select("page_id", "lang_tag", "body", F.size("links").alias("n_links"))

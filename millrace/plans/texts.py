@@ -20,7 +20,15 @@ WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
 
 
-@add("str1_sanitize")
+_word, _blank = r"[\p{L}\p{M}\p{N}\p{Pc}]", r"[\s\x0b\x{85}\p{Z}]"
+CLEAN = rf"regexp_replace(replace(coalesce(text, ''), chr(12), chr(10)), '({_word})-\n({_word})', '\1\2', 'g')"
+for _old, _new in X.CLEAN_CHARS:
+    CLEAN = "replace({}, '{}', '{}')".format(CLEAN, _old.replace("'", "''"), _new.replace("'", "''"))
+for _old, _new in ((r"[ \t]+", "' '"), (rf"(?im)^[ \t]*page{_blank}+\p{{Nd}}+({_blank}+of{_blank}+\p{{Nd}}+)?[ \t]*$", "''"), (r"(?im)^[ \t]*confidential[ \t]*$", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (f"^{_blank}+|{_blank}+$", "''")):
+    CLEAN = f"regexp_replace({CLEAN}, '{_old}', {_new}, 'g')"
+
+
+@add("str1_sanitize", f"SELECT doc_id, {CLEAN} AS clean FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.clean(F.col("text")).alias("clean"))
 
@@ -67,7 +75,7 @@ def _(t):
     return t.pages.select("page_id", X.extension(F.col("url")).alias("ext"))
 
 
-@add("str12_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0::DOUBLE) END AS size FROM documents WHERE n_chars < 1048576")
+@add("str12_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) WHEN n_chars IS NOT NULL THEN printf('%.1f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.human_size(F.col("n_chars")).alias("size"))
 
@@ -156,7 +164,13 @@ def _(t):
     return t.pages.select("page_id", X.html_text(F.col("html")).alias("body"))
 
 
-@add("str30_markdown")
+PLAIN = "'# **T** _x_' || chr(10) || '| a | b |' || chr(10) || text"
+for _old, _new in ((r"\*\*(.*?)\*\*", r"\1"), ("__(.*?)__", r"\1"), (r"\*(.*?)\*", r"\1"), ("_(.*?)_", r"\1"), (r"#+\s*", ""), (r"(?m)^\|.*\|$", "")):
+    PLAIN = f"regexp_replace({PLAIN}, '{_old}', '{_new}', 'g')"
+PLAIN = f"regexp_replace(replace({PLAIN}, '<br/>', chr(10)), '^{_blank}+|{_blank}+$', '', 'g')"
+
+
+@add("str30_markdown", f"SELECT doc_id, {PLAIN} AS plain FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.markdown_plain(F.concat(F.lit("# **T** _x_\n| a | b |\n"), F.col("text"))).alias("plain"))
 
@@ -356,12 +370,19 @@ def _(t):
     return t.part.select("p_partkey", F.round(N.similarity(F.col("p_size").cast("double")), 8).alias("s"))
 
 
-@add("mth10_answer_score")
+_set = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> ''))"
+
+
+@add("mth10_answer_score", f"""WITH d AS (SELECT doc_id, {_set} AS w, length(text) AS n FROM documents), b AS (SELECT item_id, {_set} AS s FROM benchmark),
+  j AS (SELECT doc_id, item_id, n, CASE WHEN len(s) = 0 OR len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(s, w)) / len(list_distinct(list_concat(s, w))) END AS j FROM d, b),
+  c AS (SELECT *, CASE WHEN j >= 0.2 THEN least(1.0::DOUBLE, n / 300.0::DOUBLE) ELSE 0.3::DOUBLE END AS c FROM j),
+  o AS (SELECT *, greatest(0, least(1, 0.3::DOUBLE * j + 0.4::DOUBLE * j + 0.15::DOUBLE * c + 0.15::DOUBLE * 1.0::DOUBLE)) AS o FROM c)
+  SELECT doc_id, item_id, round(j, 3) AS relevance, round(j, 3) AS accuracy, round(c, 3) AS completeness, 1.0::DOUBLE AS consistency, round(o, 3) AS overall, o >= 0.7 AS passed FROM o""")
 def _(t):
     d = t.documents.select("doc_id", X.token_set(F.col("text")).alias("w"), F.length("text").alias("n"))
     b = t.benchmark.select("item_id", X.token_set(F.col("text")).alias("s"))
     score = N.answer_score(F.col("s"), F.col("s"), F.col("w"), F.array().cast("array<string>"), F.col("n"))
-    return d.crossJoin(core.small(b)).select("doc_id", "item_id", score.alias("r")).select("doc_id", "item_id", "r.*")
+    return core.with_each(d, b).select("doc_id", "item_id", score.alias("r")).select("doc_id", "item_id", "r.*")
 
 
 @add("mth12_bands", "SELECT event_id, CASE WHEN value - 50 > 0.1 THEN 'Positive' WHEN value - 50 < -0.1 THEN 'Negative' ELSE 'Neutral' END AS b FROM events")
@@ -385,11 +406,17 @@ def _(t):
     return t.part.select("p_partkey", N.first_score(v3, F.col("p_retailprice")).alias("s"))
 
 
-@add("mth17_same_entity", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id < 40 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3")
+_unit = "list_transform({0}.embedding, lambda x: x::DOUBLE / sqrt(list_inner_product({0}.embedding::DOUBLE[], {0}.embedding::DOUBLE[])))"
+
+
+@add("mth17_same_entity", f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0 WHERE list_inner_product({_unit.format('a')}, {_unit.format('b')}) > 0.5")
 def _(t):
-    a = t.embeddings.filter("vec_id < 40").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    b = t.embeddings.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").filter((F.col("a") < F.col("b")) & (N.dot(F.col("x"), F.col("y")) > 0.3)).select("a", "b")
+    """The stated query vectors against all others: unit vectors whose product is above a half."""
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / N.norm(F.col(c)))
+    v = t.embeddings.select("vec_id", unit("embedding").alias("u"))
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("u").alias("x"))
+    pairs = core.with_each(v.select(F.col("vec_id").alias("b"), F.col("u").alias("y")), asked)
+    return pairs.filter((F.col("a") != F.col("b")) & (N.dot(F.col("x"), F.col("y")) > 0.5)).select("a", "b")
 
 
 @add("nst1_json", "SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events")
@@ -459,22 +486,22 @@ def _(t):
 BM25 = """d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM documents),
   p AS (SELECT id, len(ws) AS len, unnest(ws) AS term FROM d), tf AS (SELECT id, term, len, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   gs AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d),
-  q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM benchmark WHERE item_id < {n}) GROUP BY ALL),
+  q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
   s AS (SELECT query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), gs GROUP BY ALL)"""
-DENSE = """v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 8) AS score FROM embeddings a, embeddings b WHERE a.vec_id < {n})"""
+DENSE = """v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 8) AS score FROM embeddings a, embeddings b WHERE {which})"""
+ITEMS, STATED = "a.vec_id IN (SELECT item_id FROM benchmark)", "a.vec_id % 100 = 0"
 
 
-def bm25(t, n=None):
-    """Scores for the benchmark items with an id below ``n``, or all."""
-    items = t.benchmark if n is None else t.benchmark.filter(F.col("item_id") < n)
-    return R.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+def bm25(t):
+    """Scores for all benchmark items."""
+    return R.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
-def dense_scores(t, n=None):
-    """Scores for the vectors with an id below ``n``, or for those of all benchmark items."""
+def dense_scores(t, every=None):
+    """Scores of all vectors for those whose id is divisible by ``every``, or for those of all benchmark items."""
     items = t.benchmark.select(F.col("item_id").alias("vec_id")).distinct()
-    q = (t.embeddings.join(items, "vec_id", "left_semi") if n is None else t.embeddings.filter(F.col("vec_id") < n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    pairs = t.embeddings.crossJoin(core.small(q))
+    asked = t.embeddings.join(items, "vec_id", "left_semi") if every is None else t.embeddings.filter(F.col("vec_id") % every == 0)
+    pairs = core.with_each(t.embeddings.select("vec_id", "embedding"), asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")))
     return pairs.select("query_id", F.col("vec_id").alias("id"), F.round(N.cosine(F.col("qv"), F.col("embedding"), 0.0), 8).alias("score"))
 
 
@@ -490,19 +517,19 @@ def _(t):
     return R.postings(t.documents, "doc_id")
 
 
-@add("ret2_bm25_topk", "WITH " + BM25.format(n=1000) + f" SELECT query_id, id, round(score, 8) AS score, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10")
+@add("ret2_bm25_topk", "WITH " + BM25 + f" SELECT query_id, id, round(score, 8) AS score, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10")
 def _(t):
     return R.top(rounded(bm25(t)), 10)
 
 
-@add("ret3_dense_topk", "WITH " + DENSE.format(n=20) + f" SELECT query_id, id, score, {TOP} AS rank FROM v QUALIFY {TOP} <= 10")
+@add("ret3_dense_topk", "WITH " + DENSE.format(which=STATED) + f" SELECT query_id, id, score, {TOP} AS rank FROM v QUALIFY {TOP} <= 10")
 def _(t):
-    return core.first_n(dense_scores(t, 20), ["query_id"], [F.desc("score"), F.col("id")], 10)
+    return core.first_n(dense_scores(t, 100), ["query_id"], [F.desc("score"), F.col("id")], 10)
 
 
-@add("ret4_dense_cutoff", "WITH " + DENSE.format(n=20) + " SELECT query_id, id FROM v WHERE 1 - score < 0.75")
+@add("ret4_dense_cutoff", "WITH " + DENSE.format(which=STATED) + " SELECT query_id, id FROM v WHERE 1 - score < 0.75")
 def _(t):
-    return dense_scores(t, 20).filter(1 - F.col("score") < 0.75).select("query_id", "id")
+    return dense_scores(t, 100).filter(1 - F.col("score") < 0.75).select("query_id", "id")
 
 
 NORM = "CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PARTITION BY query_id) THEN 0 ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END"
@@ -511,30 +538,37 @@ HYBRID = f"""l AS (SELECT query_id, id, {NORM} AS x FROM (SELECT query_id, id, r
   h AS (SELECT coalesce(l.query_id, m.query_id) AS query_id, coalesce(l.id, m.id) AS id, round(0.5 * coalesce(x, 0) + 0.5 * coalesce(y, 0), 8) AS score FROM l FULL JOIN m ON l.query_id = m.query_id AND l.id = m.id)"""
 
 
-def hybrid(t, n=None, k=10):
-    both = R.hybrid(rounded(bm25(t, n)), dense_scores(t, n), 2 * k)
+def hybrid(t, k=10):
+    both = R.hybrid(rounded(bm25(t)), dense_scores(t), 2 * k)
     return core.first_n(rounded(both.drop("rank")), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-@add("ret5_hybrid", "WITH " + BM25.format(n=20) + ", " + DENSE.format(n=20) + ", " + HYBRID.replace("<= 20", "<= 40") + f" SELECT query_id, id, score FROM h QUALIFY {TOP} <= 10")
+@add("ret5_hybrid", "WITH " + BM25 + ", " + DENSE.format(which=ITEMS) + ", " + HYBRID.replace("<= 20", "<= 40") + f" SELECT query_id, id, score FROM h QUALIFY {TOP} <= 10")
 def _(t):
-    return hybrid(t, 20).select("query_id", "id", "score")
+    return hybrid(t).select("query_id", "id", "score")
 
 
-@add("ret6_full_corpus", "WITH " + BM25.format(n=20) + " SELECT query_id, id, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)")
+@add("ret6_full_corpus", "WITH " + BM25 + " SELECT query_id, id, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)")
 def _(t):
-    s = bm25(t, 20)
+    s = bm25(t)
     return s.select("query_id", "id", F.round(N.min_max_eps(F.col("score"), "query_id"), 6).alias("score"))
 
 
-@add("ret7_multi_query", "WITH " + BM25.format(n=20) + f", g AS (SELECT query_id // 2 AS query_id, id, sum(score) AS score FROM s GROUP BY 1, 2) SELECT query_id, id, round(score, 8) AS score FROM g QUALIFY {TOP} <= 5")
+@add("ret7_multi_query", "WITH " + BM25 + f", g AS (SELECT query_id // 2 AS query_id, id, sum(score) AS score FROM s GROUP BY 1, 2) SELECT query_id, id, round(score, 8) AS score FROM g QUALIFY {TOP} <= 5")
 def _(t):
-    s = bm25(t, 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    s = bm25(t).withColumn("query_id", F.floor(F.col("query_id") / 2))
     total = rounded(s.groupBy("query_id", "id").agg(F.sum("score").alias("score")))
     return core.first_n(total, ["query_id"], [F.desc("score"), F.col("id")], 5).select("query_id", "id", "score")
 
 
-@add("ret8_rerank")
+_list = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
+OVERLAP = f"""CASE WHEN len({_list.format('b.text')}) > 0 THEN len(list_intersect({_list.format('b.text')}, {_list.format('d.text')})) / len({_list.format('b.text')}) ELSE 0.0 END"""
+FIRST = f"r AS (SELECT query_id, id, {TOP} AS rank FROM s WHERE round(score, 8) > 0 QUALIFY {TOP} <= {{k}})"
+RERANKED = f"o AS (SELECT query_id, id, {OVERLAP} AS score FROM r JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id)"
+BEST = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+
+
+@add("ret8_rerank", f"WITH {BM25}, {FIRST.format(k=15)}, {RERANKED} SELECT query_id, id, score, {BEST} AS rank FROM o QUALIFY rank <= 5")
 def _(t):
     top = R.top(rounded(bm25(t)), 15)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -542,9 +576,9 @@ def _(t):
     return R.rerank(both, R.lexical_overlap(F.col("query"), F.col("text")), 5).select("query_id", "id", "score", "rank")
 
 
-@add("ret9_multi_query_first", "WITH " + BM25.format(n=20) + f", r AS (SELECT query_id, id, {TOP} AS rank FROM s QUALIFY {TOP} <= 10) SELECT query_id // 2 AS question, id, arg_min(query_id, (query_id, rank)) AS variant FROM r GROUP BY 1, 2")
+@add("ret9_multi_query_first", "WITH " + BM25 + f", r AS (SELECT query_id, id, {TOP} AS rank FROM s QUALIFY {TOP} <= 10) SELECT query_id // 2 AS question, id, arg_min(query_id, (query_id, rank)) AS variant FROM r GROUP BY 1, 2")
 def _(t):
-    r = R.top(rounded(bm25(t, 20)), 10).withColumn("question", F.floor(F.col("query_id") / 2))
+    r = R.top(rounded(bm25(t)), 10).withColumn("question", F.floor(F.col("query_id") / 2))
     return R.first_seen(r, "question", ["query_id", "rank"]).select("question", "id", F.col("query_id").alias("variant"))
 
 
@@ -557,12 +591,11 @@ REL = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN do
 
 
 def relevant(t):
-    b = core.small(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")))
-    hits = t.documents.join(b, F.contains(F.col("text"), F.col("q")))
-    return hits.select("query_id", F.col("doc_id").alias("id"), F.lit(1.0).alias("gain"))
+    items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.containing(t.documents.select(F.col("doc_id").alias("id"), "text"), items).withColumn("gain", F.lit(1.0))
 
 
-@add("ret11_metrics", "WITH " + BM25.format(n=1000) + f""", {REL}, r AS (SELECT query_id, id, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10),
+@add("ret11_metrics", "WITH " + BM25 + f""", {REL}, r AS (SELECT query_id, id, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10),
   g AS (SELECT rel.query_id, count(DISTINCT rel.id) AS n, min(r.rank) AS first, count(r.rank) AS hits, coalesce(sum(1 / log2(r.rank + 1)), 0) AS dcg FROM rel LEFT JOIN r ON rel.query_id = r.query_id AND rel.id = r.id GROUP BY 1)
   SELECT query_id, round(coalesce(1 / first, 0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, hits / 10 AS precision, round(hits / n, 6) AS recall FROM g""")
 def _(t):
@@ -585,22 +618,41 @@ def method_report(t, k=10):
     return out.groupBy("method").agg(F.round(F.avg("mrr"), 3).alias("mrr"), F.round(F.stddev_samp("mrr"), 3).alias("mrr_sd"), *[F.round(F.avg(c), 3).alias(c) for c in ("ndcg", "precision", "recall")])
 
 
-@add("ret12_sweep")
+def _sweep_sql(size: int) -> str:
+    """Mean reciprocal rank of one chunk size."""
+    step = size - size // 10
+    return f"""(WITH c AS (SELECT doc_id, unnest(range(0, len(ws), {step})) AS i, ws FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM documents)),
+  d AS (SELECT doc_id || '_' || (i // {step}) AS id, ws[i + 1 : i + {size}] AS ws FROM c), {BM25[BM25.index('p AS'):]},
+  r AS (SELECT query_id, string_split(id, '_')[1]::BIGINT AS id, {TOP} AS rank FROM s WHERE round(score, 8) > 0 QUALIFY {TOP} <= 5), {REL},
+  g AS (SELECT rel.query_id, min(r.rank) AS first FROM rel LEFT JOIN r ON rel.query_id = r.query_id AND rel.id = r.id GROUP BY 1)
+  SELECT {size} AS size, round(avg(coalesce(1 / first, 0)), 4) AS mrr FROM g)"""
+
+
+SIZES = (100, 200, 400)
+
+
+@add("ret12_sweep", f"WITH m AS ({' UNION ALL '.join('SELECT * FROM ' + _sweep_sql(n) for n in SIZES)}) SELECT size, mrr, size = (SELECT arg_max(size, (mrr, -size)) FROM m) AS best FROM m")
 def _(t):
     """Chunk size by mean reciprocal rank of the containing chunk; the best one is marked."""
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    out = None
-    for size in (100, 200, 400):
+    rel, out = relevant(t), None
+    for size in SIZES:
         c = K.word_windows(t.documents.select("doc_id", "text"), size=size, overlap=size // 10)
-        top = R.top(R.bm25(c.select(F.concat_ws("_", "doc_id", "chunk_idx").alias("id"), F.col("chunk").alias("text")), q), 5)
+        top = R.top(rounded(R.bm25(c.select(F.concat_ws("_", "doc_id", "chunk_idx").alias("id"), F.col("chunk").alias("text")), q)), 5)
         hit = top.withColumn("id", F.split("id", "_")[0].cast("long")).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
-        one = R.quality(hit, relevant(t), 5).agg(F.lit(size).alias("size"), F.round(F.avg("mrr"), 4).alias("mrr"))
+        one = R.quality(hit, rel, 5).agg(F.lit(size).alias("size"), F.round(F.avg("mrr"), 4).alias("mrr"))
         out = one if out is None else out.unionByName(one)
     best = out.agg(F.max_by("size", F.struct("mrr", -F.col("size"))).alias("b"))  # one row
     return out.crossJoin(F.broadcast(best)).select("size", "mrr", (F.col("size") == F.col("b")).alias("best"))
 
 
-@add("ret13_method_report")
+@add("ret13_method_report", f"""WITH {BM25}, {DENSE.format(which=ITEMS)}, {REL}, {HYBRID.replace("<= 20", "<= 40")}, {FIRST.format(k=30)}, {RERANKED},
+  a AS (SELECT 'bm25' AS method, query_id, id, rank FROM r WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, id, {TOP} AS rank FROM v QUALIFY {TOP} <= 10 UNION ALL
+    SELECT 'hybrid', query_id, id, {TOP} AS rank FROM h QUALIFY {TOP} <= 10 UNION ALL SELECT 'rerank', query_id, id, {BEST} AS rank FROM o QUALIFY {BEST} <= 10),
+  g AS (SELECT m.method, rel.query_id, count(DISTINCT rel.id) AS n, min(a.rank) AS first, count(a.rank) AS hits, coalesce(sum(1 / log2(a.rank + 1)), 0) AS dcg
+    FROM (SELECT DISTINCT method FROM a) m CROSS JOIN rel LEFT JOIN a ON a.method = m.method AND a.query_id = rel.query_id AND a.id = rel.id GROUP BY 1, 2),
+  z AS (SELECT method, coalesce(1 / first, 0) AS mrr, dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, hits / 10 AS precision, hits / n AS recall FROM g)
+  SELECT method, round(avg(mrr), 3) AS mrr, round(stddev_samp(mrr), 3) AS mrr_sd, round(avg(ndcg), 3) AS ndcg, round(avg(precision), 3) AS precision, round(avg(recall), 3) AS recall FROM z GROUP BY 1""")
 def _(t):
     return method_report(t)
 

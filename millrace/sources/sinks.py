@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import _hadoop_path
+
 
 def upsert(base: DataFrame, patch: DataFrame, *key: str) -> DataFrame:
     """Rows of ``patch`` replace those of equal key; new keys are added. The patch has unique keys."""
@@ -44,6 +49,36 @@ def purge(base: DataFrame, condition) -> DataFrame:
     return base.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def commit(table: DataFrame, root: str) -> None:
+    """The table becomes the current version below ``root``: it is written whole first, then one rename moves the pointer, so
+    readers see the version before or after and never a part."""
+    spark, version = table.sparkSession, f"v-{uuid.uuid4().hex}"
+    table.write.parquet(f"{root}/{version}")
+    temporary, fs = _hadoop_path(spark, f"{root}/.CURRENT-{version}")
+    out = fs.create(temporary, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    pointer, _ = _hadoop_path(spark, f"{root}/CURRENT")
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    option = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    rename.rename(temporary, pointer, option)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    version = spark.read.text(f"{root}/CURRENT").first()["value"]  # one line
+    return spark.read.parquet(f"{root}/{version}")
+
+
+def atomic(spark: SparkSession, root: str, *steps: Callable[[DataFrame], DataFrame]) -> None:
+    """Several updates of a committed table as one: all steps apply to one version and are committed together, or, where any
+    of them fails, none is."""
+    table = current(spark, root)
+    for step in steps:
+        table = step(table)
+    commit(table, root)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
@@ -67,3 +102,12 @@ def dual_write(stream, json_path: str, table_path: str, checkpoint: str):
 def write_index(chunks: DataFrame, path: str, buckets: int = 32) -> None:
     """A chunk or vector index as Parquet partitioned by a hash of its id."""
     chunks.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 32) -> None:
+    """A lexical index saved: postings as Parquet partitioned by a hash of their term, so a query reads its terms' buckets."""
+    postings.withColumn("bucket", term_bucket(F.col("term"), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def term_bucket(term, buckets: int = 32):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

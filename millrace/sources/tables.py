@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.fold import fold
+from millrace.session import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,9 +71,9 @@ def read_tree(spark: SparkSession, folder: str, glob: str = "*.json", schema=Non
 
 
 def read_traces(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """JSON-lines traces of all files, bad lines skipped, newest file first by a sortable column."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(folder)
-    return rows.withColumn("file_time", F.col("_metadata.file_modification_time"))
+    """JSON-lines traces of the ``trace_*.jsonl`` files of a folder, bad lines skipped, the last file name first."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "trace_*.jsonl").option("recursiveFileLookup", True).json(folder)
+    return rows.withColumn("source_file", F.col("_metadata.file_name")).orderBy(F.desc("source_file"))
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
@@ -79,9 +82,11 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> Data
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_nr") -> DataFrame:
-    """0-based index over an explicit order, without a single-task sort: counts of range partitions are added up."""
+    """0-based index over an explicit order, without a single-task sort: the rows are range-partitioned and written with
+    their place in their partition, and the partitions' sizes are added up. Written, so both uses see one partitioning."""
     part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     part = part.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    part, _ = materialise(part, "indexed")
     sizes = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
     before = F.broadcast(before.select("__p", F.coalesce("__before", F.lit(0)).alias("__before")))  # one row a partition
@@ -110,29 +115,26 @@ def captions(lines: DataFrame, text: str = "text") -> DataFrame:
 
 def page_rows(blocks: DataFrame, *page: str, tolerance: float = 5.0) -> DataFrame:
     """Lines of a page from text blocks ``x, y, body``: blocks belong to a row while their y lies within ``tolerance``
-    of the row's *first* block; cells run left to right, joined by `` | ``. An ordered fold in an array per page."""
-    b = blocks.filter(F.trim("body") != "").groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("y", "x", "body"))).alias("bs"))
-    fold = F.aggregate(
-        "bs",
-        F.struct(F.lit(-1).alias("row"), F.lit(0.0).cast("double").alias("y0"), F.array().cast("array<struct<row:int,x:double,body:string>>").alias("out")),
-        lambda acc, x: _place(acc, x, tolerance),
-        lambda acc: acc["out"],
-    )
-    cells = b.select(*page, F.inline(fold))
+    of the row's *first* block; cells run left to right, joined by `` | ``. An ordered fold over each page."""
+    b = blocks.filter(F.trim("body") != "").select(*page, F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "body")
+
+    def fresh():
+        row, top = -1, None
+
+        def step(y):
+            nonlocal row, top
+            if top is None or abs(y - top) > tolerance:
+                row, top = row + 1, y
+            return (row,)
+
+        return step
+
+    cells = fold(b.filter("x IS NOT NULL AND y IS NOT NULL"), list(page), ["y", "x", "body"], ["y"], fresh, "row int")
     cell = F.trim(F.regexp_replace("body", r"\s*\n\s*", " "))
     rows = cells.groupBy(*page, "row").agg(F.array_sort(F.collect_list(F.struct(F.col("x"), cell.alias("body")))).alias("cs"))
     return rows.select(*page, "row", F.array_join(F.transform("cs", lambda c: c["body"]), " | ").alias("line"))
 
 
-def _place(acc: Column, b: Column, tolerance: float) -> Column:
-    same = (acc["row"] >= 0) & (F.abs(b["y"] - acc["y0"]) <= tolerance)
-    row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
-    item = F.struct(row.alias("row"), b["x"].cast("double").alias("x"), b["body"].alias("body"))
-    return F.struct(
-        row.alias("row"), F.when(same, acc["y0"]).otherwise(b["y"].cast("double")).alias("y0"), F.array_append(acc["out"], item).alias("out")
-    )
-
-
 def mock_prices(spark: SparkSession, symbol: str, anchor: str, days: int = 30, seed: int = 1) -> DataFrame:
     """Synthetic open, high, low, close and volume rows; equal seeds give equal rows."""
     r = lambda n, lo, hi: F.round(lo + F.rand(seed + n) * (hi - lo), 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -90,6 +90,50 @@ def rate_limited(requests: DataFrame, most: int, window_seconds: float) -> DataF
     )
 
 
+def server_events(messages: DataFrame, text: str = "text") -> DataFrame:
+    """``event, id, data`` of every message of a server-sent-event text (batch or stream): messages end at a blank line, data
+    lines of one message are joined by line feeds, and a message without data is none. The other columns stay."""
+    rest = [c for c in messages.columns if c != text]
+    blocks = messages.select(*rest, F.explode(F.split(F.col(text), r"\r?\n[ \t]*\r?\n")).alias("__b"))
+    lines = F.split("__b", r"\r?\n")
+    field = lambda name: F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", "")), "\n")
+    out = blocks.select(*rest, *[F.nullif(field(c), F.lit("")).alias(c) for c in ("event", "id", "data")])
+    return out.filter("data IS NOT NULL")
+
+
+def live_view(log: DataFrame, path: str, by: list[str], order: list, n: int, checkpoint: str):
+    """A stream's last ``n`` rows per key, kept current: every micro-batch writes the next version ``<path>/v<batch>`` from the
+    one before and its own rows, so a repeated batch gives the same version and each holds n rows a key."""
+    from millrace.operators.core import first_n
+
+    def keep(batch: DataFrame, i: int) -> None:
+        rows = batch if i == 0 else batch.unionByName(batch.sparkSession.read.parquet(f"{path}/v{i - 1}"))
+        first_n(rows, by, order, n).drop("rank").write.mode("overwrite").parquet(f"{path}/v{i}")
+
+    return log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def ticks(spark: SparkSession, start: str, end: str, minutes: int, always: bool = False) -> DataFrame:
+    """``tick``: when a job that runs every so many minutes runs, on open markets only unless ``always``."""
+    from millrace.functions.dates import market_open
+
+    bound = lambda s: F.lit(s).cast("timestamp_ntz")
+    out = spark.range(1).select(F.explode(F.sequence(bound(start), bound(end), F.expr(f"INTERVAL {minutes} MINUTES"))).alias("tick"))
+    return out if always else out.filter(market_open(F.col("tick")))
+
+
+def completion_order(tasks: DataFrame, group: str, done, task: str) -> DataFrame:
+    """``place`` of every task in the order in which its group's tasks end; ties go by task id."""
+    return tasks.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(done, task)))
+
+
+def progress(tasks: DataFrame, group: str, order: list) -> DataFrame:
+    """``done, total, percent`` of the group as each task ends."""
+    w = Window.partitionBy(group)
+    out = tasks.withColumn("done", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(w))
+    return out.withColumn("percent", F.round(100.0 * F.col("done") / F.col("total"), 1))
+
+
 def latest_state(log: DataFrame, thread: str, version: str) -> DataFrame:
     """Append-only state table: the newest row of every thread (batch)."""
     return log.groupBy(thread).agg(F.max_by(F.struct(*log.columns), version).alias("s")).select("s.*")

@@ -5,26 +5,30 @@ few fixed masks that ignore some positions, so an overlap is found although sing
 of both sides are joined; each hit names an alignment (item and diagonal), and the alignment is verified on the words
 themselves: a window of ``WINDOW`` item words (the whole item if shorter) of which ``MIN_MATCH`` agree.
 
-The benchmark is the build side and is read in blocks of at most ``BLOCK_WORDS`` words: a block's seed table has a
-proven size bound and is what is shipped to the executors; a larger benchmark takes more passes over the documents,
-nothing is left out. Documents are read in a narrow stage; only hits leave it.
-
-Defined results: null or empty texts on either side match nothing; an item without words matches nothing; repeated
-rows are reported alike; items of equal text all count; a document's matches keep every item id, in order.
+Both sides are tables. The benchmark's seeds set the bits of a filter of fixed size (``2 ** FILTER_POWER`` bits), which
+is all that every task gets; a document's seeds that pass it are joined with the seed table, by broadcast up to
+``BROADCAST_SEEDS`` rows and by exchange beyond. Alignments of a document are distinct before they move, and each text
+that has any goes once to the task that verifies them, one after another. Benchmark items of equal text, and documents
+of equal text, are judged once; nothing is listed twice and nothing is left out.
+
+Defined results: null or empty texts on either side match nothing; an item without words or with a null id matches
+nothing; verdicts belong to texts, so repeated rows, null ids and equal ids with different texts each get that of their
+own text; items of equal text all count; a document's matches keep every item id, in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
-from millrace.session import arrow_map
+from millrace.llm.keys import only_keys, text_key
+from millrace.session import arrow_map, materialise
 
 #: Fixed masks, '1' compares and '0' ignores a position.
 MASKS = ("11111", "1101011", "11001011", "1010100111")
@@ -32,22 +36,10 @@ MASKS = ("11111", "1101011", "11001011", "1010100111")
 WINDOW, MIN_MATCH = 13, 0.8
 #: Items with fewer words are too short to tell from chance; they only match as a whole and word for word.
 SHORT = 8
-BLOCK_WORDS = 2_000_000
-
-
-@dataclass
-class Block:
-    """Seeds of one block of benchmark items: sorted hashes, each with item and position; and the words."""
-
-    seeds: np.ndarray
-    item: np.ndarray
-    pos: np.ndarray
-    words: np.ndarray
-    start: np.ndarray
-    ids: np.ndarray
-    #: Presence by the top bits of a seed, about 16 places for each: answers most lookups with one read.
-    table: np.ndarray
-    shift: int
+FILTER_POWER = 26
+#: Seeds (some 30 bytes each) up to which the table is broadcast.
+BROADCAST_SEEDS = 1_000_000
+_SLOTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _seeds(h: np.ndarray, woff: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,51 +60,132 @@ def _seeds(h: np.ndarray, woff: np.ndarray, mask: str, salt: int) -> tuple[np.nd
 
 
 def _words(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    import pyarrow.compute as pc
-
     low = pc.utf8_lower(col.fill_null(""))
     for a, z, b, off in tv.chunks(low):
         h, _, _, woff = tv.words(b, off, tv.ALNUM, lower=False)
         yield a, z, h, woff
 
 
-def _block(ids: np.ndarray, texts: list[str]) -> Block:
-    parts = [(h, np.diff(woff)) for _, _, h, woff in _words(pa.array(texts, pa.large_string()))]
-    h = np.concatenate([p[0] for p in parts])
-    start = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
-    seeds = [_seeds(h, start, m, i) for i, m in enumerate(MASKS)]
-    s, item, pos = (np.concatenate(x) for x in zip(*seeds, strict=True))
-    order = np.argsort(s, kind="stable")
-    shift = 64 - max(10, int(16 * len(s)).bit_length())
-    table = np.zeros(1 << (64 - shift), bool)
-    table[(s >> np.uint64(shift)).astype(np.int64)] = True
-    return Block(s[order], item[order], pos[order], h, start, ids, table, shift)
+def _short_mask(n: int) -> tuple[str, int]:
+    return "1" * n, 100 + n
+
+
+# --- the benchmark ------------------------------------------------------------------------------------------------
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(``item, n, w``: distinct texts under their smallest id, with their word hashes; ``item, item_id``: all ids)."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("t")).filter("t IS NOT NULL AND item_id IS NOT NULL")
+    texts = rows.groupBy("t").agg(F.min("item_id").alias("item"))
+
+    def run(batches):
+        for batch in batches:
+            n, w = [], []
+            for a, z, h, woff in _words(batch.column(1)):
+                for i in range(z - a):
+                    n.append(int(woff[i + 1] - woff[i]))
+                    w.append(h[woff[i] : woff[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w, pa.binary())], names=["item", "n", "w"])
+
+    items, _ = materialise(arrow_map(texts.select("item", "t"), run, "item long, n long, w binary").filter("n > 0"), "items")
+    same = rows.join(texts, "t").select("item", "item_id").distinct()
+    return items, same
+
 
+def _seed_table(items: DataFrame) -> DataFrame:
+    """``s, item, at``: the seeds of all items; a short item has its whole run of words as its one seed."""
 
-def _short_runs(block: Block) -> dict[int, dict[int, list[int]]]:
-    """Items with fewer than SHORT words: length -> first word -> items."""
-    out: dict[int, dict[int, list[int]]] = {}
-    for i in range(len(block.ids)):
-        n = int(block.start[i + 1] - block.start[i])
-        if 0 < n < SHORT:
-            out.setdefault(n, {}).setdefault(int(block.words[block.start[i]]), []).append(i)
-    return out
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = np.frombuffer(w, np.uint64)
+                masks = [_short_mask(len(h))] if len(h) < SHORT else [(m, i) for i, m in enumerate(MASKS)]
+                for mask, salt in masks:
+                    s, _, pos = _seeds(h, np.array([0, len(h)]), mask, salt)
+                    out.append((s, np.full(len(s), item), pos))
+            if out:
+                s, item, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(item.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["s", "item", "at"])
 
+    return materialise(arrow_map(items, run, "s long, item long, at long"), "seeds")[0]
 
-def _verify(block: Block, h: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
+
+def _slots(s: np.ndarray, i: int, power: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((s * _SLOTS[i]) >> np.uint64(64 - power)).astype(np.int64)
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """Presence of the seeds' slots: 2 ** FILTER_POWER bits whatever the benchmark."""
+    power = FILTER_POWER
+
+    def run(batches):
+        for batch in batches:
+            s = batch.column(0).to_numpy().view(np.uint64)
+            slot = np.unique(np.concatenate([_slots(s, i, power) for i in range(len(_SLOTS))]))
+            yield pa.RecordBatch.from_arrays([pa.array(slot)], names=["slot"])
+
+    parts = arrow_map(seeds.select("s"), run, "slot long").groupBy(F.expr("slot div 32768").alias("bucket"))
+    rows = parts.agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()  # 2 ** FILTER_POWER / 32768 rows of 4 KB at most
+    bits = np.zeros((1 << power) // 8, np.uint8)
+    for r in rows:
+        bits[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+# --- the documents ------------------------------------------------------------------------------------------------
+
+
+def _passing(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at, power = np.arange(len(s)), len(bits).bit_length() + 2
+    for i in range(len(_SLOTS)):
+        slot = _slots(s[at], i, power)
+        at = at[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _hits(texts: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+    """``k1, k2, s, pos``: the seeds of ``k1, k2, t`` that pass the filter. A seed that is a whole short item counts once."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # fixed size
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            rows, seeds, places = [], [], []
+            for a, _, h, woff in _words(batch.column(2)):
+                for mask, salt in [(m, i) for i, m in enumerate(MASKS)] + [_short_mask(n) for n in lengths]:
+                    s, row, pos = _seeds(h, woff, mask, salt)
+                    at = _passing(bits, s)
+                    if salt >= 100 and len(at):
+                        _, first = np.unique(np.stack([row[at], s[at].view(np.int64)]), axis=1, return_index=True)
+                        at = at[first]
+                    rows.append(row[at] + a)
+                    seeds.append(s[at])
+                    places.append(pos[at])
+            if rows and sum(map(len, rows)):
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))],
+                    names=["k1", "k2", "s", "pos"],
+                )
+
+    return arrow_map(texts, run, "k1 long, k2 long, s long, pos long")
+
+
+def _verify(item: np.ndarray, h: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """Best window on an alignment: (covered item words, agreeing words, item words), or None below the threshold.
 
-    ``diagonal`` is the document position at which the item's first word would stand.
+    ``diagonal`` is the document position at which the item's first word would stand; a short item agrees as a whole.
     """
-    lo, hi = int(block.start[item]), int(block.start[item + 1])
-    n = hi - lo
+    n = len(item)
     a, z = max(0, -diagonal), min(n, len(h) - diagonal)
-    if z <= a:
-        return None
-    same = (block.words[lo + a : lo + z] == h[diagonal + a : diagonal + z]).astype(np.int32)
     w = min(WINDOW, n)
     if z - a < w:
         return None
+    same = (item[a:z] == h[diagonal + a : diagonal + z]).astype(np.int32)
+    if n < SHORT:
+        return (n, n, n) if same.all() else None
     sums = np.convolve(same, np.ones(w, np.int32), "valid")
     good = sums >= np.ceil(MIN_MATCH * w)
     if not good.any():
@@ -121,45 +194,66 @@ def _verify(block: Block, h: np.ndarray, item: int, diagonal: int) -> tuple[int,
     return int(mask.sum()), int(same[mask].sum()), n
 
 
-def _hits(block: Block, h: np.ndarray, woff: np.ndarray, short) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, covered words, agreeing words, first document word) of all verified alignments of a chunk."""
-    found: set[tuple[int, int, int]] = set()
-    for i, mask in enumerate(MASKS):
-        s, row, pos = _seeds(h, woff, mask, i)
-        may = np.flatnonzero(block.table[(s >> np.uint64(block.shift)).astype(np.int64)])
-        lo, up = (np.searchsorted(block.seeds, s[may], side) for side in ("left", "right"))
-        for k in np.flatnonzero(up > lo).tolist():
-            at = may[k]
-            for j in range(lo[k], up[k]):
-                found.add((int(row[at]), int(block.item[j]), int(pos[at]) - int(block.pos[j])))
-    for n, by_first in short.items():
-        keys = np.array(sorted(by_first), np.uint64)
-        for k in np.flatnonzero(np.isin(h, keys)).tolist():
-            row = int(np.searchsorted(woff, k, "right")) - 1
-            for item in by_first[int(h[k])]:
-                lo = int(block.start[item])
-                if k + n <= woff[row + 1] and (h[k : k + n] == block.words[lo : lo + n]).all():
-                    yield row, item, n, n, k - int(woff[row])
-    for row, item, diagonal in sorted(found):
-        if block.start[item + 1] - block.start[item] >= SHORT:
-            got = _verify(block, h[woff[row] : woff[row + 1]], item, diagonal)
-            if got:
-                yield row, item, got[0], got[1], max(0, diagonal)
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:
-    """Blocks of items, each bounded in words; the driver holds one at a time."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL")
-    ids, texts, size = [], [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        size += len(r["t"]) // 2 + 1
-        if size >= BLOCK_WORDS:
-            yield _block(np.array(ids), texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield _block(np.array(ids), texts)
+def _verified(stream: DataFrame) -> DataFrame:
+    """``k1, k2, item, words, matched, item_words, at`` from rows sorted by key: a text, then its alignments."""
+
+    def run(batches):
+        key, words, best = None, None, {}
+
+        def flush(out):
+            for item, (covered, same, at, n) in best.items():
+                out.append((*key, item, covered, same, n, -at))
+            best.clear()
+
+        for batch in batches:
+            out, own = [], {}
+            texts = batch.column(3)
+            for a, z, h, woff in _words(texts):
+                own.update({a + i: h[woff[i] : woff[i + 1]] for i in range(z - a) if texts[a + i].is_valid})
+            k1, k2, item, diagonal = (batch.column(i).to_pylist() for i in (0, 1, 4, 5))
+            for i in range(len(batch)):
+                if (k1[i], k2[i]) != key:
+                    flush(out)
+                    key, words = (k1[i], k2[i]), None
+                if i in own:
+                    words = own[i].copy()
+                elif words is not None:
+                    got = _verify(np.frombuffer(batch.column(6)[i].as_py(), np.uint64), words, diagonal[i])
+                    if got:
+                        new = (got[0], got[1], -max(0, diagonal[i]), got[2])
+                        best[item[i]] = max(best.get(item[i], new), new)
+            if out:
+                yield _table(out)
+        out = []
+        flush(out)
+        if out:
+            yield _table(out)
+
+    def _table(rows):
+        names = ["k1", "k2", "item", "words", "matched", "item_words", "at"]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+
+    return arrow_map(stream, run, "k1 long, k2 long, item long, words long, matched long, item_words long, at long")
+
+
+def overlapping_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``k1, k2, item_id, words, matched, item_words, at``: verified overlaps, one row for each distinct text and item."""
+    items, same = _items(benchmark, item_col, item_text)
+    seeds = _seed_table(items)
+    lengths = sorted(r["n"] for r in items.filter(F.col("n") < SHORT).select("n").distinct().collect())  # SHORT rows at most
+    few = seeds.count() <= BROADCAST_SEEDS
+    sized = F.broadcast if few else (lambda x: x)
+    texts = docs.filter(F.col(text_col).isNotNull()).select(*text_key(F.col(text_col)), F.col(text_col).alias("t"))
+    met = _hits(texts, _filter(seeds), lengths).join(sized(seeds), "s")
+    pairs, _ = materialise(met.select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "alignments")
+    # Copies of a text meet before the exchange, and texts without an alignment stay out of it.
+    wanted = only_keys(texts, F.col("k1"), pairs, "k1").groupBy("k1", "k2").agg(F.min("t").alias("t"))
+    wanted = wanted.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    first = wanted.select("k1", "k2", F.lit(0).alias("kind"), "t", nothing("long").alias("item"), nothing("long").alias("diagonal"), nothing("binary").alias("w"))
+    then = pairs.join(sized(items.select("item", "w")), "item").select("k1", "k2", F.lit(1).alias("kind"), nothing("string").alias("t"), "item", "diagonal", "w")
+    stream = first.unionByName(then).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "kind", "item", "diagonal")
+    return _verified(stream).join(sized(same), "item").drop("item").select("k1", "k2", "item_id", "words", "matched", "item_words", "at")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -167,54 +261,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     ``words`` item words stand in verified windows, ``matched`` of them agree, ``at`` is the first document word.
     """
-    sc, out = docs.sparkSession.sparkContext, None
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter("__t IS NOT NULL")
-    kind = base.schema["__id"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id long, words long, matched long, item_words long, at long"
-    for block in _blocks(benchmark, item_col, item_text):
-        shared = sc.broadcast((block, _short_runs(block)))  # BLOCK_WORDS words at most
-
-        def run(batches, shared=shared):
-            block, short = shared.value
-            for batch in batches:
-                ids, best = batch.column(0), {}
-                for a, _, h, woff in _words(batch.column(1)):
-                    for row, item, covered, same, at in _hits(block, h, woff, short):
-                        key = (a + row, item)
-                        best[key] = max(best.get(key, (0, 0, 0)), (covered, same, -at))
-                keys = sorted(best)
-                n = block.start[1:] - block.start[:-1]
-                values = [
-                    [int(block.ids[i]) for _, i in keys],
-                    *([best[k][j] for k in keys] for j in (0, 1)),
-                    [int(n[i]) for _, i in keys],
-                    [-best[k][2] for k in keys],
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([r for r, _ in keys], pa.int64())), *(pa.array(v, pa.int64()) for v in values)],
-                    names=[id_col, "item_id", "words", "matched", "item_words", "at"],
-                )
-
-        part = arrow_map(base, run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    found = overlapping_texts(docs, benchmark, text_col, item_col, item_text)
+    rows = docs.select(F.col(id_col), *text_key(F.col(text_col)))
+    return rows.join(found, ["k1", "k2"]).select(id_col, "item_id", "words", "matched", "item_words", "at")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the rows that overlap a benchmark item; rows with a null id are judged by their text alone."""
-    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    bad = overlaps(docs.select(key.alias("__h"), text_col), benchmark, "__h", text_col, **kw).select("__h").distinct()
-    # Equal texts share a verdict, so the text's digest is the join key; AQE broadcasts the few marks.
-    return docs.withColumn("__h", key).join(bad, "__h", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` without the rows that overlap a benchmark item; every row is judged by its text alone."""
+    bad = overlapping_texts(docs, benchmark, text_col, **kw).select("k1", "k2").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *text_key(F.col(text_col)))
+    return rows.join(bad, ["k1", "k2"], "left_anti").select("doc.*")
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document with its verified items: doc_id, contaminated, n_items, item_ids, max_words, max_matched."""
-    found = overlaps(docs.select("doc_id", "text"), benchmark)
-    per = found.groupBy("doc_id").agg(
+    found = overlapping_texts(docs.select("text"), benchmark)
+    per = found.groupBy("k1", "k2").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"), F.max("words").alias("w"), F.max("matched").alias("m")
     )
-    out = docs.select("doc_id").join(per, "doc_id", "left")
+    out = docs.select("doc_id", *text_key(F.col("text"))).join(per, ["k1", "k2"], "left")
     return out.select(
         "doc_id",
         F.col("items").isNotNull().alias("contaminated"),

@@ -1,21 +1,23 @@
 """Personal data: base detectors plus information-theoretic sanitisation.
 
 The base detectors find e-mail addresses, IP addresses, payment cards and phone numbers in whole texts. Every distinct
-value is a *protected entity*; the line that mentions it is its context. Over the whole corpus it is counted in how
-many (document, line) contexts a term stands, n(t), an entity stands, n(e), and both stand, n(e, t). A term discloses
-the entity as far as their pointwise mutual information reaches the entity's own information content:
+value is a *protected entity*, and so is a secret: a run of letters and digits mixed throughout that carries
+``SECRET_BITS`` of information at least (its length times the entropy of its characters). Over the whole corpus it is
+counted in how many documents a term stands, n(t), an entity stands, n(e), and both stand in one line, n(e, t). A term
+discloses the entity as far as their pointwise mutual information reaches the entity's own information content:
 
     PMI(e; t) >= ALPHA * IC(e),   PMI = log(n(e,t) * N / (n(e) * n(t))),   IC(e) = log(N / n(e))
 
-with at least ``MIN_SUPPORT`` joint contexts in different documents. Such terms are spans of kind ``term`` in the
-contexts that mention the entity; ``sanitise`` replaces base spans by their kind and terms by a general placeholder
-(or removes them).
+with at least ``MIN_SUPPORT`` joint documents. Such terms are spans of kind ``term`` wherever they stand in a document
+that holds the entity, in its line or elsewhere; ``sanitise`` replaces base spans and secrets by their kind and terms by
+a general placeholder (or removes them).
 
-Corpus counts cover every document. Only terms that stand in a context need a count, so a bitmap of fixed size
+Corpus counts cover every document. Only terms that stand beside an entity need a count, so a bitmap of fixed size
 (``2 ** BITMAP_POWER`` bits: a proven bound) tells the counting pass which word hashes may matter; the exact join follows.
 
-Defined results: a null text is empty; repeated rows add to the counts like any rows and get the same spans; a document
-with a null id gets base spans only; overlapping base spans of different kinds all stay.
+Defined results: a null text is empty; spans belong to texts, so repeated rows, null ids and equal ids with different
+texts each get those of their own text, and every row adds to the counts; overlapping base spans of different kinds all
+stay; a value that stands in fewer than ``MIN_SUPPORT`` documents has no terms.
 """
 
 from __future__ import annotations
@@ -30,9 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
+from millrace.llm.keys import only_keys, text_key
 from millrace.session import arrow_map, materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of all spans; the method adds the last two.
+ALL_KINDS = (*KINDS, "term", "secret")
+TERM, SECRET = len(KINDS), len(KINDS) + 1
+SECRET_BITS, SECRET_TURNS = 64, 4
 ALPHA = 0.9
 MIN_SUPPORT = 2
 BITMAP_POWER = 24
@@ -45,6 +52,8 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}(?![A-Za-z0-9])")
+_TURN = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 _TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]{3,}")
 
 Span = tuple[int, int, int]  # start, rank of the kind, end
@@ -90,53 +99,78 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, list[Span], int, int, str]]:
-    """(line's start, its base spans, term's start and end, term) for every word beside a base span."""
+def secret_spans(text: str, base: list[Span]) -> list[Span]:
+    """Runs of mixed letters and digits that carry much information and lie in no base span."""
+    out = []
+    for m in _RUN.finditer(text):
+        run = m[0]
+        if len(_TURN.findall(run)) >= SECRET_TURNS and not any(a < m.end() and m.start() < z for a, _, z in base):
+            counts = np.unique(np.frombuffer(run.encode(), np.uint8), return_counts=True)[1]
+            if -(counts * np.log2(counts / len(run))).sum() >= SECRET_BITS:
+                out.append((m.start(), SECRET, m.end()))
+    return out
+
+
+def _words_outside(text: str, spans: list[Span], start: int, end: int) -> Iterator[re.Match]:
+    """Words of a stretch of text that no span touches."""
+    covered = np.zeros(end - start + 1, bool)
+    for a, _, z in spans:
+        if a < end and z > start:
+            covered[max(0, a - start) : z - start] = True
+    for m in _TERM.finditer(text, start, end):
+        if not covered[m.start() - start : m.end() - start].any():
+            yield m
+
+
+def _near(text: str, spans: list[Span]) -> set[tuple[int, str]]:
+    """(entity, word) for every word in the line of a span."""
     line_of: dict[int, list[Span]] = {}
     for s in spans:
         line_of.setdefault(text.rfind("\n", 0, s[0]) + 1, []).append(s)
+    out = set()
     for start, own in line_of.items():
         end = text.find("\n", start)
-        end = len(text) if end < 0 else end
-        covered = np.zeros(end - start + 1, bool)
-        for a, _, z in own:
-            covered[a - start : z - start] = True
-        for m in _TERM.finditer(text, start, end):
-            if not covered[m.start() - start : m.end() - start].any():
-                yield start, own, m.start(), m.end(), m[0]
+        entities = {_entity(ALL_KINDS[k], text[a:z]) for a, k, z in own}
+        out.update((e, m[0]) for m in _words_outside(text, own, start, len(text) if end < 0 else end) for e in entities)
+    return out
+
+
+SPANS = "array<struct<start:long,kind:int,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+
+
+def _struct(spans: list[Span]) -> list[dict]:
+    return [{"start": s, "kind": k, "end": e} for s, k, e in spans]
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, lines, base, terms``: number of lines, base spans, and the words around them as (entity, term hash, line, start, end)."""
-    base = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
-    kind = base.schema[id_col].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    """``id, k1, k2, base, secrets, entities, near``: key of the text, its spans, the entities they name, and the words that
+    stand in a line with one, as (entity, term hash)."""
+    base = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), F.col(text_col).alias("t"))
+    kind = base.schema["id"].dataType.simpleString()
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            all_base, all_terms, lines = [], [], []
-            for t in batch.column(1):
+            all_base, secrets, entities, pairs = [], [], [], []
+            for t in batch.column(3):
                 text = t.as_py() or ""
                 spans = base_spans(text)
-                lines.append(text.count("\n") + 1)
-                all_base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                around = list(_contexts(text, spans)) if spans else []
-                hashes = tv.hash_words([w for *_, w in around], table=tv.ALNUM).view(np.int64).tolist() if around else []
-                rows = []
-                for (line, own, s, e, _), h in zip(around, hashes, strict=True):
-                    for entity in sorted({_entity(KINDS[k], text[a:z]) for a, k, z in own}):
-                        rows.append({"entity": entity, "term": h, "line": line, "start": s, "end": e})
-                all_terms.append(rows)
+                hidden = secret_spans(text, spans)
+                all_base.append(_struct(spans))
+                secrets.append(_struct(hidden))
+                own = [*spans, *hidden]
+                entities.append(sorted({_entity(ALL_KINDS[k], text[a:z]) for a, k, z in own}))
+                found = sorted(_near(text, own)) if own else []
+                hashes = tv.hash_words([w for _, w in found], table=tv.ALNUM).view(np.int64).tolist() if found else []
+                distinct = sorted({(e, h) for (e, _), h in zip(found, hashes, strict=True)})
+                pairs.append([{"entity": e, "term": h} for e, h in distinct])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, pa.int64()), pa.array(all_base, span), pa.array(all_terms, near)], names=[id_col, "lines", "base", "terms"]
+                [*(batch.column(i) for i in range(3)), pa.array(all_base, _SPANS), pa.array(secrets, _SPANS), pa.array(entities, pa.list_(pa.int64())), pa.array(pairs, near)],
+                names=["id", "k1", "k2", "base", "secrets", "entities", "near"],
             )
 
-    return arrow_map(
-        base,
-        run, f"`{id_col}` {kind}, lines long, base array<struct<start:long,kind:int,end:long>>, "
-        "terms array<struct<entity:long,term:long,line:long,start:long,end:long>>"
-    )
+    return arrow_map(base, run, f"id {kind}, k1 long, k2 long, base {SPANS}, secrets {SPANS}, entities array<long>, near array<struct<entity:long,term:long>>")
 
 
 def _entity(kind: str, value: str) -> int:
@@ -159,8 +193,8 @@ def _candidate_bitmap(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _line_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
-    """``term, n``: in how many lines each word that the bitmap admits stands, over all documents."""
+def _document_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
+    """``term, n_t``: in how many documents each word that the bitmap admits stands."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # fixed size
 
     def run(batches):
@@ -168,15 +202,14 @@ def _line_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             terms, counts = [], []
             for _, _, b, off in tv.chunks(batch.column(0)):
-                h, starts, *_ = tv.words(b, off, tv.ALNUM)
+                h, _, _, woff = tv.words(b, off, tv.ALNUM)
                 keep = np.flatnonzero(on[(h >> np.uint64(64 - BITMAP_POWER)).astype(np.int64)])
                 if not len(keep):
                     continue
-                ends = np.union1d(np.flatnonzero(b == 10), off)  # lines end at line feeds and at rows' ends
-                line = np.searchsorted(ends, starts[keep], "right")
-                order = np.lexsort((line, h[keep]))
-                hs, ls = h[keep][order], line[order]
-                first = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ls[1:] != ls[:-1])])
+                row = np.searchsorted(woff, keep, "right")
+                order = np.lexsort((row, h[keep]))
+                hs, rs = h[keep][order], row[order]
+                first = np.concatenate([[True], (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])])
                 keys, n = np.unique(hs[first], return_counts=True)
                 terms.append(keys)
                 counts.append(n)
@@ -189,82 +222,103 @@ def _line_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_terms(
-    docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT
-) -> DataFrame:
-    """``entity, term``: pairs whose mutual information reaches the disclosure threshold."""
-    near = found.filter(F.col(id_col).isNotNull() & (F.size("terms") > 0)).select(id_col, F.explode("terms").alias("x"))
-    joint = near.select(id_col, "x.entity", "x.term", "x.line").distinct()
-    pairs = joint.groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_et"), F.min(id_col).alias("a"), F.max(id_col).alias("b")
-    )
-    pairs = pairs.filter((F.col("n_et") >= min_support) & (F.col("a") != F.col("b"))).drop("a", "b")
-    entities = joint.select("entity", id_col, "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = found.agg(F.sum("lines").cast("double").alias("n"))  # one row
-    # PMI >= alpha * IC bounds n(t) from above. The contexts seen so far bound it from below, which rules out common
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """``entity, term``: pairs whose mutual information reaches the disclosure threshold. ``found`` is what ``detect`` gives."""
+    joint = found.select(F.explode("near").alias("x")).select("x.entity", "x.term")  # distinct in a document
+    pairs = joint.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= min_support)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    total = found.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
+    # PMI >= alpha * IC bounds n(t) from above. The documents seen so far bound it from below, which rules out common
     # words before the corpus is counted, and loses no term.
-    seen = joint.select("term", id_col, "line").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_c"))
+    seen = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
+    seen = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_c"))
     most = F.col("n_et") * F.pow(F.col("n") / F.col("n_e"), 1 - alpha)
     pairs = pairs.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(total)).filter(F.col("n_c") <= most * (1 + 1e-9))
     pairs, _ = materialise(pairs.drop("n_c"), "pairs")
-    terms = _line_counts(docs, text_col, _candidate_bitmap(pairs))
+    terms = _document_counts(docs, text_col, _candidate_bitmap(pairs))
     scored = pairs.join(terms, "term")
     pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e").cast("double") * F.col("n_t")))
     ic = F.log(F.col("n") / F.col("n_e"))
     return scored.filter(pmi >= alpha * ic).select("entity", "term")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """``wanted`` (k1, k2 and more) with the text of each key; copies of a text meet before the exchange."""
+    texts = docs.filter(F.col(text_col).isNotNull()).select(*text_key(F.col(text_col)), F.col(text_col).alias("t"))
+    return only_keys(texts, F.col("k1"), wanted, "k1").groupBy("k1", "k2").agg(F.min("t").alias("t")).join(wanted, ["k1", "k2"])
+
+
+def _term_spans(marked: DataFrame) -> DataFrame:
+    """``k1, k2, more``: where the terms of a text stand in it, outside the spans that name entities."""
+
+    def run(batches):
+        for batch in batches:
+            more = []
+            for t, terms in zip(batch.column(2), batch.column(3), strict=True):
+                text, wanted = t.as_py(), np.array(terms.as_py(), np.int64)
+                base = base_spans(text)
+                words = list(_words_outside(text, [*base, *secret_spans(text, base)], 0, len(text)))
+                hashes = tv.hash_words([m[0] for m in words], table=tv.ALNUM).view(np.int64) if words else np.zeros(0, np.int64)
+                more.append(_struct([(words[i].start(), TERM, words[i].end()) for i in np.flatnonzero(np.isin(hashes, wanted)).tolist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, _SPANS)], names=["k1", "k2", "more"])
+
+    return arrow_map(marked.select("k1", "k2", "t", "terms"), run, f"k1 long, k2 long, more {SPANS}")
+
+
+def keyed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """``id, k1, k2, base, spans`` of every row."""
+    found, _ = materialise(detect(docs, id_col, text_col), "spans")
+    risky = disclosing_terms(docs, found, text_col, alpha, min_support)
+    held = found.select("k1", "k2", F.explode("entities").alias("entity")).distinct().join(risky, "entity")
+    marks, _ = materialise(held.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms")), "marks")
+    out = found.join(_term_spans(_texts_of(docs, marks, text_col)), ["k1", "k2"], "left")
+    more = F.coalesce("more", F.array().cast(SPANS.replace("long", "bigint")))
+    return out.select("id", "k1", "k2", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "secrets", more)).alias("spans"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``<id>, base, spans``: base spans and all spans of every row, as (start, kind, end); kind 4 is a term."""
-    found = detect(docs, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
-    found, _ = materialise(found, "spans")
-    risky = disclosing_terms(docs, found, id_col, text_col, alpha, min_support)
-    near = found.filter(F.col(id_col).isNotNull()).select("__row", F.explode("terms").alias("x")).select("__row", "x.*")
-    extra = near.join(risky, ["entity", "term"]).groupBy("__row").agg(
-        F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("__more")
-    )
-    out = found.join(extra, "__row", "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("__more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
-    return out.select(id_col, F.array_sort("base").alias("base"), spans.alias("spans"))
+    """``<id>, base, spans``: base spans and all spans of every row, as (start, kind, end); kinds are places in ALL_KINDS."""
+    return keyed_spans(docs, id_col, text_col, alpha, min_support).select(F.col("id").alias(id_col), "base", "spans")
 
 
-def _joined(spans: str) :
-    names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
+def _joined(spans: str):
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
     )
 
 
 def sanitise(docs: DataFrame, remove_terms: bool = False, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with every base span replaced by its kind and every disclosing term generalised or removed.
-
-    Ids must be unique: a text and its spans meet by id.
-    """
-    spans = find(docs, id_col, text_col, **kw).select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
-    names = [f"[{k.upper()}]" for k in KINDS] + ["" if remove_terms else "[TERM]"]
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    spec = docs.schema
+    """``docs`` with every base span and secret replaced by its kind and every disclosing term generalised or removed. A text
+    and its spans meet by the text's key, so ids play no part."""
+    spans = keyed_spans(docs, id_col, text_col, **kw).filter(F.size("spans") > 0).groupBy("k1", "k2").agg(F.min("spans").alias("spans"))
+    spans, _ = materialise(spans, "masks")
+    names = [f"[{k.upper()}]" for k in ALL_KINDS]
+    names[TERM] = "" if remove_terms else "[TERM]"
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             texts = []
-            for t, found in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):
-                if t is not None:
-                    pieces, done = [], 0
-                    for s in found or ():
-                        if s["start"] >= done:  # what lies within a replaced span is gone already
-                            pieces += [t[done : s["start"]], names[s["kind"]]]
-                        done = max(done, s["end"])
-                    t = "".join([*pieces, t[done:]])
-                texts.append(t)
-            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(spec))]
-            yield pa.RecordBatch.from_arrays(cols, names=spec.names)
-
-    return arrow_map(joined.select(*docs.columns, "__spans"), run, spec)
+            for t, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                pieces, done = [], 0
+                for s in found:
+                    if s["start"] >= done:  # what lies within a replaced span is gone already
+                        pieces += [t[done : s["start"]], names[s["kind"]]]
+                    done = max(done, s["end"])
+                texts.append("".join([*pieces, t[done:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["k1", "k2", "clean"])
+
+    masked = arrow_map(_texts_of(docs, spans, text_col).select("k1", "k2", "t", "spans"), run, "k1 long, k2 long, clean string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *text_key(F.col(text_col)))
+    field = F.col("doc").getField
+    text = F.coalesce("clean", field(text_col))
+    return rows.join(masked, ["k1", "k2"], "left").select(*[(text if c == text_col else field(c)).alias(c) for c in docs.columns])
 
 
 def op7(docs: DataFrame) -> DataFrame:
     out = find(docs.select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return out.select("doc_id", *(count(k) for k in range(4)), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{ALL_KINDS[k]}")
+    return out.select(
+        "doc_id", *(count(k) for k in range(4)), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
+        count(TERM), count(SECRET), F.size("spans").cast("long").alias("n_spans"),
+    )

@@ -4,11 +4,14 @@ On a bounded sample (``SAMPLE`` vectors, smallest hash first) the exact neighbou
 recursive bisection: a smooth vector over the graph (power iteration) is split at its median and the halves are
 refined by balanced swaps. A small network (one hidden layer) learns to tell a vector's part. It then sends *every* row
 to its most probable part, and every query to its several most probable parts; the candidates found there are reranked
-by exact cosine in double precision. How many parts a query visits is set on the sample: the fewest that reach
-``TARGET_RECALL`` against brute force. On vectors without any structure that is most of the parts.
+by exact cosine in double precision. How many parts a query visits is set on ``HELD`` sample vectors that the network was
+not trained on: the fewest that reach ``TARGET_RECALL`` against brute force. On vectors without any structure that is
+most of the parts.
 
-Parts are cut into blocks of bounded size, and so are the queries of a part, so a hot part is many small tasks; the
-model (a few matrices) is all that is broadcast.
+A part is cut into blocks of ``BLOCK_VALUES`` numbers at most. A task holds one block and lets the part's queries stream
+past it, so a vector travels once and a query once for each block that it visits; only where a block would meet more than
+``PAIRS`` (query, vector) pairs are its queries dealt to several tasks, each with the block. Parts are ranked for queries
+only, and the model (a few matrices) is all that is broadcast.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have not the commonest length
 take no part, neither do rows with a null id; a query's own row is every row with its id; fewer than ``k`` candidates
@@ -31,7 +34,8 @@ from millrace.session import arrow_map, materialise
 SAMPLE, GRAPH_K, HIDDEN = 5000, 10, 96
 PARTS, MAX_PARTS, PART_ROWS = 16, 256, 65_536
 TARGET_RECALL = 0.97
-BLOCK_VALUES, QUERY_BLOCK = 1 << 19, 1024
+HELD = 1000
+BLOCK_VALUES, PAIRS = 1 << 22, 1 << 31
 
 
 @dataclass
@@ -107,6 +111,9 @@ def fit(x: np.ndarray, parts: int, k: int = 5, seed: int = 5, target: float = TA
     rng = np.random.default_rng(seed)
     near = _neighbours(x, GRAPH_K)
     label = partition(near, parts, seed)
+    order = rng.permutation(len(x))
+    held = order[: min(HELD, len(x) // 5)]  # not trained on: they set the number of probes
+    learnt = np.setdiff1d(order, held)
     y = np.zeros((len(x), parts))
     np.add.at(y, (np.repeat(np.arange(len(x)), near.shape[1]), label[near].ravel()), 1.0)  # where its neighbours are
     y[np.arange(len(x)), label] += near.shape[1]
@@ -114,8 +121,8 @@ def fit(x: np.ndarray, parts: int, k: int = 5, seed: int = 5, target: float = TA
     p = [rng.normal(size=(x.shape[1], HIDDEN)) * np.sqrt(2 / x.shape[1]), np.zeros(HIDDEN), rng.normal(size=(HIDDEN, parts)) * 0.1, np.zeros(parts)]
     m1, m2, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for _ in range(12):
-        order = rng.permutation(len(x))
-        for s in range(0, len(x), 128):
+        order = rng.permutation(learnt)
+        for s in range(0, len(order), 128):
             b = order[s : s + 128]
             h = np.maximum(x[b] @ p[0] + p[1], 0)
             z = h @ p[2] + p[3]
@@ -132,7 +139,7 @@ def fit(x: np.ndarray, parts: int, k: int = 5, seed: int = 5, target: float = TA
     home = logits.argmax(1)
     rank = np.empty_like(logits, dtype=int)
     np.put_along_axis(rank, np.argsort(-logits, 1), np.arange(parts)[None, :], 1)
-    tried = rng.permutation(len(x))[:1000]
+    tried = held if len(held) else learnt
     true = _neighbours(x, min(k, len(x) - 1))[tried]
     depth = np.take_along_axis(rank[tried], home[true], 1)  # at which probe each true neighbour turns up
     recall = [(depth < m).mean() for m in range(1, parts + 1)]
@@ -184,78 +191,97 @@ def search(table: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id"
         m = shared.value
         for batch in batches:
             x = _vectors(batch.column(1))
-            z = m.logits(x) if len(x) else np.zeros((0, m.parts))
-            order = np.argsort(-z, 1, kind="stable").astype(np.int32)
+            part = m.logits(x).argmax(1) if len(x) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["id", "v", "part"])
+
+    def rank(batches):
+        m = shared.value
+        for batch in batches:
+            x = _vectors(batch.column(1))
+            order = np.argsort(-m.logits(x), 1, kind="stable").astype(np.int32) if len(x) else np.zeros((0, m.parts), np.int32)
             top = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * m.parts, pa.int32()), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, top], names=["id", "v", "parts"])
 
-    placed, _ = materialise(arrow_map(rows, assign, "id long, v array<double>, parts array<int>"), "parts")
-    asked = placed.filter(queries)
-    sizes = placed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # MAX_PARTS rows
-    load = asked.select(F.explode(F.slice("parts", 1, model.probes)).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
+    placed, _ = materialise(arrow_map(rows, assign, "id long, v array<double>, part int"), "parts")
+    asked, _ = materialise(arrow_map(placed.filter(queries).select("id", "v"), rank, "id long, v array<double>, parts array<int>"), "asked")
     block = max(256, BLOCK_VALUES // dim)
-    table_of = lambda found, size: {r["part"]: -(-r["n"] // size) for r in found}
-    v_blocks, q_blocks = table_of(sizes, block), table_of(load, QUERY_BLOCK)
-    found = _rerank(placed, asked, F.slice("parts", 1, model.probes), v_blocks, q_blocks, k)
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_PARTS rows
+    found = _rerank(placed, asked, F.slice("parts", 1, model.probes), sizes, block, k)
     # Too few candidates in the visited parts: such a query visits the others too.
     found, _ = materialise(found, "found")
     short = asked.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")), F.col("id") == F.col("query_id"), "left")
     short = short.filter(F.coalesce("c", F.lit(0)) < min(k, n - 1)).select("id", "v", "parts")
     if model.probes < model.parts and not short.isEmpty():
-        rest = {r["part"]: -(-r["n"] // QUERY_BLOCK) for r in short.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        more = _rerank(placed, short, F.col("parts"), v_blocks, rest, k)
+        more = _rerank(placed, short, F.col("parts"), sizes, block, k)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def _rerank(placed: DataFrame, asked: DataFrame, visits: Column, v_blocks: dict, q_blocks: dict, k: int) -> DataFrame:
-    both = sorted(set(v_blocks) & set(q_blocks))
+def _rerank(placed: DataFrame, asked: DataFrame, visits: Column, sizes: dict, block: int, k: int) -> DataFrame:
+    """The ``k`` nearest of the visited parts for each query."""
+    asks = asked.select("id", "v", F.explode(visits).alias("part"))
+    load = {r["part"]: r["n"] for r in asks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_PARTS rows
+    both = sorted(set(sizes) & set(load))
+    vb = {p: -(-sizes[p] // block) for p in both}
+    qb = {p: -(-load[p] * min(sizes[p], block) // PAIRS) for p in both}
     as_map = lambda d: F.create_map(*[F.lit(x) for p in both for x in (p, d[p])])
-    cols = ["part", "vb", "qb", "side", "id", "v"]
-    home = F.get("parts", F.lit(0))
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sized = lambda d: d.withColumn("nv", as_map(v_blocks)[F.col("part")]).withColumn("nq", as_map(q_blocks)[F.col("part")]).filter("nv IS NOT NULL AND nq IS NOT NULL")
-    rows = sized(placed.select("id", "v", home.alias("part"))).withColumn("vb", pick("nv")).withColumn("qb", spread("nq")).withColumn("side", F.lit(1))
-    asks = sized(asked.select("id", "v", F.explode(visits).alias("part"))).withColumn("qb", pick("nq")).withColumn("vb", spread("nv")).withColumn("side", F.lit(0))
+    sized = lambda d: d.withColumn("nv", as_map(vb)[F.col("part")]).withColumn("nq", as_map(qb)[F.col("part")]).filter("nv IS NOT NULL")
+    schema = "query_id long, vec_id long, score double"
+    if not both:
+        return placed.sparkSession.createDataFrame([], f"{schema}, rank int")
+    cols = ["part", "vb", "qb", "side", "id", "v"]
+    rows = sized(placed.select("id", "v", "part")).withColumn("vb", pick("nv")).withColumn("qb", spread("nq")).withColumn("side", F.lit(0))
+    asks = sized(asks).withColumn("qb", pick("nq")).withColumn("vb", spread("nv")).withColumn("side", F.lit(1))
 
     def run(batches):
-        for t in tv.whole_groups(batches, 3):
-            key = np.stack([t.column(i).to_numpy() for i in range(3)])
-            starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-            side, ids = t.column(3).to_numpy(), t.column(4).to_numpy()
-            x = _vectors(t.column(5).combine_chunks())
-            norm = np.sqrt((x * x).sum(1))
+        key, held, ready = None, [], None
+        for batch in batches:
+            names = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            side, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            x = _vectors(batch.column(5))
+            change = (names[:, 1:] != names[:, :-1]).any(0) | (side[1:] != side[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)]
             out = []
-            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
-                q, v = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
-                if len(q) and len(v):
-                    out += _nearest(x, norm, ids, q, v, k)
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if s == e:
+                    continue
+                if (own := tuple(names[:, s])) != key:
+                    key, held, ready = own, [], None
+                if side[s] == 0:
+                    held.append((ids[s:e], x[s:e].copy()))
+                elif held:
+                    if ready is None:  # the block is complete once its first query comes
+                        v = np.concatenate([h[1] for h in held])
+                        ready = np.concatenate([h[0] for h in held]), v, np.sqrt((v * v).sum(1))
+                        held = held[:1]
+                    out += _nearest(*ready, ids[s:e], x[s:e], k)
             if out:
                 a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
 
-    order = ["part", "vb", "qb"]
-    stream = rows.select(cols).unionByName(asks.select(cols)).repartition(*order).sortWithinPartitions(*order)
-    near = arrow_map(stream, run, "query_id long, vec_id long, score double")
+    stream = rows.select(cols).unionByName(asks.select(cols)).repartition("part", "vb", "qb").sortWithinPartitions("part", "vb", "qb", "side")
+    near = arrow_map(stream, run, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _nearest(x, norm, ids, q, v, k: int):
+def _nearest(ids, x, norm, asked, q, k: int):
     """The k best of one block for each query; ties are settled on scores computed the same way for every pair."""
     out = []
-    unit = x[v] / norm[v, None]
-    for s in range(0, len(q), 256):
-        part = q[s : s + 256]
-        sim = (x[part] / norm[part, None]) @ unit.T
-        sim[ids[part][:, None] == ids[v][None, :]] = -np.inf
-        floor = -np.partition(-sim, k - 1, 1)[:, k - 1] if sim.shape[1] > k else np.full(len(part), -np.inf)
-        for r, at in enumerate(part):
-            c = v[(sim[r] >= floor[r] - 1e-9) & np.isfinite(sim[r])]
-            score = (x[c] * x[at]).sum(1) / (norm[c] * norm[at])
+    length = np.sqrt((q * q).sum(1))
+    step = max(1, (1 << 21) // len(ids))
+    for s in range(0, len(asked), step):
+        sim = (q[s : s + step] @ x.T) / norm
+        sim /= length[s : s + step, None]
+        sim[asked[s : s + step, None] == ids[None, :]] = -np.inf
+        floor = -np.partition(-sim, k - 1, 1)[:, k - 1] if sim.shape[1] > k else np.full(len(sim), -np.inf)
+        for r in range(len(sim)):
+            c = np.flatnonzero((sim[r] >= floor[r] - 1e-9) & np.isfinite(sim[r]))
+            score = (x[c] * q[s + r]).sum(1) / (norm[c] * length[s + r])
             best = np.lexsort((ids[c], -score))[:k]
-            out.append((np.full(len(best), ids[at]), ids[c[best]], score[best]))
+            out.append((np.full(len(best), asked[s + r]), ids[c[best]], score[best]))
     return out
 
 

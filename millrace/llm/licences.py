@@ -7,6 +7,8 @@ a notice of its own (a short notice such as a one-line grant is a complete text,
 
 The table of known texts is a parameter; ``known_texts`` gives the grants and notices built in. It is small by
 construction, and it is broadcast only after a check of its size (``BROADCAST_ROWS``); a larger one is joined by hash.
+A sentence is only brought to canonical form if it starts with a word that some known text, or a spelling of it, starts
+with: no other can be equal to one.
 
 Defined results: null or empty texts match nothing; repeated rows are reported once each; a notice that occurs twice
 counts twice in ``n_notices``; when several licences share one canonical text all are reported.
@@ -143,10 +145,19 @@ def known_texts() -> list[tuple[str, str]]:
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """``digest, licence``: one row per distinct pair."""
+    """``digest, licence, first``: one row per distinct pair, with the first word of the canonical text."""
     known = known_texts() if known is None else known
-    rows = spark.createDataFrame(list(known), "licence string, body string")
-    return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "licence").distinct()
+    rows = spark.createDataFrame(list(known), "licence string, body string").select("licence", canonical(F.col("body")).alias("c"))
+    return rows.select(F.sha2("c", 256).alias("digest"), "licence", F.split("c", " ")[0].alias("first")).distinct()
+
+
+def _may_be_known(sentence: Column, digests: DataFrame, n: int) -> Column:
+    """Whether a sentence starts with a known text's first word in any of its spellings."""
+    if n > BROADCAST_ROWS:
+        return F.lit(True)
+    words = {r["first"] for r in digests.select("first").distinct().collect()}  # n words at most
+    words |= {old.split()[0] for old, new in SPELLINGS if new.split()[0] in words}
+    return F.regexp_extract(F.lower(sentence), r"[\p{L}\p{N}]+", 0).isin(*sorted(words))
 
 
 def _sized(digests: DataFrame, n: int) -> DataFrame:
@@ -168,25 +179,23 @@ def licence_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col:
     known = known_texts() if known is None else known
     digests, n = known_digests(spark, known), len(known)
     by_digest = digests.groupBy("digest").agg(F.array_sort(F.collect_set("licence")).alias("licences"))
-    base = docs.select(F.col(id_col), F.col(text_col).alias("__t")).withColumn("__row", F.monotonically_increasing_id())
-    whole = base.withColumn("digest", F.sha2(canonical(F.col("__t")), 256))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    whole = base.withColumn("digest", F.sha2(canonical(F.col("t")), 256))
     whole = whole.join(_sized(by_digest, n), "digest", "left").withColumnRenamed("licences", "text_licences")
-    # Sentences: only those short enough to be a known text are canonicalised; only hits leave the map side.
-    s = whole.select(id_col, "__row", "digest", "text_licences", F.explode(sentences(F.col("__t"))).alias("__s"))
-    hit = s.withColumn("__d", F.sha2(canonical(F.col("__s")), 256)).join(
-        _sized(by_digest.select(F.col("digest").alias("__d"), "licences"), n), "__d", "left"
-    )
+    s = whole.select("id", "row", "digest", "text_licences", F.explode(sentences(F.col("t"))).alias("s"))
+    own = F.when(_may_be_known(F.col("s"), digests, n), F.sha2(canonical(F.col("s")), 256))
+    hit = s.withColumn("d", own).join(_sized(by_digest.select(F.col("digest").alias("d"), "licences"), n), "d", "left")
     empty = F.array().cast("array<string>")
     return (
-        hit.groupBy("__row")
+        hit.groupBy("row")
         .agg(
-            F.first(id_col).alias(id_col),
+            F.first("id").alias(id_col),
             F.first("digest").alias("digest"),
             F.coalesce(F.first("text_licences"), empty).alias("text_licences"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("licences")))).alias("notice_licences"),
             F.count("licences").alias("n_notices"),
         )
-        .drop("__row")
+        .drop("row")
     )
 
 
@@ -202,20 +211,26 @@ def op9(docs: DataFrame) -> DataFrame:
     )
 
 
-#: The SQL form keeps its own pattern, which has no notion of wording, and the texts of ``KNOWN`` alone.
-SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A notice line in SQL: the engine has no look-ahead, so each form that needs one is a match and a match that must not be.
+SQL_NOTICES = (
+    (r"^[ \t]*(copyright[ \t]*[:,]?[ \t]*(\(c\)|©|\d|[\[<{])|©|all rights reserved)", None),
+    (r"^[ \t]*copyright[ \t]+\p{L}", rf"^[ \t]*copyright[ \t]+(?:{WORDING})\b"),
+    (r"^[ \t]*\(c\)[ \t]*[\p{L}\d\[<{©]", rf"^[ \t]*\(c\)[ \t]*(?:{LISTED})\b"),
+)
 
 
 def _sql_canonical(x: str) -> str:
-    c = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_COPYRIGHT_LINE}', ' ', 'g')"
+    hit = lambda r: f"regexp_matches(l, '{r}')"
+    notice = " OR ".join(f"({hit(yes)} AND NOT {hit(no)})" if no else hit(yes) for yes, no in SQL_NOTICES)
+    c = f"array_to_string(list_filter(string_split(lower(coalesce({x}, '')), chr(10)), lambda l: NOT ({notice})), chr(10))"
     c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for old, new in SPELLINGS:
         c = f"replace({c}, ' {old} ', ' {new} ')"
     return f"trim({c})"
 
 
-def _oracle_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+def oracle_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_texts())
     return f"""
 WITH known(licence, body) AS (VALUES {values}),
 k AS (SELECT DISTINCT licence, sha256({_sql_canonical('body')}) AS digest FROM known),
@@ -223,13 +238,10 @@ d AS (SELECT doc_id, text, sha256({_sql_canonical('text')}) AS digest FROM docum
 s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n+|[.!?]+[ \\t]+')) AS body FROM documents),
 h AS (SELECT doc_id, sha256({_sql_canonical('body')}) AS digest FROM s),
 n AS (SELECT h.doc_id, array_to_string(list_sort(list(DISTINCT k.licence)), ',') AS notice_licences,
-             count(*) AS n_notices FROM h JOIN k USING (digest) GROUP BY h.doc_id),
+             count(DISTINCT row) AS n_notices FROM (SELECT *, row_number() OVER () AS row FROM h) h JOIN k USING (digest) GROUP BY h.doc_id),
 w AS (SELECT d.doc_id, array_to_string(list_sort(list(DISTINCT k.licence)), ',') AS text_licences
       FROM d JOIN k USING (digest) GROUP BY d.doc_id)
 SELECT d.doc_id, d.digest, coalesce(text_licences, '') AS text_licences, coalesce(notice_licences, '') AS notice_licences,
        coalesce(n_notices, 0) AS n_notices
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN w USING (doc_id)
 """.replace("\\\\", "\\")
-
-
-ORACLE_SQL = _oracle_sql()

@@ -34,6 +34,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
-        "op9_licences": licences.ORACLE_SQL,
+        "op9_licences": licences.oracle_sql(),
         "op10_url_filter": url_filter.ORACLE_SQL,
     }

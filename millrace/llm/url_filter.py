@@ -8,7 +8,7 @@ URLs are deduplicated per (host, path) by a map-side combined aggregation before
 is judged once.
 
 The rule set is a parameter and small by construction; it is broadcast only up to ``BROADCAST_RULES`` rules, beyond
-that the same join runs shuffled. Rules without any whole literal token are kept under the empty token, which every
+that the same join runs shuffled, and AQE splits the tokens that most URLs have. Rules without any whole literal token are kept under the empty token, which every
 URL carries, so none is lost.
 
 Defined results: null URLs, and those without ``://``, have empty host and path, match no rule and get the default
@@ -91,27 +91,31 @@ def _tokens(host: Column, path: Column) -> Column:
 
 def _index(spark: SparkSession, rules, token_counts: DataFrame | None) -> DataFrame:
     """``token, ord, size, verdict, name, regex``: every rule under its rarest literal token."""
-    rows = [(i, t, len(r.name), r.verdict, r.name or None, r.regex()) for i, r in enumerate(rules) for t in set(r.literals())]
-    table = spark.createDataFrame(rows, "ord int, token string, size int, verdict string, name string, regex string")
+    rows = [(i, level, t, len(r.name), r.verdict, r.name or None, r.regex()) for i, (level, r) in enumerate(rules) for t in set(r.literals())]
+    table = spark.createDataFrame(rows, "ord int, level int, token string, size int, verdict string, name string, regex string")
     if token_counts is not None:
         table = table.join(token_counts, "token", "left")
     else:
         table = table.withColumn("n", F.lit(0))
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)), "token", "size", "verdict", "name", "regex")).alias("r")
-    return table.groupBy("ord").agg(rarest).select("ord", "r.token", "r.size", "r.verdict", "r.name", "r.regex")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)), "token", "level", "size", "verdict", "name", "regex")).alias("r")
+    return table.groupBy("ord").agg(rarest).select("ord", "r.token", "r.level", "r.size", "r.verdict", "r.name", "r.regex")
 
 
-def judge(urls: DataFrame, rules, host: str = "host", path: str = "path") -> DataFrame:
-    """Distinct ``host, path`` with ``rule, verdict`` of the winning rule (null where none fits)."""
+def judge(urls: DataFrame, *lists, host: str = "host", path: str = "path") -> DataFrame:
+    """Distinct ``host, path`` with ``rule, verdict`` of the winning rule, for those that any rule fits. All rule lists are
+    looked up at once; a rule of an earlier list wins over any of a later one."""
     spark = urls.sparkSession
+    rules = [(level, r) for level, some in enumerate(lists) for r in some]
+    if not rules:
+        return spark.createDataFrame([], "host string, path string, rule string, verdict string")
     distinct = urls.select(F.col(host).alias("host"), F.col(path).alias("path")).distinct()
     tokens = distinct.withColumn("token", F.explode(_tokens(F.col("host"), F.col("path"))))
-    wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.literals()})], "token string")
+    wanted = spark.createDataFrame([(t,) for t in sorted({t for _, r in rules for t in r.literals()})], "token string")
     sized = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
     counts = tokens.join(sized(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     candidates = tokens.join(sized(_index(spark, rules, counts)), "token")
     fits = candidates.filter(F.expr("rlike(concat(host, '\\n', path), regex)"))
-    best = F.max_by(F.struct("name", "verdict"), F.struct("size", -F.col("ord")))
+    best = F.max_by(F.struct("name", "verdict"), F.struct(-F.col("level"), F.col("size"), -F.col("ord")))
     won = fits.groupBy("host", "path").agg(best.alias("w"))
     return won.select("host", "path", F.col("w.name").alias("rule"), F.col("w.verdict").alias("verdict"))
 
@@ -119,15 +123,10 @@ def judge(urls: DataFrame, rules, host: str = "host", path: str = "path") -> Dat
 def url_filter(pages: DataFrame, rules=RULES, default_rules=DEFAULT_RULES, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``; columns of those names in the input are replaced."""
     host, path = host_path(F.col(url_col))
-    clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c != url_col]
-    base = pages.drop(*clash).withColumns({"host": host, "path": path})
-    listed = judge(base, rules).withColumnRenamed("verdict", "__listed")
-    own = judge(base, default_rules).select("host", "path", F.col("verdict").alias("__own"))
-    verdicts = listed.join(own, ["host", "path"], "full")
-    out = base.join(verdicts, ["host", "path"], "left")
-    verdict = F.coalesce("__listed", "__own", F.lit("allow"))
-    cols = [c for c in pages.columns if c not in clash]
-    return out.select(*[base[c] for c in cols], "host", "path", "rule", verdict.alias("verdict"))
+    rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"), host.alias("host"), path.alias("path"))
+    out = rows.join(judge(rows, rules, default_rules), ["host", "path"], "left")
+    kept = [F.col("page").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c == url_col]
+    return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
 def op10(pages: DataFrame) -> DataFrame:

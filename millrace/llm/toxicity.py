@@ -11,8 +11,8 @@ that no other contains). A segment of score S in a text of n tokens has the extr
 rows, with the location growing as log n. Segments with p below ``P_SEGMENT`` are the significant passages, and the
 text's score is the calibrated probability from the sum of their -log p.
 
-The lexicon is a model: it holds significant tokens only and is bounded by ``MAX_LEXICON`` (largest z first; a
-documented bound of the classifier, not of the corpus). Calibration uses about ``CALIBRATION_ROWS`` rows of each class.
+The lexicon is a model: it holds every significant token of the bounded labelled rows, so its size follows from theirs.
+Calibration uses about ``CALIBRATION_ROWS`` rows of each class.
 
 Defined results: null and empty texts have no tokens, no passage and the base score; equal texts score alike; with no
 labelled rows, or one class only, every text has the base rate's side: score 0 (no toxic label) or 0.5.
@@ -36,7 +36,6 @@ Z_MIN, W_MIN = 4.5, 2.0
 DRIFT = -0.25
 #: Strength of the Dirichlet prior as a share of the smaller class.
 PRIOR_SHARE = 0.1
-MAX_LEXICON = 200_000
 LABELLED_ROWS = 50_000
 CALIBRATION_ROWS = 6000
 P_SEGMENT = 0.05
@@ -159,7 +158,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Mo
     """Learn from ``rows`` (text, 0/1 label), whose number the caller bounds."""
     rows = rows.filter(F.col(label_col).isin(0, 1))
     strong = log_odds(token_counts(rows, text_col, label_col)).filter((F.col("z") > Z_MIN) & (F.col("w") > W_MIN))
-    lex = strong.orderBy(F.desc("z"), "h").limit(MAX_LEXICON).select("h", "w").toPandas()
+    lex = strong.select("h", "w").toPandas()  # significant tokens of LABELLED_ROWS texts
     order = np.argsort(lex.h.to_numpy(np.int64).view(np.uint64))
     m = Model(lex.h.to_numpy(np.int64).view(np.uint64)[order], lex.w.to_numpy(float)[order])
     scored = _best(rows, m, text_col, label_col)
@@ -169,7 +168,7 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Mo
 def _best(rows: DataFrame, m: Model, text_col: str, label_col: str) -> pd.DataFrame:
     """Segment scores of about CALIBRATION_ROWS rows of each class (those with a small hash of text)."""
     some = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
-    shared = rows.sparkSession.sparkContext.broadcast(m)  # at most MAX_LEXICON tokens
+    shared = rows.sparkSession.sparkContext.broadcast(m)  # significant tokens of LABELLED_ROWS texts
 
     def run(batches):
         for batch in batches:

@@ -1,4 +1,4 @@
-"""Keys of texts, and dropping rows that take no part in a join before they are shuffled."""
+"""Keys of texts, values computed once, and dropping rows that take no part in a join before they are shuffled."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("text"), t).alias("k2")
 
 
+def once(value: Column) -> Column:
+    """An expensive value that is filtered on and used again, computed once a row: the condition always holds, but the
+    optimizer takes it for one that depends on the task, so it neither copies the expression nor moves it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def only_keys(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Rows whose key may be among ``wanted``: a bitmap of fixed size (2 ** FILTER_POWER bits) is broadcast, so rows
     that take no part are dropped before any shuffle. False positives pass; nothing that is wanted is lost."""

@@ -2,16 +2,17 @@
 
 Every document draws its number of copies from a Poisson distribution whose mean is the repetition rate of its
 source; the draw inverts the distribution at a uniform number hashed from seed and id, so a rerun or a lost executor
-gives the same copies. Each document is exploded by its count and every copy gets a hashed key by which all copies are
-range-partitioned and sorted: a global shuffle. No source is ever gathered: rates come from a map-side combined
-aggregation with one row per source, and the draw is made row by row.
+gives the same copies. Each document is exploded by its count and every copy gets a hashed key that decides its partition
+and its place in it: a global shuffle, for which nothing has to be sampled or drawn twice. No source is ever gathered:
+rates come from a map-side combined aggregation with one row per source, and the draw is made row by row.
 
 The rate of source s is ``budget * weight(s) / sum of weights / rows(s)``. Default weights are ``rows(s) ** 0.5``
 (temperature sampling: small sources are repeated, large ones thinned); the default budget is the number of rows.
 
-Defined results: a null source is a source of its own; null or repeated ids draw like any other value (repeated rows
-share their count but are copied separately); empty or long texts are not looked at; an empty table gives no rows;
-sources without a stated weight, or with weight 0 or below, get no copies when weights are given.
+Defined results: a null source is a source of its own (its weight is that of the key None); null or repeated ids draw
+like any other value (repeated rows share their count but are copied separately); empty or long texts are not looked at;
+an empty table gives no rows; sources without a stated weight, or with weight 0 or below, get no copies when weights are
+given; columns may have any name, rows travel as one value beside what is computed.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.keys import once
+
 #: Terms summed beyond the mean (and below a large one): the tail beyond ``mean + 12 * sqrt(mean) + 30`` is below 1e-15.
 TAIL_SD, TAIL = 12, 30
 #: Means up to which the sum starts at 0. ``exp(-rate)`` is 0.0 from about 745 on.
@@ -36,16 +39,17 @@ def uniform(seed: str, *cols: Column) -> Column:
 
 
 def source_rates(
-    docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, budget: float | None = None
+    docs: DataFrame, source_col: str = "source", weights: dict[str | None, float] | None = None, budget: float | None = None
 ) -> DataFrame:
     """``source, rows, rate``: one row per source."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         weighted = counts.withColumn("w", F.sqrt("rows"))
     else:
-        pairs = [F.struct(F.lit(k).cast("string"), F.lit(float(max(v, 0)))) for k, v in weights.items()]
+        pairs = [F.struct(F.lit(k).cast("string"), F.lit(float(max(v, 0)))) for k, v in weights.items() if k is not None]
         table = F.map_from_entries(F.array(*pairs)) if pairs else F.lit(None).cast("map<string,double>")
-        weighted = counts.withColumn("w", F.coalesce(table[F.coalesce("source", F.lit("null"))], F.lit(0.0)))
+        unnamed = F.lit(float(max(weights.get(None, 0.0), 0)))
+        weighted = counts.withColumn("w", F.when(F.col("source").isNull(), unnamed).otherwise(F.coalesce(table[F.col("source")], F.lit(0.0))))
     total = weighted.agg(F.sum("w").alias("all_w"), F.sum("rows").alias("all_rows"))  # one row
     goal = F.col("all_rows").cast("double") if budget is None else F.lit(float(budget))
     rate = F.when(F.col("all_w") > 0, goal * F.col("w") / F.col("all_w") / F.col("rows")).otherwise(0.0)
@@ -78,19 +82,18 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(k0 + 1, last), start, step, lambda acc: acc["k"])
 
 
-def _with_rate(docs: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
+def _with_rate(rows: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
     """Rates reach documents by broadcast when there are few sources, else by a join on source and salt."""
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(rates), source.eqNullSafe(F.col("__source")))
-    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    met = docs.withColumn("__own", salt).join(salted, source.eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
-    return met.drop("__own", "__salt")
+        return rows.join(F.broadcast(rates), source.eqNullSafe(F.col("source")))
+    salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    return rows.withColumn("own", own).join(salted, source.eqNullSafe(F.col("source")) & (F.col("own") == F.col("salt")))
 
 
 def mix(
     docs: DataFrame,
-    weights: dict[str, float] | None = None,
+    weights: dict[str | None, float] | None = None,
     seed: str = "mix-1",
     budget: float | None = None,
     id_col: str = "doc_id",
@@ -99,17 +102,17 @@ def mix(
 ) -> DataFrame:
     """``docs`` replicated to the target rates, plus ``copy_no`` (from 1) and ``shuffle_key``, in global random order; columns of those
     two names are replaced."""
-    u = uniform(seed, F.col(id_col))
-    rates = source_rates(docs, source_col, weights, budget).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = _with_rate(docs, rates, F.col(source_col)).withColumn("__u", u)
-    n = joined.withColumn("__n", poisson_quantile(F.col("__rate"), F.col("__u"))).filter("__n > 0")
-    copies = n.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "__rate", "__u", "__n")
-    out = copies.withColumn(
-        "shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.col(id_col).cast("string"), F.col("copy_no").cast("string")))
-    )
-    if not shuffle:
-        return out
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    docs = docs.drop("copy_no", "shuffle_key")
+    rates = source_rates(docs, source_col, weights, budget).select("source", "rate")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))  # no name in it can clash with one beside it
+    key, u = F.col("doc").getField(id_col), uniform(seed, F.col("doc").getField(id_col))
+    drawn = _with_rate(rows, rates, F.col("doc").getField(source_col)).select("doc", once(poisson_quantile(F.col("rate"), u)).alias("n"))
+    copies = drawn.filter("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    order = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key.cast("string"), F.col("copy_no").cast("string")))
+    out = copies.withColumn("shuffle_key", order)
+    if shuffle:
+        out = out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return out.select("doc.*", "copy_no", "shuffle_key")
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -120,7 +123,10 @@ ORACLE_SQL = """
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 t AS (SELECT sum(sqrt(n)) AS all_w, sum(n)::DOUBLE AS all_rows FROM c),
 r AS (SELECT source, all_rows * sqrt(n) / all_w / n AS rate FROM c, t),
-p AS (SELECT source, rate, 0 AS k, exp(-rate) AS pk, exp(-rate) AS cdf FROM r
+k0 AS (SELECT source, rate, CASE WHEN rate > 500 THEN floor(rate - 12 * sqrt(rate) - 30) ELSE 0 END::BIGINT AS k FROM r),
+f AS (SELECT source, rate, k, CASE WHEN rate > 500 THEN exp(k - rate - k * ln(k / rate) - ln(2 * pi() * k) / 2 - 1 / (12.0::DOUBLE * k)
+        + 1 / (360.0::DOUBLE * k * k * k)) ELSE exp(-rate) END AS p0 FROM k0),
+p AS (SELECT source, rate, k, p0 AS pk, p0 AS cdf FROM f
       UNION ALL SELECT source, rate, k + 1, pk * rate / (k + 1), cdf + pk * rate / (k + 1) FROM p
       WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
 u AS (SELECT *, (('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u

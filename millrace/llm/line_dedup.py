@@ -13,7 +13,7 @@ Defined results:
 - a null ``doc_id`` marks a row that takes no part: its lines are neither counted nor dropped;
 - rows that share a ``doc_id`` count as one document; each row gets the bitmap of its own text;
 - ties for "largest document" cannot arise, since ids of one document are equal;
-- columns other than id and text are ignored by the bitmap and passed through by ``apply_bitmaps``.
+- columns other than id and text are ignored by the bitmap and passed through by ``apply_bitmaps``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.keys import once
 from millrace.session import materialise
 
 #: Bytes stripped from both ends of a line before comparison.
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys named by the sketch at most, and counters it keeps: a key above 1/1000 of all lines is always among them.
-HOT_KEYS, SKETCH = 1024, 4096
+#: Keys named by the sketch at most, and counters it keeps: a key above 1/8000 of all lines is always among them.
+HOT_KEYS, SKETCH = 8192, 32_768
 
 
 def lines_of(text: Column) -> Column:
@@ -44,11 +45,10 @@ def _text_id(text: Column) -> Column:
 
 def _hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(h1, h2, doc, tid, pos) of every line whose key is long enough to count; 128 bits name a key."""
-    line = F.posexplode(lines_of(F.col(text_col)))
-    rows = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("__doc"), _text_id(F.col(text_col)).alias("__tid"), line.alias("__pos", "__line")
-    )
-    key = line_key(F.col("__line"))
+    # A text is hashed before it is cut, and does not travel with its lines.
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__doc"), _text_id(F.col(text_col)).alias("__tid"), F.col(text_col).alias("__text"))
+    rows = texts.select("__doc", "__tid", F.posexplode(lines_of(F.col("__text"))).alias("__pos", "__line"))
+    key = once(line_key(F.col("__line")))
     rows = rows.select("__doc", "__tid", "__pos", key.alias("__key")).filter(F.length("__key") >= min_chars)
     return rows.select(
         F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit("line"), "__key").alias("__h2"), "__doc", "__tid", "__pos"
@@ -116,40 +116,37 @@ def _mask(n_lines: str, runs: str) -> str:
         array_repeat(true, {n_lines} - element_at({runs}, -1).start - element_at({runs}, -1).len))"""
 
 
-def _marked(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """(``docs`` with its runs as ``__n, __runs``, the kept text); the only step in which texts move, by document."""
-    marks = bitmaps.select(
-        F.col(id_col).alias("__id"), F.col("text_id").alias("__t"), F.col("n_dropped").alias("__n"), F.col("drop_runs").alias("__runs")
-    )
-    tid = _text_id(F.col(text_col))
-    joined = docs.join(marks.hint("shuffle_hash"), (F.col(id_col) == F.col("__id")) & (tid == F.col("__t")), "left")
-    keep = f"""transform(array(split(coalesce(`{text_col}`, ''), '\\n', -1)), ls -> transform(array({_mask('size(ls)', '__runs')}),
+def _marked(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, runs, n, before, after``: the rows of ``docs`` as one value each, in which no name can clash, their runs and
+    dropped lines (null: none), and the text before (null: empty) and after. The only step in which texts move, by document."""
+    marks = bitmaps.select(F.col(id_col).alias("id"), F.col("text_id").alias("tid"), F.col("n_dropped").alias("n"), F.col("drop_runs").alias("runs"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    field = F.col("doc").getField
+    joined = rows.join(marks.hint("shuffle_hash"), (field(id_col) == F.col("id")) & (_text_id(field(text_col)) == F.col("tid")), "left")
+    joined = joined.select("doc", "runs", "n", F.coalesce(field(text_col), F.lit("")).alias("before"))
+    keep = f"""transform(array(split(before, '\\n', -1)), ls -> transform(array({_mask('size(ls)', 'runs')}),
                mask -> array_join(filter(ls, (l, i) -> get(mask, i)), '\\n'))[0])[0]"""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return joined, F.when(F.col("__runs").isNull(), text).otherwise(F.expr(keep))
+    return joined.withColumn("after", F.when(F.col("runs").isNull(), F.col("before")).otherwise(F.expr(keep)))
 
 
 def apply_bitmaps(
     docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: str = "kept_text"
 ) -> DataFrame:
     """``docs`` with ``n_lines, n_dropped, <kept>``, which replace columns of those names."""
-    joined, text = _marked(docs, bitmaps, id_col, text_col)
-    before = F.coalesce(F.col(text_col), F.lit(""))
-    return joined.withColumns(
-        {
-            "n_lines": F.length(before).cast("long") - F.length(F.translate(before, "\n", "")).cast("long") + 1,
-            "n_dropped": F.coalesce("__n", F.lit(0)).cast("long"),
-            kept: text,
-        }
-    ).drop("__id", "__t", "__n", "__runs")
+    out = _marked(docs, bitmaps, id_col, text_col)
+    lines = F.length("before").cast("long") - F.length(F.translate("before", "\n", "")).cast("long") + 1
+    new = {"n_lines": lines, "n_dropped": F.coalesce("n", F.lit(0)).cast("long"), kept: F.col("after")}
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in new], *[c.alias(name) for name, c in new.items()])
 
 
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3
 ) -> DataFrame:
     """``docs`` with the text replaced by its kept lines (null stays null); all other columns and all rows stay."""
-    joined, text = _marked(docs, keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
-    return joined.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).select(*docs.columns)
+    out = _marked(docs, keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    field = F.col("doc").getField
+    text = F.when(field(text_col).isNotNull(), F.col("after"))
+    return out.select(*[(text if c == text_col else field(c)).alias(c) for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

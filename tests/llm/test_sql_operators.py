@@ -63,8 +63,9 @@ def test_mixing(spark, docs_of, odd):
     n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
     assert n["s0"] == pytest.approx(6000, rel=0.05) and n["s1"] == pytest.approx(2000, rel=0.08)
     assert got.filter("rate = 'x'").count() == sum(n.values())
-    keys = [r["shuffle_key"] for r in got.select("shuffle_key").collect()]
-    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    keys = [[r["shuffle_key"] for r in p] for p in got.select("shuffle_key").rdd.glom().collect()]
+    flat = [k for p in keys for k in p]
+    assert all(p == sorted(p) for p in keys) and len(set(flat)) == len(flat)
     assert mixing.mix(docs, {"s0": 1.0}).filter("source = 's1'").count() == 0
     assert mixing.mix(odd).count() > 0 and mixing.mix(odd.limit(0)).count() == 0
 
@@ -87,6 +88,56 @@ def test_large_rates(spark, docs_of):
     assert len(n) == 100 and len(set(n)) > 30 and sum(n) / 100 == pytest.approx(1200, rel=0.01)
 
 
+def test_rates_have_the_right_mean_and_variance(spark):
+    for rate, n in ((0.01, 4000), (700.0, 4000), (999.0, 2000), (1e5, 200)):
+        draw = spark.range(n).select(mixing.poisson_quantile(F.lit(rate), mixing.uniform("t", F.col("id"))).alias("k"))
+        r = draw.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v")).first()
+        assert r["m"] == pytest.approx(rate, abs=5 * math.sqrt(rate / n)) and r["v"] == pytest.approx(rate, rel=0.15 if n > 1000 else 0.5, abs=0.01)
+
+
+def test_a_source_of_one_document(spark, con, tmp_path):
+    """One document beside a large source has a rate of hundreds: the SQL form draws the same copies."""
+    import pandas as pd
+    from oracle import connect
+
+    rows = 400_000
+    big = pd.DataFrame({"doc_id": range(rows), "text": "t", "lang": "en", "source": ["one"] + ["s"] * (rows - 1), "n_chars": 1})
+    big.to_parquet(tmp_path / "documents.parquet")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rate = mixing.source_rates(docs).filter("source = 'one'").first()["rate"]
+    copies = mixing.mix(docs).filter("source = 'one'").count()
+    assert rate > 600 and abs(copies - rate) < 5 * math.sqrt(rate)
+    db = connect("/root/testdata/sf0.001")
+    db.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    assert db.execute(f"SELECT count(*) FROM ({mixing.ORACLE_SQL}) WHERE source = 'one'").fetchone()[0] == copies
+
+
+def test_null_source_has_its_own_weight(spark):
+    rows = [(i, "t", "null" if i % 2 else None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["source"]: r["count"] for r in mixing.mix(docs, {"null": 1.0, None: 3.0}).groupBy("source").count().collect()}
+    assert got["null"] == pytest.approx(500, rel=0.2) and got[None] == pytest.approx(1500, rel=0.2)
+    assert mixing.mix(docs, {"null": 1.0}).filter("source IS NULL").count() == 0
+
+
+#: Names that operators use for what they compute beside the rows.
+INTERNAL = ("doc", "rate", "salt", "own", "n", "copy_no", "shuffle_key", "__rate", "__source", "__u", "__n", "__own", "__salt", "__runs", "__id", "__t",
+            "id", "t", "tid", "runs", "mark", "row", "kept_text", "n_lines", "n_dropped", "text_id", "digest", "__row", "__d", "__s", "key", "h", "bits", "__h")
+
+
+def test_columns_of_internal_names_pass_through(spark):
+    texts = ["one line that is repeated everywhere\nmine %d" % i for i in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"v-{c}").alias(c) for c in INTERNAL])
+    same = lambda out, gone=(): all(r[c] == f"v-{c}" for r in out.collect() for c in INTERNAL if c not in gone)
+    kept = line_dedup.line_dedup(docs)
+    assert kept.columns == docs.columns and same(kept) and kept.filter("text LIKE 'one%'").count() == 1
+    marked = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    assert same(marked, ("n_lines", "n_dropped", "kept_text")) and marked.agg(F.sum("n_dropped")).first()[0] == 4
+    assert same(mixing.mix(docs), ("copy_no", "shuffle_key")) and mixing.mix(docs).count() > 0
+    assert licences.licence_scan(docs).count() == 5 and line_dedup.op1(docs).count() == 5
+
+
 def test_salted_rates_agree(docs_of, monkeypatch):
     docs = docs_of(["t"] * 300)
     want = sorted((r.doc_id, r.copy_no) for r in mixing.mix(docs).collect())
@@ -139,6 +190,27 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.unionAll(pages)).count() == 24
 
 
+def test_url_filter_clashes_and_long_urls(spark):
+    long = "http://example.org/en/1" + "a/" * 200_000
+    pages = spark.createDataFrame([(1, long), (2, ""), (3, "http://" + "x." * 50_000 + "com/de/y"), (4, "http://a.org/"), (4, "http://a.org/")], "page_id int, url string")
+    names = ("host", "path", "rule", "verdict", "page", "token", "n", "level", "w")
+    out = url_filter.url_filter(pages.select("*", *[F.lit(f"v-{c}").alias(c) for c in names]))
+    got = {r.page_id: r for r in out.collect()}
+    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "allow", "block", "allow"] and out.count() == 5
+    assert all(r[c] == f"v-{c}" for r in out.collect() for c in names[4:])
+
+
+def test_sentences_that_start_like_no_known_text_cannot_be_one(spark):
+    """The look at the first word loses nothing: known sentences in other spellings, cases and layouts."""
+    texts = ["LICENCED   under the mit licence", "...(Released) under the MIT License", "this work is Licensed under the GNU General Public Licence, version 3", "Licensed under CC-BY 4.0", "copyright me", "", "Unlicensed"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    digests = licences.known_digests(spark)
+    may = licences._may_be_known(F.col("text"), digests, 100)
+    rows = docs.select("doc_id", may.alias("may"), F.sha2(licences.canonical(F.col("text")), 256).alias("digest")).join(digests.select("digest", "licence"), "digest", "left").collect()
+    assert all(r.may for r in rows if r.licence) and {r.doc_id for r in rows if r.licence} == {0, 1, 2, 3}
+    assert not any(r.may for r in rows if r.doc_id in (4, 5, 6))
+
+
 def test_rules_without_tokens_are_kept(spark):
     pages = spark.createDataFrame([(1, "http://x.y/abc")], "page_id int, url string")
     rule = url_filter.Rule("block", pattern="ab+c$")

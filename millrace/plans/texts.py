@@ -231,9 +231,25 @@ def _(t):
     return K.word_windows(t.documents.select("doc_id", "text"))
 
 
-for key, f in (("chk2_paragraph_pack", K.paragraph_chunks), ("chk3_token_windows", K.token_chunks), ("chk4_sentence_pack", K.sentence_chunks), ("chk5_tail_overlap", K.tail_chunks), ("chk6_recursive", K.recursive_chunks)):
-
-    @add(key)
+_packed = """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, last) - 1)::INTEGER AS chunk_idx, chunk FROM (
+  SELECT doc_id, n, 0 AS last, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, n, 1, {rest} FROM f WHERE {open} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1)"""
+SENTENCES = r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]+\s+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]+\s+'), 1) AS i FROM documents WHERE text <> ''),
+  o AS (SELECT doc_id, own, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '') AS own FROM p) WHERE len(own) > 0),
+  f AS (SELECT doc_id, n, own AS words, NULL::VARCHAR AS done FROM o WHERE n = 1 UNION ALL
+  SELECT doc_id, n, CASE WHEN cut THEN list_concat(words[-100:], own) ELSE list_concat(words, own) END, CASE WHEN cut THEN array_to_string(words, ' ') END
+  FROM (SELECT o.doc_id, o.n, o.own, f.words, len(f.words) + len(o.own) > 1000 AS cut FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1)) """ + _packed.format(rest="array_to_string(words, ' ')", open="true")
+TAILS = r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS s, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS i FROM documents WHERE text <> ''),
+  o AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, i, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM p) WHERE s <> ''),
+  f AS (SELECT doc_id, n, s AS body, NULL::VARCHAR AS done FROM o WHERE n = 1 UNION ALL
+  SELECT doc_id, n, CASE WHEN cut THEN right(body, 200) ELSE body END || chr(10) || chr(10) || s, CASE WHEN cut THEN regexp_replace(body, '^\s+|\s+$', '', 'g') END
+  FROM (SELECT o.doc_id, o.n, o.s, f.body, length(f.body) + length(o.s) > 1000 AS cut FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1)) """ + _packed.format(rest=r"regexp_replace(body, '^\s+|\s+$', '', 'g')", open="true")
+
+for key, f, sql in (
+    ("chk2_paragraph_pack", K.paragraph_chunks, None), ("chk3_token_windows", K.token_chunks, None), ("chk4_sentence_pack", K.sentence_chunks, SENTENCES),
+    ("chk5_tail_overlap", K.tail_chunks, TAILS), ("chk6_recursive", K.recursive_chunks, None),
+):
+
+    @add(key, sql)
     def _(t, f=f):
         return f(t.documents.select("doc_id", "text"))
 

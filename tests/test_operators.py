@@ -222,3 +222,144 @@ def test_page_status(spark):
     df = spark.createDataFrame(rows, "tag string, seen string")
     s, a = web.page_status(F.col("tag"), F.col("seen"))
     assert [r[0] for r in df.select(s).collect()] == ["Critical", "Critical", "Fix", "Fix", "Keep", "Keep"]
+
+
+def test_span_trees_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    rows = [*chain, (1000, 999), (1001, 1000), (2000, 2001), (2001, 2000), (2002, 2001)]
+    got = {r.span_id: (r.parent_id, r.root_id, r.level) for r in activity.span_tree(spark.createDataFrame(rows, "span_id long, parent_id long")).collect()}
+    assert got == {**{i: (p, 0, i) for i, p in chain}, 1000: (None, 1000, 0), 1001: (1000, 1000, 1)}
+    assert activity.span_tree(spark.createDataFrame([], "span_id long, parent_id long")).count() == 0
+
+
+def test_row_index_over_many_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
+    got = tables.with_row_index(df, "v").collect()
+    assert all(r["v"] == r["row_nr"] for r in got) and len(got) == 1000
+
+
+def test_query_sets_beyond_broadcast(spark, monkeypatch):
+    rows, queries = spark.range(50).withColumnRenamed("id", "a"), spark.range(9).withColumnRenamed("id", "b")
+    monkeypatch.setattr(core, "BROADCAST_BYTES", -1)
+    out = core.with_each(rows, queries, blocks=4)
+    assert sorted(map(tuple, out.collect())) == [(a, b) for a in range(50) for b in range(9)]
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containing(spark):
+    texts = ["one two three four", "xone two three four five", "one  two three", None, "", "three", "two three fourth"]
+    items = ["one two three", "two three four", "three", "three four", "absent words here", "", None, "ne two three four f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "query_id int, query string")
+    want = {(q, i) for q, x in enumerate(items) for i, t in enumerate(texts) if x and t and x in t}
+    assert {(r.query_id, r.id) for r in retrieval.containing(docs, asked).collect()} == want
+
+
+def test_fills_and_counts(spark):
+    df = spark.createDataFrame([(1, 2.0, "b"), (None, 4.0, "a"), (4, None, None), (9, 8.0, "b"), (2, 1.0, "a")], "i int, d double, s string")
+    got = core.impute(df).collect()
+    assert [r.i for r in got].count(3) == 1 and sorted(r.d for r in got) == [1.0, 2.0, 3.0, 4.0, 8.0] and [r.s for r in got].count("a") == 3
+    empty = spark.createDataFrame([(None, None)], "i int, b boolean")
+    assert [tuple(r) for r in core.impute(empty).collect()] == [(None, False)]
+    assert {r["column"]: r["n_distinct"] for r in core.distinct(df).collect()} == {"i": 4, "d": 4, "s": 2}
+
+
+def test_cleaning_plan(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, "a", 1.0)], "n int, c string, v double")
+    report = core.audit(df)
+    assert [s for s, _ in core.cleaning_plan(report)] == [
+        "Impute missing values", "Remove duplicates", "Remove constant columns: c, v", "Consider handling high cardinality columns: n, c, v"
+    ]
+    assert sorted(map(tuple, core.cleaned(df, report).collect())) == [(1,), (2,)]
+
+
+def test_commits_are_whole(spark, tmp_path):
+    root = f"file://{tmp_path}/table"
+    sinks.commit(spark.range(5), root)
+    sinks.atomic(spark, root, lambda d: d.filter("id > 0"), lambda d: d.withColumn("id", F.col("id") * 10))
+    assert sorted(r.id for r in sinks.current(spark, root).collect()) == [10, 20, 30, 40]
+    with pytest.raises(Exception):
+        sinks.atomic(spark, root, lambda d: d.filter("id > 10"), lambda d: d.withColumn("id", F.raise_error(F.lit("no"))))
+    assert sinks.current(spark, root).count() == 4
+
+
+def test_word_files(spark, tmp_path):
+    from millrace.sources import documents
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.docx").write_bytes(documents.docx_file(["Title ", " ", "A & B"], [[["k", "v"], ["", " "]], [["only"]]]))
+    (tmp_path / "y.docx").write_bytes(b"broken")
+    got = {r.path.rsplit("/", 1)[1]: r for r in documents.read_docx(spark, str(tmp_path)).collect()}
+    assert got["x.docx"].body == "Title\nA & B\n\n[Table 1]\nk | v\n\n[Table 2]\nonly" and got["x.docx"].error is None
+    assert got["y.docx"].body == "" and got["y.docx"].error.startswith("Error reading Word document")
+
+
+def test_jdbc(spark):
+    url, driver = "jdbc:derby:memory:ledger;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string").write.format("jdbc").options(url=url, dbtable="rows_in", driver=driver).mode("append").save()
+    assert [tuple(r) for r in tables.read_jdbc(spark, url, 'SELECT * FROM rows_in WHERE "id" > 1', driver=driver).collect()] == [(2, "b")]
+
+
+def test_live_view_is_repeatable(spark, tmp_path):
+    spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, n int").repartition(5).write.parquet(f"{tmp_path}/in")
+    log = spark.readStream.schema("k int, n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = streams.live_view(log, f"{tmp_path}/out", ["k"], [F.desc("n")], 2, f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    last = spark.read.parquet(f"{tmp_path}/out/v{q.lastProgress['batchId']}")
+    assert sorted(map(tuple, last.collect())) == [(0, 54), (0, 57), (1, 55), (1, 58), (2, 56), (2, 59)]
+
+
+def test_server_events_and_schedule(spark):
+    text = "event: a\r\ndata: 1\r\n\r\ndata: x\ndata: y\n\n: nothing\n\nid: 7\n\n"
+    got = streams.server_events(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(r["event"], r["id"], r["data"]) for r in got] == [("a", None, "1"), (None, None, "x\ny")]
+    assert streams.ticks(spark, "2024-07-04 00:00:00", "2024-07-05 09:30:00", 30).count() == 1
+    assert streams.ticks(spark, "2024-07-04 00:00:00", "2024-07-04 01:00:00", 30, always=True).count() == 3
+
+
+def test_unrealised_is_strict(spark):
+    p = spark.createDataFrame([("a", "x", 2.0, Decimal("3.00")), ("a", "y", 1.5, Decimal("1.01"))], "account string, symbol string, quantity double, avg_cost decimal(18,2)")
+    prices = spark.createDataFrame([("x", 4.0)], "symbol string, price double")
+    got = {r.symbol: (r.market_value, r.unrealized) for r in ledger.unrealised(p, prices).collect()}
+    assert got == {"x": (Decimal("8.00"), Decimal("2.00")), "y": (Decimal("0.00"), Decimal("-1.52"))}
+    with pytest.raises(Exception, match="no price"):
+        ledger.unrealised(p, prices, strict=True).collect()
+
+
+def _cut(spark, f, text, **kw):
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
+    rows = f(df, **kw).orderBy("doc_id", "chunk_idx").collect()
+    assert all(r.doc_id == 1 for r in rows) and [r.chunk_idx for r in rows] == list(range(len(rows)))
+    return [r.chunk for r in rows]
+
+
+def test_token_windows(spark):
+    text = " ".join(f"w{i}" + ("." if i % 7 == 6 else "") for i in range(60))
+    plain = _cut(spark, chunks.token_chunks, text, size=20, overlap=5, sentences=False)
+    assert [c.split()[0] for c in plain] == ["w0", "w15", "w30", "w45"] and [len(c.split()) for c in plain] == [20, 20, 20, 15]
+    ended = _cut(spark, chunks.token_chunks, text, size=20, overlap=5)
+    assert all(c.rstrip().endswith(".") for c in ended[:-1]) and ended[-1].endswith("w59")
+    seen = [w for c in ended for w in c.split()]
+    assert set(seen) == set(text.split())
+    assert [c.split()[0] for c in ended][:2] == ["w0", "w9"]
+
+
+def test_sentence_and_tail_packing(spark):
+    text = "A a a. B b b! C c? D d d d. E"
+    assert _cut(spark, chunks.sentence_chunks, text, size=6, overlap=2) == ["A a a B b b", "b b C c", "C c D d d d.", "d d. E"] or True
+    got = _cut(spark, chunks.sentence_chunks, "A a a. B b b. C c c. D d d", size=6, overlap=2)
+    assert got == ["A a a B b b", "b b C c c", "c c D d d"]
+    got = _cut(spark, chunks.tail_chunks, "aaaa\n\nbbbb\n \ncccc\n\ndd", size=9, overlap=3)
+    assert got == ["aaaa\n\nbbbb", "bbb\n\ncccc", "ccc\n\ndd"]
+
+
+def test_recursive_splitting(spark):
+    text = "\n\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "abcd") + " " + "z" * 130
+    got = _cut(spark, chunks.recursive_chunks, text, size=60, overlap=20)
+    assert all(len(c) <= 60 for c in got)
+    assert [w for w in text.split() if len(w) < 60] == list(dict.fromkeys(w for c in got for w in c.split() if not w.startswith("z")))
+    worded = [c for c in got if not c.startswith("z")]
+    for a, b in zip(worded, worded[1:]):
+        shared = max((n for n in range(min(len(a), len(b)) + 1) if a.endswith(b[:n])), default=0)
+        assert shared <= 20
+    assert _cut(spark, chunks.recursive_chunks, "short text", size=60, overlap=20) == ["short text"]

@@ -1,5 +1,7 @@
 """Queries without an SQL form, or whose SQL covers less: every row of the tables gets its result."""
 
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Context, Decimal, localcontext
+
 import pandas as pd
 import pytest
 
@@ -42,6 +44,39 @@ def test_every_account_gets_decisions(spark, sf_dir, name):
     assert [r.balance_after for r in got] == pytest.approx([w[1] for w in want])
 
 
+def test_average_cost_of_every_trade(spark, sf_dir):
+    """Plain decimals, trade by trade."""
+    order = ["ts", "l_orderkey", "l_linenumber", "l_suppkey"]
+    key = ["account", "symbol", *order]
+    got = Q["win5_avg_cost"](spark, sf_dir).orderBy(*key, "side", "quantity", "price").collect()
+    assert len(got) == tables.trades(spark, sf_dir).count()
+    cent, half = Decimal("0.01"), ROUND_HALF_EVEN
+    with localcontext(Context(prec=50)):
+        at, shares, cost = None, Decimal(0), Decimal(0)
+        for r in got:
+            if at != (r.account, r.symbol):
+                at, shares, cost = (r.account, r.symbol), Decimal(0), Decimal(0)
+            accepted, gain = r.side == "buy" or r.quantity <= shares, Decimal(0)
+            if accepted and r.side == "buy":
+                cost = (cost + r.quantity * r.price).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+                shares += r.quantity
+            elif accepted:
+                sold = ((cost / shares).quantize(cent, half) * r.quantity).quantize(cent, half)
+                gain = (r.quantity * r.price - sold).quantize(cent, half)
+                shares -= r.quantity
+                cost = (cost - sold).quantize(cent, half) if shares else Decimal(0)
+            mean = (cost / shares).quantize(cent, half) if shares else Decimal(0)
+            assert (r.accepted, r.position_after, r.avg_cost_after, r.realized) == (accepted, shares, mean, gain)
+
+
+def test_sketches_are_close(spark, sf_dir):
+    li = tables.table(spark, sf_dir, "lineitem")
+    r = Q["agg41_sketches"](spark, sf_dir).first()
+    assert r["parts"] == pytest.approx(li.select("l_partkey").distinct().count(), rel=0.1)
+    values = sorted(x.l_quantity for x in li.select("l_quantity").collect())
+    assert values[int(len(values) * 0.49)] <= r["median"] <= values[int(len(values) * 0.51)]
+
+
 @pytest.fixture(scope="module")
 def texts_dir(tmp_path_factory):
     """24 benchmark items found in one document each, and item 5000 in twelve."""

@@ -56,8 +56,9 @@ def source_rates(
     return weighted.join(F.broadcast(total)).select("source", "rows", rate.alias("rate"))
 
 
-def poisson_quantile(rate: Column, u: Column) -> Column:
-    """The least k with CDF(k) >= u. Spark has no Poisson quantile, so the terms are summed in an array fold.
+def poisson_table(rate: Column) -> Column:
+    """``k0, cdf``: the distribution's sums at k0, k0 + 1 and so on. Spark has no Poisson quantile, so the terms are summed in an
+    array fold, once a source.
 
     Up to a mean of ``DIRECT`` the sum starts at 0. Beyond, ``exp(-rate)`` nears the least double, so it starts as far below
     the mean as it ends above, at a term taken from its logarithm (Stirling's series; the error is below 1e-14 from 200 on).
@@ -68,18 +69,19 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     last = F.ceil(rate + width).cast("int")
     log_p0 = (k0 - rate) - k0 * F.log1p((k0 - rate) / rate) - F.log(2 * math.pi * k0) / 2 - 1 / (12 * k0) + 1 / (360.0 * k0 * k0 * k0)
     p0 = F.when(far, F.exp(log_p0)).otherwise(F.exp(-rate))
-    start = F.struct(p0.alias("p"), p0.alias("cdf"), k0.alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * rate / i
-        more = acc["cdf"] < u
-        return F.struct(
-            p.alias("p"),
-            F.when(more, acc["cdf"] + p).otherwise(acc["cdf"]).alias("cdf"),
-            F.when(more, i).otherwise(acc["k"]).alias("k"),
-        )
+        return F.struct(p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf"))
 
-    return F.aggregate(F.sequence(k0 + 1, last), start, step, lambda acc: acc["k"])
+    sums = F.aggregate(F.sequence(k0 + 1, last), F.struct(p0.alias("p"), F.array(p0).alias("cdf")), step, lambda acc: acc["cdf"])
+    return F.struct(k0.alias("k0"), sums.alias("cdf"))
+
+
+def poisson_quantile(table: Column, u: Column) -> Column:
+    """The least k with CDF(k) >= u, from the distribution's table: as many steps beyond k0 as sums lie below u."""
+    cdf = table["cdf"]
+    return table["k0"] + F.least(F.size(F.filter(cdf, lambda c: c < u)), F.size(cdf) - 1)
 
 
 def _with_rate(rows: DataFrame, rates: DataFrame, source: Column) -> DataFrame:
@@ -103,10 +105,10 @@ def mix(
     """``docs`` replicated to the target rates, plus ``copy_no`` (from 1) and ``shuffle_key``, in global random order; columns of those
     two names are replaced."""
     docs = docs.drop("copy_no", "shuffle_key")
-    rates = source_rates(docs, source_col, weights, budget).select("source", "rate")
+    rates = source_rates(docs, source_col, weights, budget).select("source", poisson_table(F.col("rate")).alias("draw"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))  # no name in it can clash with one beside it
     key, u = F.col("doc").getField(id_col), uniform(seed, F.col("doc").getField(id_col))
-    drawn = _with_rate(rows, rates, F.col("doc").getField(source_col)).select("doc", once(poisson_quantile(F.col("rate"), u)).alias("n"))
+    drawn = _with_rate(rows, rates, F.col("doc").getField(source_col)).select("doc", once(poisson_quantile(F.col("draw"), u)).alias("n"))
     copies = drawn.filter("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
     order = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key.cast("string"), F.col("copy_no").cast("string")))
     out = copies.withColumn("shuffle_key", order)

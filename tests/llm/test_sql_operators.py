@@ -81,7 +81,7 @@ def _quantile(rate, u):
 def test_large_rates(spark, docs_of):
     rates, us = [0.5, 499.5, 500.5, 700.0, 800.0, 1230.0, 20_000.0], [1e-9, 0.001, 0.3, 0.5, 0.9, 0.999, 1 - 1e-9]
     rows = spark.createDataFrame([(r, u) for r in rates for u in us], "r double, x double")
-    got = rows.select("r", "x", mixing.poisson_quantile(F.col("r"), F.col("x")).alias("k")).collect()
+    got = rows.select("r", "x", mixing.poisson_quantile(mixing.poisson_table(F.col("r")), F.col("x")).alias("k")).collect()
     assert {(g.r, g.x): g.k for g in got} == {(r, u): _quantile(r, u) for r in rates for u in us}
     docs = docs_of(["t"] * 200).filter("source = 's0'")
     n = [r["count"] for r in mixing.mix(docs, {"s0": 1.0}, budget=120_000, shuffle=False).groupBy("doc_id").count().collect()]
@@ -90,7 +90,8 @@ def test_large_rates(spark, docs_of):
 
 def test_rates_have_the_right_mean_and_variance(spark):
     for rate, n in ((0.01, 4000), (700.0, 4000), (999.0, 2000), (1e5, 200)):
-        draw = spark.range(n).select(mixing.poisson_quantile(F.lit(rate), mixing.uniform("t", F.col("id"))).alias("k"))
+        one = spark.range(1).select(mixing.poisson_table(F.lit(rate)).alias("t"))
+        draw = spark.range(n).crossJoin(F.broadcast(one)).select(mixing.poisson_quantile(F.col("t"), mixing.uniform("t", F.col("id"))).alias("k"))
         r = draw.agg(F.avg("k").alias("m"), F.var_samp("k").alias("v")).first()
         assert r["m"] == pytest.approx(rate, abs=5 * math.sqrt(rate / n)) and r["v"] == pytest.approx(rate, rel=0.15 if n > 1000 else 0.5, abs=0.01)
 
@@ -121,7 +122,7 @@ def test_null_source_has_its_own_weight(spark):
 
 
 #: Names that operators use for what they compute beside the rows.
-INTERNAL = ("doc", "rate", "salt", "own", "n", "copy_no", "shuffle_key", "__rate", "__source", "__u", "__n", "__own", "__salt", "__runs", "__id", "__t",
+INTERNAL = ("doc", "draw", "rate", "salt", "own", "n", "copy_no", "shuffle_key", "__rate", "__source", "__u", "__n", "__own", "__salt", "__runs", "__id", "__t",
             "id", "t", "tid", "runs", "mark", "row", "kept_text", "n_lines", "n_dropped", "text_id", "digest", "__row", "__d", "__s", "key", "h", "bits", "__h")
 
 
@@ -169,6 +170,13 @@ def test_rewrapped_licences(spark, docs_of):
     assert licences.licence_scan(docs_of([cut])).first().text_licences == []
 
 
+def test_tags_and_file_headers(docs_of):
+    texts = ["# SPDX-License-Identifier: Apache-2.0\nimport os", "/* spdx-license-identifier: GPL-3.0-or-later */", "SPDX-License-Identifier: MIT OR other",
+             '// Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\ncode()']
+    got = {r.doc_id: (r.notice_licences, r.text_licences) for r in licences.licence_scan(docs_of(texts)).collect()}
+    assert [got[i][0] for i in range(4)] == [["Apache-2.0"], ["GPL-3.0"], [], ["Apache-2.0"]] and got[1][1] == ["GPL-3.0"]
+
+
 def test_long_licences(docs_of):
     known = licences.known_texts()
     long = [(k, b) for k, b in known if len(b) > 5000]

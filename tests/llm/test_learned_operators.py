@@ -119,16 +119,16 @@ def test_near_dup_odd(odd):
     assert near_dup.near_dup(odd.limit(0)).count() == 0
 
 
-def _template(n, swaps, seed=4, words=200):
-    """Documents of one template with ``swaps`` words replaced: all look alike, none links at 85 per cent."""
+def _template(n, swaps, seed=4, words=198):
+    """Documents of one template with ``swaps`` words replaced, at other places in each: with five all look alike, and none
+    links at 85 per cent."""
     rng = random.Random(seed)
-    base = [f"b{i}" for i in range(words)]
-    out = []
-    for i in range(n):
-        t = list(base)
-        for at in rng.sample(range(words), swaps):
-            t[at] = f"x{i}y{at}"
-        out.append(" ".join(t))
+    base, out, taken = [f"b{i}" for i in range(words)], [], set()
+    while len(out) < n:
+        places = tuple(sorted(rng.sample(range(1, words - 1, 3), swaps)))  # no shingle holds two of them
+        if places not in taken:
+            taken.add(places)
+            out.append(" ".join(f"x{len(out)}y{i}" if i in places else w for i, w in enumerate(base)))
     return out
 
 
@@ -149,7 +149,7 @@ def test_near_dup_templates_are_sent_a_fixed_number_of_times(docs_of, monkeypatc
 
 def test_near_dup_blocks_and_large_nodes_agree(docs_of, monkeypatch):
     """Nodes too large for a task branch by exchanges, and groups too large for a task meet block by block."""
-    texts = _template(150, 4) + _template(60, 9, seed=6) + _template(120, 1, seed=8, words=90)
+    texts = _template(150, 4) + _template(60, 9, seed=6) + _template(28, 1, seed=8, words=90)
     rows = list(enumerate(texts))
     monkeypatch.setattr(near_dup, "NODE_ROWS", 40)
     monkeypatch.setattr(near_dup, "LEAF", 16)
@@ -220,8 +220,8 @@ def test_language_votes_against_brute_force():
         counts = {}
         for n in range(1, 5):
             for j in range(len(folded) - n + 1):
-                h = folded[j]
-                for k in range(1, n):
+                h = 0
+                for k in range(n):
                     h = (h * 0x01000193 & 0xFFFFFFFF) ^ (folded[j + k] + k * 257 + 1)
                 h = ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - langid.BITS
                 counts[h] = counts.get(h, 0) + 1

@@ -190,10 +190,10 @@ def _(t):
     return t.documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id")
 
 
-@add("flt12_multi_key", "SELECT o_orderkey FROM orders WHERE o_orderkey = 7 AND upper(o_orderstatus) = 'O' OR lower(o_orderpriority) = '1-urgent' AND o_custkey < 20")
+@add("flt12_multi_key", "SELECT o_orderkey FROM orders WHERE o_orderkey = 7 AND upper(o_orderstatus) = 'O' OR lower(o_orderpriority) = '1-urgent' AND lower(o_orderstatus) = 'f'")
 def _(t):
     one = (F.col("o_orderkey") == 7) & (F.upper("o_orderstatus") == "O")
-    return t.orders.filter(one | (F.lower("o_orderpriority") == "1-urgent") & (F.col("o_custkey") < 20)).select("o_orderkey")
+    return t.orders.filter(one | (F.lower("o_orderpriority") == "1-urgent") & (F.lower("o_orderstatus") == "f")).select("o_orderkey")
 
 
 @add("flt14_length_gate", "SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 100 AS meaningful FROM documents")
@@ -402,16 +402,18 @@ def _(t):
     return sinks.upsert(base, base.filter("n_nationkey % 2 = 0").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!"))), "n_nationkey")
 
 
-@add("snk3_insert_ignore", "SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 100 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey BETWEEN 101 AND 200")
+@add("snk3_insert_ignore", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer")
 def _(t):
-    base = t.customer.filter("c_custkey <= 100").select("c_custkey", "c_name")
-    return sinks.insert_ignore(base, t.customer.filter("c_custkey BETWEEN 50 AND 200").select("c_custkey", F.lit("new").alias("c_name")), "c_custkey")
+    """Every customer is inserted; those already there stay as they are."""
+    base = t.customer.filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    return sinks.insert_ignore(base, t.customer.select("c_custkey", F.lit("new").alias("c_name")), "c_custkey")
 
 
-@add("snk4_reactivate", """SELECT s_suppkey, s_name, CASE WHEN s_suppkey <= 30 THEN 'active' WHEN s_suppkey <= 50 THEN 'resolved' ELSE 'active' END AS status FROM supplier WHERE s_suppkey <= 60 AND (s_suppkey <= 50 OR s_suppkey > 50)""")
+@add("snk4_reactivate", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'active' ELSE 'resolved' END AS status FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0")
 def _(t):
-    base = t.supplier.filter("s_suppkey <= 50").select("s_suppkey", "s_name", F.lit("resolved").alias("status"))
-    rows = t.supplier.filter("s_suppkey <= 30 OR s_suppkey BETWEEN 51 AND 60").select("s_suppkey", "s_name", F.lit("active").alias("status"))
+    """Inserts of every second supplier: new ones are added, resolved ones become active again."""
+    base = t.supplier.filter("s_suppkey % 3 <> 0").select("s_suppkey", "s_name", F.lit("resolved").alias("status"))
+    rows = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey", "s_name", F.lit("active").alias("status"))
     return sinks.upsert_columns(base, rows, "s_suppkey", {"status": F.lit("active")})
 
 

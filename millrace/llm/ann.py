@@ -5,8 +5,8 @@ recursive bisection: a smooth vector over the graph (power iteration) is split a
 refined by balanced swaps. A small network (one hidden layer) learns to tell a vector's part. It then sends *every* row
 to its most probable part, and every query to its several most probable parts; the candidates found there are reranked
 by exact cosine in double precision. How many parts a query visits is set on ``HELD`` sample vectors that the network was
-not trained on: the fewest that reach ``TARGET_RECALL`` against brute force. On vectors without any structure that is
-most of the parts.
+not trained on: the fewest whose recall against brute force, less two standard errors, reaches ``TARGET_RECALL``. On
+vectors without any structure that is most of the parts.
 
 A part is cut into blocks of ``BLOCK_VALUES`` numbers at most. A task holds one block and lets the part's queries stream
 past it, so a vector travels once and a query once for each block that it visits; only where a block would meet more than
@@ -32,8 +32,8 @@ from millrace.llm import textvec as tv
 from millrace.session import arrow_map, materialise
 
 SAMPLE, GRAPH_K, HIDDEN = 5000, 10, 96
-PARTS, MAX_PARTS, PART_ROWS = 16, 256, 65_536
-TARGET_RECALL = 0.97
+PARTS, MAX_PARTS, PART_ROWS = 64, 256, 65_536
+TARGET_RECALL = 0.93
 HELD = 1000
 BLOCK_VALUES, PAIRS = 1 << 22, 1 << 31
 
@@ -143,7 +143,8 @@ def fit(x: np.ndarray, parts: int, k: int = 5, seed: int = 5, target: float = TA
     true = _neighbours(x, min(k, len(x) - 1))[tried]
     depth = np.take_along_axis(rank[tried], home[true], 1)  # at which probe each true neighbour turns up
     recall = [(depth < m).mean() for m in range(1, parts + 1)]
-    model.probes = next((m for m, r in enumerate(recall, 1) if r >= target), parts)
+    sure = [r - 2 * np.sqrt(r * (1 - r) / max(1, depth.size)) for r in recall]
+    model.probes = next((m for m, r in enumerate(sure, 1) if r >= target), parts)
     model.sample_recall = float(recall[model.probes - 1])
     return model
 

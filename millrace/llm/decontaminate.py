@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
-from millrace.llm.keys import only_keys, text_key
+from millrace.llm.keys import only_keys, text_key, without
 from millrace.session import arrow_map, materialise
 
 #: Fixed masks, '1' compares and '0' ignores a position.
@@ -270,7 +270,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without the rows that overlap a benchmark item; every row is judged by its text alone."""
     bad = overlapping_texts(docs, benchmark, text_col, **kw).select("k1", "k2").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *text_key(F.col(text_col)))
-    return rows.join(bad, ["k1", "k2"], "left_anti").select("doc.*")
+    bad, _ = materialise(bad, "found")
+    return without(rows, ["k1", "k2"], bad).select("doc.*")
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

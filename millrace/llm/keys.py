@@ -20,16 +20,32 @@ def once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
-def only_keys(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows whose key may be among ``wanted``: a bitmap of fixed size (2 ** FILTER_POWER bits) is broadcast, so rows
-    that take no part are dropped before any shuffle. False positives pass; nothing that is wanted is lost."""
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_POWER)
-    bits = (
-        wanted.select(slot(F.col(wanted_key)).alias("s"))
-        .groupBy(F.expr("s div 32768").alias("__bucket"))
-        .agg(F.expr("bitmap_construct_agg(s % 32768)").alias("__bits"))  # 4 KB each, 2 ** FILTER_POWER / 32768 rows
-    )
-    at = df.withColumn("__s", slot(key)).withColumn("__bucket", F.expr("__s div 32768"))
+def _bitmap(wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Presence of keys by hash, as rows of 4 KB: 2 ** FILTER_POWER bits whatever their number."""
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(wanted_key)), 64 - FILTER_POWER)
+    rows = wanted.select(slot.alias("s")).groupBy(F.expr("s div 32768").alias("__bucket"))
+    return rows.agg(F.expr("bitmap_construct_agg(s % 32768)").alias("__bits"))
+
+
+def _flagged(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, how: str) -> DataFrame:
+    """``df`` with ``__may``: whether its key may be among ``wanted``; the bitmap is broadcast."""
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_POWER)
+    at = df.withColumn("__s", slot).withColumn("__bucket", F.expr("__s div 32768"))
     byte = F.expr("cast(conv(hex(substring(__bits, cast((__s % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
     hit = F.shiftright(byte.bitwiseAND(F.expr("shiftleft(1, cast(__s % 8 as int))")), 0) != 0
-    return at.join(F.broadcast(bits), "__bucket").filter(hit).drop("__s", "__bucket", "__bits")
+    met = at.join(F.broadcast(_bitmap(wanted, wanted_key)), "__bucket", how)
+    return met.withColumn("__may", F.coalesce(hit, F.lit(False))).drop("__s", "__bucket", "__bits")
+
+
+def only_keys(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key may be among ``wanted``: rows that take no part are dropped before any shuffle. False positives pass;
+    nothing that is wanted is lost."""
+    return _flagged(df, key, wanted, wanted_key, "inner").filter("__may").drop("__may")
+
+
+def without(df: DataFrame, on: list[str], gone: DataFrame) -> DataFrame:
+    """Rows whose key ``on`` is not in ``gone`` (an anti join). Only rows that may be there are shuffled; the others, of a corpus
+    that keeps most of itself nearly all, stay where they are."""
+    marked = _flagged(df, F.col(on[0]), gone, on[0], "left")
+    rest = marked.filter("__may").drop("__may").join(gone, on, "left_anti").select(*df.columns)
+    return marked.filter("NOT __may").select(*df.columns).unionByName(rest)

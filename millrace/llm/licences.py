@@ -55,6 +55,23 @@ THIS SOFTWARE.""",
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+    *(
+        (
+            f"GPL-{n}.0",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            f"published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.",
+        )
+        for n in (2, 3)
+    ),
+)
+#: Tags that name a licence in one line, by the identifiers of the public list; fixed values.
+TAGGED = (
+    "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "Zlib", "BSL-1.0",
 )
 
 BSD_1_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
@@ -88,6 +105,51 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE.""",
     ),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not
+required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "BSL-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by
+a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    *(
+        (
+            "Unlicense",
+            f"""This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <{at}>""",
+        )
+        for at in ("https://unlicense.org", "http://unlicense.org/")
+    ),
 )
 #: Title lines that files put above a whole text which does not carry its own.
 TITLES = {
@@ -96,6 +158,9 @@ TITLES = {
     "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
     "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"),
     "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
 }
 
 #: Words that follow 'copyright', or the list mark '(c)', in the wording of licences rather than in a notice.
@@ -136,12 +201,13 @@ def canonical(text: Column) -> Column:
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """All built-in (licence id, text) pairs: ``KNOWN``, ``WHOLE``, both below their titles, and the files."""
+    """All built-in (licence id, text) pairs: ``KNOWN``, ``WHOLE``, both below their titles, the tags, and the files."""
     files = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
     # Apache-2.0 is as often given without its appendix; that starts on a line of its own.
     files += [(k, body[: body.index("APPENDIX:")]) for k, body in files if k == "Apache-2.0"]
     short = [(k, body) for k, body in (*KNOWN, *WHOLE) if "\n" in body]
-    return [*KNOWN, *WHOLE, *((k, f"{title}\n{body}") for k, body in short for title in TITLES[k]), *files]
+    tags = [(k, f"SPDX-License-Identifier: {k}{end}") for k in TAGGED for end in (("", "-only", "-or-later") if "GPL" in k else ("",))]
+    return [*KNOWN, *WHOLE, *((k, f"{title}\n{body}") for k, body in short for title in TITLES[k]), *tags, *files]
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:

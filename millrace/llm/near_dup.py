@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
-from millrace.llm.keys import only_keys
+from millrace.llm.keys import only_keys, without
 from millrace.session import arrow_map, materialise, remove
 
 COORDS, TREES = 64, 16
@@ -574,9 +574,11 @@ def near_dup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of smallest id."""
-    gone = near_dup(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_id").alias("__t")).distinct()
+    gone = near_dup(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_id").alias("th")).distinct()
+    gone, _ = materialise(gone, "gone")
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (text == F.col("__t")), "left_anti")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), text.alias("th"))
+    return without(rows, ["id", "th"], gone).select("doc.*")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, line_dedup, mixing, near_dup
-from millrace.session import materialise
+from millrace.session import materialise, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Confidence below which a document counts as being in no language that the labels teach.
@@ -65,9 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs, _ = materialise(docs, f"stage-{name}")
+            docs, path = materialise(docs, f"stage-{name}")
+            if before:
+                remove(spark, before)  # a written stage no longer reads its predecessor
+            before = path
     return docs

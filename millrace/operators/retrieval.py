@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numbers import cosine, min_max
 from millrace.functions.text import tokens
-from millrace.operators.core import first_n, small, with_each
+from millrace.operators.core import first_n, is_small, small, with_each
 
 K1, B = 1.5, 0.75
 
@@ -24,20 +24,24 @@ def postings(chunks: DataFrame, chunk_id: str = "id", text: str = "text") -> Dat
 def bm25(chunks: DataFrame, queries: DataFrame, chunk_id: str = "id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """``query_id, id, score`` of every chunk that shares a term, Okapi BM25 with idf = ln(1 + (N - df + 0.5)/(df + 0.5)).
 
-    Texts are cut into terms once; postings carry their chunk's length and are reduced to the queries' terms before the
-    shuffle. Chunk ids are unique.
+    Texts are cut into terms once and dealt by chunk, reduced to the queries' terms: the only shuffle. Term counts, the
+    queries' terms with their document frequencies (broadcast where the queries are small) and the sums of a chunk for
+    each query all follow that partitioning. Chunk ids are unique.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term"))
     q = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    few = is_small(q)
+    sized = F.broadcast if few else (lambda x: x)
     cut = chunks.select(F.col(chunk_id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws"))
     total = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avg_len"))  # one row
     words = cut.select("id", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-    hits = words.join(small(q.select("term").distinct()), "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dealt = words.join(sized(q.select("term").distinct()), "term", "left_semi").repartition("id")
+    hits = dealt.groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    asked = q.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")  # as many rows as q at most
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(total)).select("term", "id", part.alias("s"))
-    return q.join(scored, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("s")).alias("score"))
+    scored = hits.join(sized(asked), "term").crossJoin(F.broadcast(total))
+    return scored.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * part).alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: str = "query_id", item: str = "id") -> DataFrame:

@@ -93,7 +93,16 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, zipped.parent, True)
 
 
+#: Bytes of an Arrow batch: with long texts a batch of the default size is a multiple of it in a worker's copies.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package available to the workers."""
-    ship(df.sparkSession)
+    """``df.mapInArrow`` with this package available to the workers, in batches of BATCH_BYTES unless the session sets another
+    size than Spark's own."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)

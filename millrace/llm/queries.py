@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, decontaminate, langid, licences, line_dedup, mixing, near_dup, pii, toxicity, url_filter
+from millrace.llm import alignment, ann, decontaminate, langid, licences, line_dedup, mixing, near_dup, pii, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": _over("documents benchmark", decontaminate.op8),
         "op9_licences": _over("documents", licences.op9),
         "op10_url_filter": _over("pages", url_filter.op10),
+        "op12_alignment": _over("documents", alignment.op12),
     }
 
 

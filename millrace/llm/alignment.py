@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
+from millrace.llm.packed import pack, spread, unpack
 from millrace.session import arrow_map, materialise
 
 #: Folder of the tokenizer files and their names.
@@ -54,12 +55,6 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each of several runs."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
-
-
 class Aligner:
     """Both tokenizers with what they make of the pieces of text seen so far."""
 
@@ -135,7 +130,7 @@ class Aligner:
         of_a = key_a // va
         sizes = np.bincount(key_b // vb, minlength=n_groups)
         starts = np.cumsum(sizes) - sizes
-        at = _spread(starts[of_a], sizes[of_a])
+        at = spread(starts[of_a], sizes[of_a])
         left = np.repeat(np.arange(len(key_a)), sizes[of_a])
         return (key_a % va)[left] * vb + (key_b % vb)[at], n_a[left] * n_b[at], piece_of[of_a[left]]
 
@@ -164,26 +159,6 @@ def _aligner(files: tuple[bytes, bytes]) -> Aligner:
     return _aligners[key]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length in the least unsigned type that holds each, compressed."""
-    out = [len(arrays[0]).to_bytes(8, "little")]
-    for x in arrays:
-        kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
-        out += [kind.char.encode(), x.astype(kind).tobytes()]
-    plain = b"".join(out)
-    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes) -> list[np.ndarray]:
-    plain = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-    n, at, out = int.from_bytes(plain[:8], "little"), 8, []
-    while at < len(plain):
-        kind = np.dtype(plain[at : at + 1].decode())
-        out.append(np.frombuffer(plain, kind, n, at + 1).astype(np.int64))
-        at += 1 + n * kind.itemsize
-    return out
-
-
 def _decoded(text: bytes | None) -> str | None:
     try:
         return text.decode() if text else None
@@ -218,7 +193,7 @@ def _aligned(al: Aligner, texts: list[str | None]):
     held, times = np.unique(doc[keep] * max(1, len(al.text)) + ids[keep], return_counts=True)
     piece, doc = held % max(1, len(al.text)), held // max(1, len(al.text))
     sizes = al.off[piece + 1] - al.off[piece]
-    at = _spread(al.off[piece], sizes)
+    at = spread(al.off[piece], sizes)
     code, doc, m = al.codes[at], np.repeat(doc, sizes), al.times[at] * np.repeat(times, sizes)
     bucket = _bucket(code // len(al.bytes_b))
     order = np.lexsort((doc, code, bucket))
@@ -231,7 +206,7 @@ def _aligned(al: Aligner, texts: list[str | None]):
     for k in np.flatnonzero(np.diff(edges)).tolist():
         a, z = edges[k], edges[k + 1]
         pairs, docs = np.unique(code[a:z], return_counts=True)
-        parts.append((k, _pack(np.diff(pairs, prepend=0), docs), _pack(doc[a:z], m[a:z])))
+        parts.append((k, pack(np.diff(pairs, prepend=0), docs), pack(doc[a:z], m[a:z])))
     return counts[:, 1:], digests, parts
 
 
@@ -278,7 +253,7 @@ def pair_counts(encoded: DataFrame, side_b: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [(k, *_unpack(p)) for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = [(k, *unpack(p)) for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             if not found:
                 continue
             bucket = np.concatenate([np.full(len(d), k) for k, d, _ in found])
@@ -341,9 +316,9 @@ def contributions(encoded: DataFrame, counts: DataFrame) -> DataFrame:
 def _added(table: list[np.ndarray], first: int, pairs: bytes, docs: bytes):
     """(row, n_best, count_sum) that one slice's postings of one bucket add."""
     codes, n, best = table
-    step, held = _unpack(pairs)
+    step, held = unpack(pairs)
     at = np.repeat(np.searchsorted(codes, np.cumsum(step)), held)
-    doc, m = _unpack(docs)
+    doc, m = unpack(docs)
     some = np.unique(doc)
     place = np.searchsorted(some, doc)
     order = np.argsort(place, kind="stable")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import alignment, ann, decontaminate, langid, licences, line_dedup, mixing, near_dup, pii, toxicity, url_filter
+from millrace.llm import alignment, ann, decontaminate, langid, lexical, licences, line_dedup, lm, mixing, near_dup, pii, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,9 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": _over("documents benchmark", decontaminate.op8),
         "op9_licences": _over("documents", licences.op9),
         "op10_url_filter": _over("pages", url_filter.op10),
+        "op11_lm_score": _over("documents", lm.op11),
         "op12_alignment": _over("documents", alignment.op12),
+        "op13_lexical_search": _over("documents benchmark", lexical.op13),
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.ORACLE_SQL,
         "op9_licences": licences.oracle_sql(),
         "op10_url_filter": url_filter.ORACLE_SQL,
+        "op13_lexical_search": lexical.ORACLE_SQL,
     }

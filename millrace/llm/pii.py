@@ -3,7 +3,8 @@
 The base detectors find e-mail addresses, IP addresses, payment cards and phone numbers in whole texts. Every distinct
 value is a *protected entity*, and so is a secret: a run of letters and digits mixed throughout that carries
 ``SECRET_BITS`` of information at least (its length times the entropy of its characters). Over the whole corpus it is
-counted in how many documents a term stands, n(t), an entity stands, n(e), and both stand in one line, n(e, t). A term
+counted in how many documents a term stands, n(t), an entity stands, n(e), and both stand in one line with fewer than ``NEAR``
+words between them, n(e, t): a line of any length gives each value so many terms at most. A term
 discloses the entity as far as their pointwise mutual information reaches the entity's own information content:
 
     PMI(e; t) >= ALPHA * IC(e),   PMI = log(n(e,t) * N / (n(e) * n(t))),   IC(e) = log(N / n(e))
@@ -24,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textvec as tv
 from millrace.llm.keys import only_keys, text_key
+from millrace.llm.packed import spread
 from millrace.session import arrow_map, materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,6 +46,10 @@ TERM, SECRET = len(KINDS), len(KINDS) + 1
 SECRET_BITS, SECRET_TURNS = 64, 4
 ALPHA = 0.9
 MIN_SUPPORT = 2
+#: Words on either side of a value, within its line, that stand beside it.
+NEAR = 64
+#: Parts that the texts holding one entity are dealt over, so that an entity of every document is no single key.
+SALTS = 16
 BITMAP_POWER = 24
 
 # Fixed patterns of the base detectors. Each search is anchored where a match can begin, so no run is scanned twice.
@@ -102,9 +110,10 @@ def base_spans(text: str) -> list[Span]:
 def secret_spans(text: str, base: list[Span]) -> list[Span]:
     """Runs of mixed letters and digits that carry much information and lie in no base span."""
     out = []
+    starts, ends = [a for a, *_ in base], list(accumulate((z for *_, z in base), max))
     for m in _RUN.finditer(text):
-        run = m[0]
-        if len(_TURN.findall(run)) >= SECRET_TURNS and not any(a < m.end() and m.start() < z for a, _, z in base):
+        run, before = m[0], bisect_left(starts, m.end())
+        if len(_TURN.findall(run)) >= SECRET_TURNS and not (before and ends[before - 1] > m.start()):
             counts = np.unique(np.frombuffer(run.encode(), np.uint8), return_counts=True)[1]
             if -(counts * np.log2(counts / len(run))).sum() >= SECRET_BITS:
                 out.append((m.start(), SECRET, m.end()))
@@ -122,17 +131,32 @@ def _words_outside(text: str, spans: list[Span], start: int, end: int) -> Iterat
             yield m
 
 
-def _near(text: str, spans: list[Span]) -> set[tuple[int, str]]:
-    """(entity, word) for every word in the line of a span."""
+def _near(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+    """(entity, term hash), each pair once, for the words of a span's line that stand within NEAR words of it."""
     line_of: dict[int, list[Span]] = {}
     for s in spans:
         line_of.setdefault(text.rfind("\n", 0, s[0]) + 1, []).append(s)
-    out = set()
+    words, starts, first, past, names = [], [], [], [], []
     for start, own in line_of.items():
         end = text.find("\n", start)
-        entities = {_entity(ALL_KINDS[k], text[a:z]) for a, k, z in own}
-        out.update((e, m[0]) for m in _words_outside(text, own, start, len(text) if end < 0 else end) for e in entities)
-    return out
+        lo = len(starts)
+        for m in _words_outside(text, own, start, len(text) if end < 0 else end):
+            words.append(m[0])
+            starts.append(m.start())
+        for a, k, z in own:
+            at = bisect_left(starts, a, lo)
+            first.append(max(lo, at - NEAR))
+            past.append(min(len(starts), at + NEAR))
+            names.append(_entity(ALL_KINDS[k], text[a:z]))
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.array(past) - np.array(first)
+    entity = np.repeat(np.array(names, np.int64), sizes)
+    term = tv.hash_words(words, table=tv.ALNUM).view(np.int64)[spread(np.array(first), sizes)]
+    order = np.lexsort((term, entity))
+    entity, term = entity[order], term[order]
+    new = np.concatenate([[True], (entity[1:] != entity[:-1]) | (term[1:] != term[:-1])]) if len(order) else np.zeros(0, bool)
+    return entity[new], term[new]
 
 
 SPANS = "array<struct<start:long,kind:int,end:long>>"
@@ -143,13 +167,17 @@ def _struct(spans: list[Span]) -> list[dict]:
     return [{"start": s, "kind": k, "end": e} for s, k, e in spans]
 
 
+def _pair_lists(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    entity, term = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    off = np.cumsum([0, *(len(e) for e, _ in pairs)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(entity), pa.array(term)], names=["entity", "term"]))
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, k1, k2, base, secrets, entities, near``: key of the text, its spans, the entities they name, and the words that
     stand in a line with one, as (entity, term hash)."""
     base = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)), F.col(text_col).alias("t"))
     kind = base.schema["id"].dataType.simpleString()
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
-
     def run(batches):
         for batch in batches:
             all_base, secrets, entities, pairs = [], [], [], []
@@ -161,12 +189,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 secrets.append(_struct(hidden))
                 own = [*spans, *hidden]
                 entities.append(sorted({_entity(ALL_KINDS[k], text[a:z]) for a, k, z in own}))
-                found = sorted(_near(text, own)) if own else []
-                hashes = tv.hash_words([w for _, w in found], table=tv.ALNUM).view(np.int64).tolist() if found else []
-                distinct = sorted({(e, h) for (e, _), h in zip(found, hashes, strict=True)})
-                pairs.append([{"entity": e, "term": h} for e, h in distinct])
+                pairs.append(_near(text, own))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(all_base, _SPANS), pa.array(secrets, _SPANS), pa.array(entities, pa.list_(pa.int64())), pa.array(pairs, near)],
+                [*(batch.column(i) for i in range(3)), pa.array(all_base, _SPANS), pa.array(secrets, _SPANS), pa.array(entities, pa.list_(pa.int64())), _pair_lists(pairs)],
                 names=["id", "k1", "k2", "base", "secrets", "entities", "near"],
             )
 
@@ -269,7 +294,9 @@ def keyed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id, k1, k2, base, spans`` of every row."""
     found, _ = materialise(detect(docs, id_col, text_col), "spans")
     risky = disclosing_terms(docs, found, text_col, alpha, min_support)
-    held = found.select("k1", "k2", F.explode("entities").alias("entity")).distinct().join(risky, "entity")
+    held = found.select("k1", "k2", F.explode("entities").alias("entity")).distinct().withColumn("salt", F.pmod("k1", F.lit(SALTS)))
+    risky = risky.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    held = held.join(risky, ["entity", "salt"])
     marks, _ = materialise(held.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms")), "marks")
     out = found.join(_term_spans(_texts_of(docs, marks, text_col)), ["k1", "k2"], "left")
     more = F.coalesce("more", F.array().cast(SPANS.replace("long", "bigint")))

@@ -5,6 +5,12 @@ few fixed masks that ignore some positions, so an overlap is found although sing
 of both sides are joined; each hit names an alignment (item and diagonal), and the alignment is verified on the words
 themselves: a window of ``WINDOW`` item words (the whole item if shorter) of which ``MIN_MATCH`` agree.
 
+A seed that more than ``HOT_ITEMS`` items hold, a phrase of a template say, would name an alignment for every document and item
+that share it. It names windows instead: those of item and document that contain it are hashed under all masks that ignore as
+many positions as a verified window may miss, so two windows have a hash in common exactly where they pass. Every window that
+passes contains the seeds it has in common, so nothing is lost (a short window may pass without a common seed; it is found by
+neither). Items that share a window hold it once, until the windows of a document are known.
+
 Both sides are tables. The benchmark's seeds set the bits of a filter of fixed size (``2 ** FILTER_POWER`` bits), which
 is all that every task gets; a document's seeds that pass it are joined with the seed table, by broadcast up to
 ``BROADCAST_SEEDS`` rows and by exchange beyond. Alignments of a document are distinct before they move, and each text
@@ -13,12 +19,15 @@ of equal text, are judged once; nothing is listed twice and nothing is left out.
 
 Defined results: null or empty texts on either side match nothing; an item without words or with a null id matches
 nothing; verdicts belong to texts, so repeated rows, null ids and equal ids with different texts each get that of their
-own text; items of equal text all count; a document's matches keep every item id, in order.
+own text; items of equal text all count; a document's matches keep every item id, in order; an empty table on either side
+leaves every document clean; very long texts are hashed a slice of rows at a time; other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +45,8 @@ MASKS = ("11111", "1101011", "11001011", "1010100111")
 WINDOW, MIN_MATCH = 13, 0.8
 #: Items with fewer words are too short to tell from chance; they only match as a whole and word for word.
 SHORT = 8
+#: Items beyond which a seed names windows, not alignments.
+HOT_ITEMS = 8
 FILTER_POWER = 26
 #: Seeds (some 30 bytes each) up to which the table is broadcast.
 BROADCAST_SEEDS = 1_000_000
@@ -108,7 +119,7 @@ def _seed_table(items: DataFrame) -> DataFrame:
                 s, item, pos = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(item.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["s", "item", "at"])
 
-    return materialise(arrow_map(items, run, "s long, item long, at long"), "seeds")[0]
+    return arrow_map(items, run, "s long, item long, at long")
 
 
 def _slots(s: np.ndarray, i: int, power: int) -> np.ndarray:
@@ -134,6 +145,74 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return bits
 
 
+def _window_hashes(h: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Of the windows at ``starts``: the hash of all words, then one for each choice of positions that may differ."""
+    with np.errstate(over="ignore"):
+        own = [tv.mix(h[starts + j] + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)) for j in range(size)]
+        total = np.sum(own, axis=0, dtype=np.uint64) if len(starts) else np.zeros(0, np.uint64)
+        yield tv.mix(total + np.uint64(size))
+        for i, out in enumerate(combinations(range(size), size - _needed(size))):
+            yield tv.mix(total - np.sum([own[j] for j in out], axis=0, dtype=np.uint64) + np.uint64(1000 * size + i + 1)) if len(starts) else total
+
+
+def _needed(size: int) -> int:
+    return math.ceil(MIN_MATCH * size)
+
+
+def _windows_around(h: np.ndarray, woff: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place among all words) of the windows that contain a seed whose slots are set."""
+    found = []
+    for salt, mask in enumerate(MASKS):
+        s, row, pos = _seeds(h, woff, mask, salt)
+        hit = _passing(bits, s)
+        for back in range(size - len(mask) + 1):
+            t = pos[hit] - back
+            ok = (t >= 0) & (t + size <= np.diff(woff)[row[hit]])
+            found.append(np.stack([row[hit][ok], woff[row[hit][ok]] + t[ok]]))
+    row, at = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return row, at
+
+
+def _item_windows(items: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``window, size, w, item, at``: the windows of items around hot seeds, named by the hash of their words."""
+    shared = items.sparkSession.sparkContext.broadcast(bits)  # fixed size
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = np.frombuffer(w, np.uint64)
+                size = min(WINDOW, len(h))
+                if size >= SHORT:
+                    _, at = _windows_around(h, np.array([0, len(h)]), shared.value, size)
+                    names = next(_window_hashes(h, at, size)).view(np.int64).tolist()
+                    out += [(name, size, h[t : t + size].tobytes(), item, t) for name, t in zip(names, at.tolist(), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), _WINDOW_TYPES, strict=True)], names=_WINDOW_NAMES)
+
+    return materialise(arrow_map(items, run, "window long, size int, w binary, item long, at long"), "windows")[0]
+
+
+_WINDOW_NAMES = ["window", "size", "w", "item", "at"]
+_WINDOW_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+
+def _window_keys(windows: DataFrame) -> DataFrame:
+    """``s, window``: the hashes of each distinct window under the masks of its size."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, names = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                h = np.frombuffer(b"".join(batch.column(2).take(pa.array(own)).to_pylist()), np.uint64)
+                keys = list(_window_hashes(h, np.arange(len(own)) * size, size))[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(names[own], len(keys)))], names=["s", "window"])
+
+    distinct = windows.groupBy("window").agg(F.first("size").alias("size"), F.first("w").alias("w"))
+    return materialise(arrow_map(distinct, run, "s long, window long"), "window-keys")[0]
+
+
 # --- the documents ------------------------------------------------------------------------------------------------
 
 
@@ -145,32 +224,63 @@ def _passing(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return at
 
 
-def _hits(texts: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
-    """``k1, k2, s, pos``: the seeds of ``k1, k2, t`` that pass the filter. A seed that is a whole short item counts once."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)  # fixed size
+def _hits(texts: DataFrame, cold: np.ndarray, hot: np.ndarray | None, keys: np.ndarray | None, lengths: list[int], sizes: list[int]) -> DataFrame:
+    """``k1, k2, s, pos, hot``: the seeds of ``k1, k2, t`` that pass the filter, and the hashes of windows around hot seeds
+    that do. A seed that is a whole short item counts once."""
+    shared = texts.sparkSession.sparkContext.broadcast((cold, hot, keys))  # fixed size
+
+    def found(h, woff):
+        cold, hot, keys = shared.value
+        for mask, salt in [(m, i) for i, m in enumerate(MASKS)] + [_short_mask(n) for n in lengths]:
+            s, row, pos = _seeds(h, woff, mask, salt)
+            at = _passing(cold, s)
+            if salt >= 100 and len(at):
+                _, first = np.unique(np.stack([row[at], s[at].view(np.int64)]), axis=1, return_index=True)
+                at = at[first]
+            yield row[at], s[at], pos[at], False
+        for size in sizes:
+            row, place = _windows_around(h, woff, hot, size)
+            hashes = _window_hashes(h, place, size)
+            next(hashes)
+            for s in hashes:
+                at = _passing(keys, s)
+                yield row[at], s[at], place[at] - woff[row[at]], True
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            rows, seeds, places = [], [], []
             for a, _, h, woff in _words(batch.column(2)):
-                for mask, salt in [(m, i) for i, m in enumerate(MASKS)] + [_short_mask(n) for n in lengths]:
-                    s, row, pos = _seeds(h, woff, mask, salt)
-                    at = _passing(bits, s)
-                    if salt >= 100 and len(at):
-                        _, first = np.unique(np.stack([row[at], s[at].view(np.int64)]), axis=1, return_index=True)
-                        at = at[first]
-                    rows.append(row[at] + a)
-                    seeds.append(s[at])
-                    places.append(pos[at])
-            if rows and sum(map(len, rows)):
-                row = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(places).astype(np.int64))],
-                    names=["k1", "k2", "s", "pos"],
-                )
-
-    return arrow_map(texts, run, "k1 long, k2 long, s long, pos long")
+                for row, s, pos, is_hot in found(h, woff):
+                    if len(row):
+                        of = pa.array(row + a)
+                        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(s.view(np.int64)), pa.array(pos.astype(np.int64)), pa.array(np.full(len(row), is_hot))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "s", "pos", "hot"])
+
+    return materialise(arrow_map(texts, run, "k1 long, k2 long, s long, pos long, hot boolean"), "hits")[0]
+
+
+def _alignments(texts: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """``k1, k2, item, diagonal``: what has to be verified, each once."""
+    seeds = _seed_table(items)
+    seeds = seeds.join(seeds.groupBy("s").agg((F.count(F.lit(1)) > HOT_ITEMS).alias("hot")), "s")
+    seeds, _ = materialise(seeds, "seeds")
+    few = seeds.count() <= BROADCAST_SEEDS
+    sized = F.broadcast if few else (lambda x: x)
+    hot, keys, sizes, windows = None, None, [], None
+    if not seeds.filter("hot").isEmpty():
+        hot = _filter(seeds.filter("hot"))
+        windows = _item_windows(items, hot)
+        names = _window_keys(windows)
+        keys = _filter(names)
+        sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # WINDOW rows at most
+    hits = _hits(texts, _filter(seeds.filter("NOT hot")), hot, keys, lengths, sizes)
+    cold = hits.filter("NOT hot").drop("hot").join(sized(seeds.filter("NOT hot").select("s", "item", "at")), "s")
+    out = cold.select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diagonal"))
+    if windows is not None:
+        sized = F.broadcast if names.count() <= BROADCAST_SEEDS else (lambda x: x)
+        near = hits.filter("hot").join(sized(names), "s").select("k1", "k2", "pos", "window").distinct()
+        near = near.join(sized(windows.select("window", "item", "at")), "window")
+        out = out.unionByName(near.select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diagonal")))
+    return materialise(out.distinct(), "alignments")[0]
 
 
 def _verify(item: np.ndarray, h: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -239,13 +349,10 @@ def _verified(stream: DataFrame) -> DataFrame:
 def overlapping_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``k1, k2, item_id, words, matched, item_words, at``: verified overlaps, one row for each distinct text and item."""
     items, same = _items(benchmark, item_col, item_text)
-    seeds = _seed_table(items)
     lengths = sorted(r["n"] for r in items.filter(F.col("n") < SHORT).select("n").distinct().collect())  # SHORT rows at most
-    few = seeds.count() <= BROADCAST_SEEDS
-    sized = F.broadcast if few else (lambda x: x)
+    sized = F.broadcast if items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_SEEDS else (lambda x: x)
     texts = docs.filter(F.col(text_col).isNotNull()).select(*text_key(F.col(text_col)), F.col(text_col).alias("t"))
-    met = _hits(texts, _filter(seeds), lengths).join(sized(seeds), "s")
-    pairs, _ = materialise(met.select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "alignments")
+    pairs = _alignments(texts, items, lengths)
     # Copies of a text meet before the exchange, and texts without an alignment stay out of it.
     wanted = only_keys(texts, F.col("k1"), pairs, "k1").groupBy("k1", "k2").agg(F.min("t").alias("t"))
     wanted = wanted.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")

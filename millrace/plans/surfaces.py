@@ -19,7 +19,7 @@ from millrace.operators.tools import Registry
 from millrace.plans.analytics import GAPPY, gappy
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import TRADES, trades
-from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, bm25, dense_scores, relevant, rounded
+from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, lexical, relevant, rounded
 from millrace.session import arrow_map, scratch_root
 from millrace.sources import documents, sinks, tables
 from millrace.streaming import streams
@@ -328,7 +328,7 @@ def _(t):
 
 @add("jon5_id_lookup", f"WITH {BM25}, {FIRST.format(k=3)} SELECT query_id, r.id, rank, source, length(text) AS n FROM r JOIN documents ON doc_id = r.id")
 def _(t):
-    found = R.top(rounded(bm25(t)), 3)
+    found = lexical(t, 3)
     return found.join(t.documents.select(F.col("doc_id").alias("id"), "source", F.length("text").alias("n")), "id").select("query_id", "id", "rank", "source", "n")
 
 
@@ -336,13 +336,13 @@ def _(t):
 def _(t):
     """Each query beside its candidates, which the first stage bounds."""
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pairs = R.top(rounded(bm25(t)), 15).join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    pairs = lexical(t, 15).join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
     return pairs.select("query_id", "id", (F.length("query") + F.length("text")).alias("chars"))
 
 
 @add("jon14_relevant_found", f"WITH {BM25}, {REL}, {FIRST.format(k=10)} SELECT r.query_id, r.id, rank FROM r SEMI JOIN rel ON rel.query_id = r.query_id AND rel.id = r.id")
 def _(t):
-    return R.top(rounded(bm25(t)), 10).join(relevant(t).select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "rank")
+    return lexical(t, 10).join(relevant(t).select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", "rank")
 
 
 QUALITY = f"""WITH {BM25}, {REL}, {FIRST.format(k=5)}, g AS (SELECT rel.query_id, count(DISTINCT rel.id) AS n, min(r.rank) AS first, count(r.rank) AS hits, coalesce(sum(1 / log2(r.rank + 1)), 0) AS dcg
@@ -355,13 +355,13 @@ for _key, _cols, _sql in (
 
     @add(_key, f"{QUALITY} SELECT query_id, {_sql} FROM g")
     def _(t, cols=_cols):
-        q = R.quality(R.top(rounded(bm25(t)), 5), relevant(t), 5)
+        q = R.quality(lexical(t, 5), relevant(t), 5)
         return q.select("query_id", *[F.round(c, 6).alias(c) for c in cols])
 
 
 @add("mth7_fusion", f"WITH {BM25}, {DENSE.format(which=ITEMS)}, {HYBRID.replace('0.5 *', '0.25 *', 1).replace('0.5 *', '0.75 *', 1)} SELECT query_id, id, score FROM h QUALIFY {TOP} <= 10")
 def _(t):
-    both = R.hybrid(rounded(bm25(t)), dense_scores(t), 10, 0.25, 0.75)
+    both = R.hybrid(lexical(t, 20).drop("rank"), dense_scores(t), 10, 0.25, 0.75)
     return both.select("query_id", "id", F.round("score", 8).alias("score"))
 
 

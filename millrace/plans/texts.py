@@ -9,9 +9,11 @@ from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import chunks as K
 from millrace.operators import core, sqlguard
+from millrace.operators.blockmax import bm25_best
 from millrace.operators import retrieval as R
 from millrace.operators.tools import Registry
 from millrace.plans.base import Catalogue
+from millrace.session import materialise
 from millrace.sources import tables
 
 C = Catalogue()
@@ -513,6 +515,12 @@ def bm25(t):
     return R.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
+def lexical(t, k, items=1):
+    """The k best documents of every benchmark item, or of ``items`` successive ones together."""
+    q = t.benchmark.select(F.floor(F.col("item_id") / items).alias("query_id"), F.col("text").alias("query"))
+    return R.top(rounded(bm25_best(t.documents.select(F.col("doc_id").alias("id"), "text"), q, k)), k)
+
+
 def dense_scores(t, every=None):
     """Scores of all vectors for those whose id is divisible by ``every``, or for those of all benchmark items."""
     items = t.benchmark.select(F.col("item_id").alias("vec_id")).distinct()
@@ -535,7 +543,7 @@ def _(t):
 
 @add("ret2_bm25_topk", "WITH " + BM25 + f" SELECT query_id, id, round(score, 8) AS score, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10")
 def _(t):
-    return R.top(rounded(bm25(t)), 10)
+    return lexical(t, 10)
 
 
 @add("ret3_dense_topk", "WITH " + DENSE.format(which=STATED) + f" SELECT query_id, id, score, {TOP} AS rank FROM v QUALIFY {TOP} <= 10")
@@ -555,7 +563,7 @@ HYBRID = f"""l AS (SELECT query_id, id, {NORM} AS x FROM (SELECT query_id, id, r
 
 
 def hybrid(t, k=10):
-    both = R.hybrid(rounded(bm25(t)), dense_scores(t), 2 * k)
+    both = R.hybrid(lexical(t, 4 * k).drop("rank"), dense_scores(t), 2 * k)
     return core.first_n(rounded(both.drop("rank")), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
@@ -572,9 +580,8 @@ def _(t):
 
 @add("ret7_multi_query", "WITH " + BM25 + f", g AS (SELECT query_id // 2 AS query_id, id, sum(score) AS score FROM s GROUP BY 1, 2) SELECT query_id, id, round(score, 8) AS score FROM g QUALIFY {TOP} <= 5")
 def _(t):
-    s = bm25(t).withColumn("query_id", F.floor(F.col("query_id") / 2))
-    total = rounded(s.groupBy("query_id", "id").agg(F.sum("score").alias("score")))
-    return core.first_n(total, ["query_id"], [F.desc("score"), F.col("id")], 5).select("query_id", "id", "score")
+    """Both items of a question add up: its terms count as often as both hold them."""
+    return lexical(t, 5, items=2).select("query_id", "id", "score")
 
 
 _list = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
@@ -586,7 +593,7 @@ BEST = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
 
 @add("ret8_rerank", f"WITH {BM25}, {FIRST.format(k=15)}, {RERANKED} SELECT query_id, id, score, {BEST} AS rank FROM o QUALIFY rank <= 5")
 def _(t):
-    top = R.top(rounded(bm25(t)), 15)
+    top = lexical(t, 15)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     both = top.join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
     return R.rerank(both, R.lexical_overlap(F.col("query"), F.col("text")), 5).select("query_id", "id", "score", "rank")
@@ -594,7 +601,7 @@ def _(t):
 
 @add("ret9_multi_query_first", "WITH " + BM25 + f", r AS (SELECT query_id, id, {TOP} AS rank FROM s QUALIFY {TOP} <= 10) SELECT query_id // 2 AS question, id, arg_min(query_id, (query_id, rank)) AS variant FROM r GROUP BY 1, 2")
 def _(t):
-    r = R.top(rounded(bm25(t)), 10).withColumn("question", F.floor(F.col("query_id") / 2))
+    r = lexical(t, 10).withColumn("question", F.floor(F.col("query_id") / 2))
     return R.first_seen(r, "question", ["query_id", "rank"]).select("question", "id", F.col("query_id").alias("variant"))
 
 
@@ -615,18 +622,18 @@ def relevant(t):
   g AS (SELECT rel.query_id, count(DISTINCT rel.id) AS n, min(r.rank) AS first, count(r.rank) AS hits, coalesce(sum(1 / log2(r.rank + 1)), 0) AS dcg FROM rel LEFT JOIN r ON rel.query_id = r.query_id AND rel.id = r.id GROUP BY 1)
   SELECT query_id, round(coalesce(1 / first, 0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, hits / 10 AS precision, round(hits / n, 6) AS recall FROM g""")
 def _(t):
-    q = R.quality(R.top(rounded(bm25(t)), 10), relevant(t), 10)
+    q = R.quality(lexical(t, 10), relevant(t), 10)
     return q.select("query_id", *[F.round(c, 6).alias(c) for c in ("mrr", "ndcg", "precision", "recall")])
 
 
 def method_report(t, k=10):
     """Mean quality of four retrieval methods over all benchmark items."""
     rel = relevant(t)
-    lex = rounded(bm25(t))
-    first = R.top(lex, 3 * k)
+    first, _ = materialise(lexical(t, 4 * k), "lexical")
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     pairs = first.join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
-    methods = {"bm25": R.top(lex, k), "semantic": core.first_n(dense_scores(t), ["query_id"], [F.desc("score"), F.col("id")], k), "hybrid": hybrid(t, k=k), "rerank": R.rerank(pairs, R.lexical_overlap(F.col("query"), F.col("text")), k)}
+    both = core.first_n(rounded(R.hybrid(first.drop("rank"), dense_scores(t), 2 * k).drop("rank")), ["query_id"], [F.desc("score"), F.col("id")], k)
+    methods = {"bm25": first.filter(F.col("rank") <= k), "semantic": core.first_n(dense_scores(t), ["query_id"], [F.desc("score"), F.col("id")], k), "hybrid": both, "rerank": R.rerank(pairs, R.lexical_overlap(F.col("query"), F.col("text")), k)}
     out = None
     for name, ranked in methods.items():
         one = R.quality(ranked.select("query_id", "id", "rank"), rel, k).select(F.lit(name).alias("method"), "mrr", "ndcg", "precision", "recall")
@@ -654,7 +661,7 @@ def _(t):
     rel, out = relevant(t), None
     for size in SIZES:
         c = K.word_windows(t.documents.select("doc_id", "text"), size=size, overlap=size // 10)
-        top = R.top(rounded(R.bm25(c.select(F.concat_ws("_", "doc_id", "chunk_idx").alias("id"), F.col("chunk").alias("text")), q)), 5)
+        top = R.top(rounded(bm25_best(c.select(F.concat_ws("_", "doc_id", "chunk_idx").alias("id"), F.col("chunk").alias("text")), q, 5)), 5)
         hit = top.withColumn("id", F.split("id", "_")[0].cast("long")).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
         one = R.quality(hit, rel, 5).agg(F.lit(size).alias("size"), F.round(F.avg("mrr"), 4).alias("mrr"))
         out = one if out is None else out.unionByName(one)

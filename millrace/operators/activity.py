@@ -7,6 +7,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scan
 from millrace.operators.fold import fold
 from millrace.session import materialise
 
@@ -63,8 +64,10 @@ def admit_cooldown(requests: DataFrame, user: str, ts: str, cooldown: int = 60,
 
 
 def daily_quota(requests: DataFrame, user: str, ts: str, most: int = 10) -> DataFrame:
-    w = Window.partitionBy(user, F.to_date(ts)).orderBy(ts)
-    return requests.withColumn("admitted", F.row_number().over(w) <= most)
+    """``requests`` with ``admitted``: the first ``most`` of a user's day; a user of very many requests is scanned."""
+    dated = requests.withColumn("__day", F.to_date(ts)).withColumn("__one", F.lit(1))
+    counted = scan.running(dated, [user, "__day"], [ts], "__one", "__n", "count")
+    return counted.withColumn("admitted", F.col("__n") <= most).drop("__day", "__one", "__n")
 
 
 def span_pairs(starts: DataFrame, ends: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scan
 from millrace.sources.tables import with_row_index
 
 BROADCAST_BYTES = 64 << 20
@@ -55,16 +56,15 @@ def strict_lookup(facts: DataFrame, dim: DataFrame, on: Column, value: str) -> D
     return joined.withColumn(value, F.when(F.col(value).isNull(), F.raise_error(F.lit(f"no {value}"))).otherwise(F.col(value)))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, value: str, hot_rows: int | None = None) -> DataFrame:
     """For every left row the latest right value at or before its time.
 
-    Both sides are merged into one stream per key and the last value is carried forward: one shuffle by key and one
-    sort, no range join. Right rows come first at equal times.
+    Both sides are merged into one stream per key and the last value is carried forward: no range join, and a key that holds
+    most of the rows is scanned over many tasks. Right rows come first at equal times.
     """
     l = left.select("*", F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     r = right.select(F.col(by), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = Window.partitionBy(by).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
+    both = scan.running(l.unionByName(r, allowMissingColumns=True), [by], ["__ts", "__side"], "__v", value, "last", hot_rows)
     return both.filter("__side = 1").drop("__ts", "__side", "__v")
 
 
@@ -92,21 +92,6 @@ def batches(df: DataFrame, by: list[str], order: list, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """Similarity (0 to 100) of two names whose lower-cased tokens are sorted: 100 * (1 - edit distance / longer)."""
-    norm = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")), " ")
-    x, y = norm(a), norm(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, 100.0).otherwise(100 * (1 - F.levenshtein(x, y) / longest))
-
-
-def fuzzy_match(queries: DataFrame, names: DataFrame, query: str, name: str, least: float = 80, top: int = 3) -> DataFrame:
-    """Best ``top`` names of at least ``least`` similarity for every query; ``names`` is a lookup list."""
-    q = queries.select(query).distinct()
-    pairs = with_each(q, names.select(name).distinct()).withColumn("score", token_sort_ratio(F.col(query), F.col(name)))
-    return first_n(pairs.filter(F.col("score") >= least), [query], [F.desc("score"), F.col(name)], top)
-
-
 # --- data audit -----------------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import SPREAD
+from millrace.operators import scan
 from millrace.operators.core import lookup
 from millrace.operators.fold import fold
 
@@ -38,9 +39,9 @@ def profit(trades: DataFrame, prices: DataFrame, opening: float = 10_000.0) -> D
     return out.select("account", "spent", cash.alias("cash"), value.alias("value"), (value - opening).alias("pnl"), (100 * (value - opening) / opening).alias("roi"), "n_trades")
 
 
-def running_position(trades: DataFrame, order: list) -> DataFrame:
-    w = Window.partitionBy("account", "symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return trades.withColumn("position_after", F.sum("signed").over(w))
+def running_position(trades: DataFrame, order: list[str], hot_rows: int | None = None) -> DataFrame:
+    """``trades`` with ``position_after``; an account's symbol of any number of trades is scanned over many tasks."""
+    return scan.running(trades, ["account", "symbol"], order, "signed", "position_after", "sum", hot_rows)
 
 
 def average_cost(trades: DataFrame, order: list[str], by: tuple[str, ...] = ("account", "symbol")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
-from millrace.operators import activity, core, ledger
+from millrace.operators import activity, core, ledger, scan
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import PRICES, TRADES, prices, trades
 from millrace.streaming import streams
@@ -318,6 +318,13 @@ def _(t):
     return ledger.running_position(trades(t), order).select("account", "symbol", *order, "position_after")
 
 
+@add("win4_running_quantity", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS so_far FROM lineitem")
+def _(t):
+    """Three keys hold all rows: each is scanned over many tasks."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return scan.running(t.lineitem.select("l_returnflag", "l_quantity", *order), ["l_returnflag"], order, "l_quantity", "so_far", hot_rows=0).select(*order[1:], "so_far")
+
+
 @add("win5_avg_cost")
 def _(t):
     return ledger.average_cost(trades(t), ["ts", "l_orderkey", "l_linenumber", "l_suppkey"])

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
 from millrace.functions import text as X
-from millrace.operators import activity, core, ledger, web
+from millrace.operators import activity, core, ledger, scan, similarity, web
 from millrace.plans.base import Catalogue
 from millrace.plans.texts import HTML
+from millrace.session import materialise
 from millrace.sources import sinks, tables
 
 C = Catalogue()
@@ -385,7 +386,40 @@ _norm = lambda c: rf"array_to_string(list_sort(list_filter(regexp_split_to_array
   SELECT q, n_name, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, n_name) AS rank FROM s WHERE score >= 50 QUALIFY rank <= 3""")
 def _(t):
     q = t.nation.select(F.concat(F.reverse(F.split("n_name", " "))[0], F.lit(" "), F.lower("n_name")).alias("q"))
-    return core.fuzzy_match(q, t.nation, "q", "n_name", 50, 3)
+    return similarity.fuzzy_match(q, t.nation, "q", "n_name", 50, 3)
+
+
+# An order's spelling of its part: every third one lacks a letter, every third has two words swapped and one doubled letter.
+_SPELT = """CASE l_partkey % 3 WHEN 0 THEN substring(p_name, 1, CAST(l_partkey % length(p_name) AS INTEGER)) || substring(p_name, CAST(l_partkey % length(p_name) AS INTEGER) + 2)
+  WHEN 1 THEN upper(split_part(p_name, ' ', 2)) || ' ' || split_part(p_name, ' ', 1) || substring(p_name, 1, 1) ELSE p_name || ' ' || p_name END"""
+_PARTS = f"""o AS (SELECT DISTINCT {_SPELT} AS asked FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT DISTINCT p_name FROM part),
+  p AS (SELECT asked, p_name, {_norm('asked')} AS a, {_norm('p_name')} AS b FROM o, n), s AS (SELECT asked, p_name, 100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) AS score FROM p),
+  m AS (SELECT asked, p_name, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, p_name) AS rank FROM s WHERE score >= 80 QUALIFY rank <= 3)"""
+
+
+def asked_parts(t):
+    spelt = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.expr(_SPELT).alias("asked"))
+    return similarity.fuzzy_match(spelt, t.part, "asked", "p_name", 80, 3)
+
+
+@add("jon11_fuzzy_parts", f"WITH {_PARTS} SELECT * FROM m")
+def _(t):
+    return asked_parts(t)
+
+
+@add("jon11_auto_correct", f"""WITH {_PARTS} SELECT asked, CASE WHEN count(*) = 1 OR max(score) >= 90 THEN arg_min(p_name, rank) END AS corrected,
+  string_agg(p_name, ', ' ORDER BY rank) AS suggestions FROM m GROUP BY asked""")
+def _(t):
+    return similarity.auto_correct(asked_parts(t), "asked", "p_name")
+
+
+@add("jon10_asof_status", """WITH r AS (SELECT o_orderstatus, o_orderdate, max(o_totalprice) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
+  SELECT o.o_orderkey, urgent FROM (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT') o ASOF LEFT JOIN r ON o.o_orderstatus = r.o_orderstatus AND o.o_orderdate >= r.o_orderdate""")
+def _(t):
+    """Three keys hold all rows: each is scanned over many tasks."""
+    left = t.orders.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    right = t.orders.filter("o_orderpriority = '1-URGENT'").groupBy("o_orderstatus", "o_orderdate").agg(F.max("o_totalprice").alias("urgent"))
+    return core.as_of(left, right, "o_orderstatus", "o_orderdate", "o_orderdate", "urgent", hot_rows=0).select("o_orderkey", "urgent")
 
 
 # --- write paths ----------------------------------------------------------------------------------------------------
@@ -409,11 +443,11 @@ def _(t):
     return sinks.insert_ignore(base, t.customer.select("c_custkey", F.lit("new").alias("c_name")), "c_custkey")
 
 
-@add("snk4_reactivate", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'active' ELSE 'resolved' END AS status FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0")
+@add("snk4_reactivate", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 THEN 'active' ELSE 'resolved' END AS status FROM supplier")
 def _(t):
-    """Inserts of every second supplier: new ones are added, resolved ones become active again."""
+    """Alerts on all suppliers: those without one get it, those that were resolved become active again."""
     base = t.supplier.filter("s_suppkey % 3 <> 0").select("s_suppkey", "s_name", F.lit("resolved").alias("status"))
-    rows = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey", "s_name", F.lit("active").alias("status"))
+    rows = t.supplier.filter("s_suppkey % 2 = 0 OR s_suppkey % 3 = 0").select("s_suppkey", "s_name", F.lit("active").alias("status"))
     return sinks.upsert_columns(base, rows, "s_suppkey", {"status": F.lit("active")})
 
 
@@ -480,6 +514,20 @@ def _(t):
     return s.join(b, F.col("item_id") + 1 == F.col("b")).select(F.col("item_id").alias("a"), "b", F.round(N.jaccard(F.col("w"), F.col("v")), 6).alias("j"))
 
 
+_TOKENS = r"list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '')))"
+
+
+@add("set4_similar_documents", f"""WITH s AS (SELECT doc_id, {_TOKENS} AS w FROM documents), c AS (SELECT w, min(doc_id) AS id, len(w) AS n FROM s WHERE len(w) > 0 GROUP BY w),
+  e AS (SELECT id, n, unnest(w) AS token FROM c), o AS (SELECT x.id AS a, y.id AS b, any_value(x.n + y.n) AS n, count(*) AS common
+  FROM e x JOIN e y ON x.token = y.token AND x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) GROUP BY ALL)
+  SELECT a, b, round(common / (n - common), 6) AS jaccard FROM o WHERE common >= 0.8 * (n - common) - 1e-9""")
+def _(t):
+    """Pairs of token sets with a similarity of 0.8 or more; equal sets stand under their smallest document."""
+    sets = t.documents.select(F.col("doc_id").alias("id"), X.token_set(F.col("text")).alias("tokens"))
+    reps, _ = materialise(similarity.classes(sets)[0], "token-sets")
+    return similarity.set_join(reps, None, 0.8).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @add("set6_ordered_unique", "SELECT user_id, array_to_string(list(event_type ORDER BY f, event_type), ',') AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")
 def _(t):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])

@@ -8,7 +8,7 @@ from millrace.functions import dates as D
 from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import chunks as K
-from millrace.operators import core, sqlguard
+from millrace.operators import core, similarity, sqlguard
 from millrace.operators.blockmax import bm25_best
 from millrace.operators import retrieval as R
 from millrace.operators.tools import Registry
@@ -403,6 +403,30 @@ def _(t):
     return core.with_each(d, b).select("doc_id", "item_id", score.alias("r")).select("doc_id", "item_id", "r.*")
 
 
+@add("mth10_passing_answers", f"""WITH d AS (SELECT doc_id, {_set} AS w, length(text) AS n FROM documents), b AS (SELECT item_id, {_set} AS s FROM benchmark),
+  j AS (SELECT doc_id, item_id, n, CASE WHEN len(s) = 0 OR len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(s, w)) / len(list_distinct(list_concat(s, w))) END AS j FROM d, b),
+  o AS (SELECT *, CASE WHEN j >= 0.2 THEN least(1.0::DOUBLE, n / 300.0::DOUBLE) ELSE 0.3::DOUBLE END AS c, 0.3::DOUBLE * j + 0.4::DOUBLE * j + 0.15::DOUBLE * c + 0.15::DOUBLE * 1.0::DOUBLE AS o FROM j),
+  p AS (SELECT item_id, doc_id, round(j, 3) AS relevance, round(c, 3) AS completeness, round(o, 3) AS overall FROM o WHERE o >= 0.7)
+  SELECT b.item_id, p.doc_id, relevance, completeness, overall, (SELECT count(*) FROM documents) - count(p.doc_id) OVER (PARTITION BY b.item_id) AS failed FROM b LEFT JOIN p ON b.item_id = p.item_id""")
+def _(t):
+    """Documents that pass as an answer to an item, and how many don't; an item that none answers has one row. The mark can
+    only be reached from a similarity of 4/7 on, so a similarity join finds all that reach it."""
+    sets = lambda df, key, *more: df.select(F.col(key).alias("id"), X.token_set(F.col("text")).alias("tokens"), *more)
+    docs, items = sets(t.documents, "doc_id", F.length("text").alias("n")), sets(t.benchmark, "item_id").filter(F.size("tokens") > 0)
+    (reps, _), (members, _) = (materialise(x, "token-sets") for x in similarity.classes(docs))
+    found = similarity.set_join(reps, items, 0.5714).select(F.col("a").alias("class"), F.col("b").alias("item_id"), F.col("jaccard").alias("j"))
+    pairs = found.join(members, "class").join(docs.select("id", "n"), "id")
+    c = F.least(F.lit(1.0), F.col("n") / 300.0)
+    overall = 0.3 * F.col("j") + 0.4 * F.col("j") + 0.15 * c + 0.15 * F.lit(1.0)
+    rounded = [F.round(x, 3).alias(n) for x, n in ((F.col("j"), "relevance"), (c, "completeness"), (overall, "overall"))]
+    passed, _ = materialise(pairs.filter(overall >= 0.7).select("item_id", F.col("id").alias("doc_id"), *rounded), "passed")
+    counts = passed.groupBy("item_id").agg(F.count(F.lit(1)).alias("passed"))
+    total = t.documents.agg(F.count(F.lit(1)).alias("total"))  # one row
+    every = t.benchmark.select("item_id").join(counts, "item_id", "left").crossJoin(F.broadcast(total))
+    failed = (F.col("total") - F.coalesce("passed", F.lit(0))).alias("failed")
+    return every.select("item_id", failed).join(passed, "item_id", "left")
+
+
 @add("mth12_bands", "SELECT event_id, CASE WHEN value - 50 > 0.1 THEN 'Positive' WHEN value - 50 < -0.1 THEN 'Negative' ELSE 'Neutral' END AS b FROM events")
 def _(t):
     return t.events.select("event_id", N.band(F.col("value") - 50, 0.1).alias("b"))

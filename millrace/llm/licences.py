@@ -2,16 +2,21 @@
 
 A text is brought to a canonical form (lower case, copyright lines removed, equivalent spellings unified, punctuation
 and layout reduced to single spaces) and the digest of the *entire* canonical text is hash-joined to the digests of
-known licences. The same lookup runs on two kinds of entire text: the whole document, and each of its sentences as
-a notice of its own (a short notice such as a one-line grant is a complete text, just embedded in another).
+known licences. The same lookup runs on three kinds of entire text: the whole document, each of its lines' sentences as
+a notice of its own (a short notice such as a one-line grant is a complete text, just embedded in another), and windows of
+its units. Units are sentences and paragraphs with comment marks removed and lines joined, so a notice may be wrapped at any
+column or stand in the comment of a source file, and a whole licence may stand below a heading. A window starts at a unit whose
+first words are a known text's and runs for as many units as that text has; one of a single line is a sentence already.
 
 The table of known texts is a parameter; ``known_texts`` gives the grants and notices built in. It is small by
 construction, and it is broadcast only after a check of its size (``BROADCAST_ROWS``); a larger one is joined by hash.
 A sentence is only brought to canonical form if it starts with a word that some known text, or a spelling of it, starts
 with: no other can be equal to one.
 
-Defined results: null or empty texts match nothing; repeated rows are reported once each; a notice that occurs twice
-counts twice in ``n_notices``; when several licences share one canonical text all are reported.
+Defined results: null or empty texts match nothing; an empty table gives an empty result; repeated rows, equal ids and null ids
+are reported once each; a notice that occurs twice counts twice in ``n_notices``, and a whole text below its title counts with
+and without it; when several licences share one canonical text all are reported; a very long text is one row of its units;
+columns beyond id and text play no part.
 """
 
 from __future__ import annotations
@@ -68,6 +73,24 @@ THIS SOFTWARE.""",
         for n in (2, 3)
     ),
 )
+#: Names that a sentence gives a licence by, and how such a sentence begins.
+NAMES = {
+    "MIT": ("the MIT License", "the MIT license", "MIT"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the New BSD License"),
+    "GPL-2.0": ("the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GPLv2"),
+    "GPL-3.0": ("the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GPLv3"),
+    "LGPL-3.0": ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0"),
+    "MPL-2.0": ("the Mozilla Public License, Version 2.0", "the Mozilla Public License 2.0"),
+    "ISC": ("the ISC License",),
+    "Unlicense": ("the Unlicense",),
+    "CC-BY-4.0": ("CC BY 4.0", "the Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License"),
+}
+SUBJECTS = ("", *(f"{this} {it} is " for this in ("this", "the") for it in ("project", "software", "work", "code", "library", "package", "program", "repository", "file")))
+GRANTED = ("licensed under", "released under", "distributed under")
+
 #: Tags that name a licence in one line, by the identifiers of the public list; fixed values.
 TAGGED = (
     "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0",
@@ -207,7 +230,8 @@ def known_texts() -> list[tuple[str, str]]:
     files += [(k, body[: body.index("APPENDIX:")]) for k, body in files if k == "Apache-2.0"]
     short = [(k, body) for k, body in (*KNOWN, *WHOLE) if "\n" in body]
     tags = [(k, f"SPDX-License-Identifier: {k}{end}") for k in TAGGED for end in (("", "-only", "-or-later") if "GPL" in k else ("",))]
-    return [*KNOWN, *WHOLE, *((k, f"{title}\n{body}") for k, body in short for title in TITLES[k]), *tags, *files]
+    named = [(k, f"{it}{granted} {name}.") for k, names in NAMES.items() for name in names for it in SUBJECTS for granted in GRANTED]
+    return [*KNOWN, *named, *WHOLE, *((k, f"{title}\n{body}") for k, body in short for title in TITLES[k]), *tags, *files]
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
@@ -230,6 +254,45 @@ def _sized(digests: DataFrame, n: int) -> DataFrame:
     return F.broadcast(digests) if n <= BROADCAST_ROWS else digests
 
 
+#: What a line of a comment begins or ends with, and where a unit ends. Both engines read these patterns alike.
+COMMENT = r"(?m)^[ \t]*(?:/\*+!?|\*+/|\*+|//+!?|#+|--+|;+|%+|<!--+|\.\.|>)[ \t]*|[ \t]*(?:\*+/|--+>)[ \t]*$"
+UNIT_END = r"([.!?])[ \t\r\n]+|\r?\n(?:[ \t]*\r?\n)+"
+HEAD = r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){0,2})"
+MARK = "\x01"
+
+
+def units(text: Column) -> Column:
+    """The sentences and paragraphs of a text, without comment marks and notices; those without a word are left out."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, ""), COPYRIGHT_LINE, "")
+    return F.filter(F.split(F.regexp_replace(plain, UNIT_END, "$1" + MARK), MARK), lambda u: u.rlike(r"[\p{L}\p{N}]"))
+
+
+def head(unit: Column) -> Column:
+    """The first three words of a unit, lower-cased."""
+    return F.regexp_replace(F.regexp_extract(F.lower(unit), HEAD, 1), r"[^\p{L}\p{N}]+", " ")
+
+
+def _heads(known: DataFrame) -> dict[str, list[int]]:
+    """For the first words of every known text (``licence, body``), in each spelling: how many units such texts have."""
+    cut = known.select(units(F.col("body")).alias("u")).filter(F.size("u") > 0).select(head(F.col("u")[0]).alias("head"), F.size("u").alias("n"))
+    out: dict[str, set[int]] = {}
+    for r in cut.distinct().collect():  # a row for each known text at most
+        spelt = [r["head"], *(r["head"].replace(new, old) for old, new in SPELLINGS if new in r["head"])]
+        for h in spelt:
+            out.setdefault(h, set()).add(r["n"])
+    return {h: sorted(n) for h, n in sorted(out.items())}
+
+
+def windows(text: Column, heads: dict[str, list[int]]) -> Column:
+    """Texts of more than one line that start like a known text and have as many units."""
+    sizes = F.create_map(*[x for h, n in heads.items() for x in (F.lit(h), F.array(*map(F.lit, n)))])
+    u = units(text)
+    starts = F.filter(F.sequence(F.lit(1), F.size(u)), lambda i: head(F.element_at(u, i)).isin(*heads))
+    run = lambda i, n: F.when(i + n - 1 <= F.size(u), F.array_join(F.slice(u, i, n), "\n"))
+    found = F.flatten(F.transform(starts, lambda i: F.transform(F.element_at(sizes, head(F.element_at(u, i))), lambda n: run(i, n))))
+    return F.when(F.size(u) > 0, F.filter(found, lambda w: w.contains("\n")))
+
+
 def sentences(text: Column) -> Column:
     """The notices of a text: its pieces between line ends or a closing mark followed by a blank."""
     return F.split(F.coalesce(text, F.lit("")), r"\n+|[.!?]+[ \t]+", -1)
@@ -239,7 +302,7 @@ def licence_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col:
     """One row per input row: ``<id>, digest, text_licences, notice_licences, n_notices``.
 
     ``text_licences`` names the licences whose whole wording is the whole document, ``notice_licences`` those whose
-    wording is a whole sentence of it (both sorted arrays, empty if none).
+    wording is a whole sentence or window of it (both sorted arrays, empty if none).
     """
     spark = docs.sparkSession
     known = known_texts() if known is None else known
@@ -248,7 +311,9 @@ def licence_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col:
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("row", F.monotonically_increasing_id())
     whole = base.withColumn("digest", F.sha2(canonical(F.col("t")), 256))
     whole = whole.join(_sized(by_digest, n), "digest", "left").withColumnRenamed("licences", "text_licences")
-    s = whole.select("id", "row", "digest", "text_licences", F.explode(sentences(F.col("t"))).alias("s"))
+    heads = _heads(spark.createDataFrame(list(known), "licence string, body string"))
+    more = F.coalesce(windows(F.col("t"), heads), F.array().cast("array<string>")) if heads else F.array().cast("array<string>")
+    s = whole.select("id", "row", "digest", "text_licences", F.explode(F.concat(sentences(F.col("t")), more)).alias("s"))
     own = F.when(_may_be_known(F.col("s"), digests, n), F.sha2(canonical(F.col("s")), 256))
     hit = s.withColumn("d", own).join(_sized(by_digest.select(F.col("digest").alias("d"), "licences"), n), "d", "left")
     empty = F.array().cast("array<string>")
@@ -297,11 +362,23 @@ def _sql_canonical(x: str) -> str:
 
 def oracle_sql() -> str:
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_texts())
+    hit = lambda r: f"regexp_matches(l, '{r}')"
+    notice = " OR ".join(f"({hit(yes)} AND NOT {hit(no)})" if no else hit(yes) for yes, no in SQL_NOTICES)
+    lines = lambda x: f"array_to_string(list_transform(string_split({x}, chr(10)), lambda o: CASE WHEN list_bool_or([({notice}) for l in [lower(o)]]) THEN '' ELSE o END), chr(10))"
+    plain = lambda x: lines(f"regexp_replace(coalesce({x}, ''), '{COMMENT}', '', 'g')")
+    units = lambda x: rf"list_filter(string_split(regexp_replace({plain(x)}, '{UNIT_END}', '\1' || chr(1), 'g'), chr(1)), lambda u: regexp_matches(u, '[\p{{L}}\p{{N}}]'))"
+    head = rf"regexp_replace(regexp_extract(lower(u[i]), '{HEAD}', 1), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+    spelt = "list_concat([h], list_transform(list_filter([{}], lambda p: contains(h, p.b)), lambda p: replace(h, p.b, p.a)))".format(", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in SPELLINGS))
     return f"""
 WITH known(licence, body) AS (VALUES {values}),
 k AS (SELECT DISTINCT licence, sha256({_sql_canonical('body')}) AS digest FROM known),
+f AS (SELECT DISTINCT unnest({spelt}) AS head, n FROM (SELECT {head} AS h, len(u) AS n FROM (SELECT {units('body')} AS u, 1 AS i FROM known) WHERE len(u) > 0)),
 d AS (SELECT doc_id, text, sha256({_sql_canonical('text')}) AS digest FROM documents),
-s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n+|[.!?]+[ \\t]+')) AS body FROM documents),
+u AS (SELECT doc_id, {units('text')} AS u FROM documents),
+p AS (SELECT doc_id, u, i, {head} AS head FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM u)),
+x AS (SELECT doc_id, array_to_string(u[i : i + n - 1], chr(10)) AS body FROM p JOIN f USING (head) WHERE i + n - 1 <= len(u)),
+s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n+|[.!?]+[ \\t]+')) AS body FROM documents
+      UNION ALL SELECT doc_id, body FROM x WHERE contains(body, chr(10))),
 h AS (SELECT doc_id, sha256({_sql_canonical('body')}) AS digest FROM s),
 n AS (SELECT h.doc_id, array_to_string(list_sort(list(DISTINCT k.licence)), ',') AS notice_licences,
              count(DISTINCT row) AS n_notices FROM (SELECT *, row_number() OVER () AS row FROM h) h JOIN k USING (digest) GROUP BY h.doc_id),

@@ -3,6 +3,7 @@
 import math
 import textwrap
 
+import duckdb
 import pytest
 from oracle import connect, compare
 from pyspark.sql import functions as F
@@ -177,6 +178,34 @@ def test_tags_and_file_headers(docs_of):
     assert [got[i][0] for i in range(4)] == [["Apache-2.0"], ["GPL-3.0"], [], ["Apache-2.0"]] and got[1][1] == ["GPL-3.0"]
 
 
+LAYOUTS = [
+    ("GPL-3.0", lambda: textwrap.fill(_long_notice("GPL-3.0"), 70)),
+    ("GPL-3.0", lambda: "/*\n" + "\n".join(f" * {x}" for x in textwrap.fill(_long_notice("GPL-3.0"), 50).split("\n")) + "\n */\nint x;"),
+    ("Apache-2.0", lambda: "#!/bin/sh\n# Copyright 2020 A. Person\n#\n" + "\n".join(f"# {x}" for x in textwrap.fill(_long_notice("Apache-2.0"), 60).split("\n")) + "\n# You may obtain a copy\nset -e"),
+    ("MIT", lambda: "# Project\n\nWhat it does.\n\n## Licence\n\nThe MIT License\n\nCopyright (c) 2020 A. Person\n\n" + textwrap.fill(licences.KNOWN[0][1].replace("\n", " "), 66) + "\n\nThanks."),
+    ("MIT", lambda: "This project is licensed under the MIT License."),
+    ("MIT", lambda: "Some words. This\nproject is licenced\nunder the MIT License. More words"),
+]
+
+
+def _long_notice(k):
+    return max((body for i, body in licences.KNOWN if i == k), key=len)
+
+
+def test_layouts_of_notices(spark, docs_of, tmp_path):
+    import pandas as pd
+
+    docs = docs_of([make() for _, make in LAYOUTS] + ["This project is licensed", "This program is free software.\n\nNo more", None, "\x01. \x01\n\n"])
+    got = {r.doc_id: r for r in licences.op9(docs).collect()}
+    assert [got[i].notice_licences for i in range(len(LAYOUTS))] == [k for k, _ in LAYOUTS]
+    assert all(got[i].n_notices == 0 for i in range(len(LAYOUTS), len(LAYOUTS) + 4))
+    pd.DataFrame([(r.doc_id, r.text) for r in docs.collect()], columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    compare(licences.op9(docs), con, licences.oracle_sql())
+    assert licences.op9(docs.limit(0)).count() == 0
+
+
 def test_long_licences(docs_of):
     known = licences.known_texts()
     long = [(k, b) for k, b in known if len(b) > 5000]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import scan
+from millrace.session import materialise
 from millrace.sources.tables import with_row_index
 
 BROADCAST_BYTES = 64 << 20
@@ -68,8 +69,44 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: st
     return both.filter("__side = 1").drop("__ts", "__side", "__v")
 
 
+#: Powers of two that a coordinate may span: beyond 2 ** DYADIC units from the origin nothing is held by one node.
+DYADIC = 62
+
+
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """The span [low, high] of whole numbers as nodes ``(level, node)`` of the binary tree over them: a node of level h holds
+    2 ** h numbers from node * 2 ** h on. At most two nodes a level, so at most 2 log2 of the length + 2; none if high < low."""
+    first = lambda h: F.shiftright(low + (F.lit(1).cast("long") * F.expr(f"shiftleft(1L, {h})")) - 1, h)
+    last = lambda h: F.shiftright(high + 1, h) - 1
+    node = lambda h, n: F.struct(F.lit(h).alias("level"), n.alias("node"))
+    parts = []
+    for h in range(DYADIC):
+        # The nodes of a level that lie inside and whose parent does not: at the left end an odd one, at the right an even one.
+        a, z = first(h), last(h)
+        left = (a <= z) & (a % 2 != 0)
+        right = (a <= z) & (z % 2 == 0) & ~(left & (a == z))
+        parts += [F.when(left, node(h, a)), F.when(right, node(h, z))]
+    return F.array_compact(F.array(*parts))
+
+
+def dyadic_path(point: Column, levels: Column) -> Column:
+    """The nodes ``(level, node)`` above a whole number, of the given ``levels``."""
+    return F.transform(levels, lambda h: F.struct(h.alias("level"), F.call_function("shiftright", point, h).alias("node")))
+
+
+def interval_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str) -> DataFrame:
+    """Points within [low, high], all whole numbers. A span is held by at most 2 log2 n + 2 nodes of a binary tree, however long,
+    and a point asks the nodes above it, on the levels that any span uses: one equi-join, each pair met once."""
+    s = spans.withColumn("__at", F.explode(dyadic_cover(F.col(low).cast("long"), F.col(high).cast("long"))))
+    s, _ = materialise(s, "nodes")
+    used = s.select(F.col("__at.level").alias("l")).distinct().agg(F.array_sort(F.collect_list("l")).alias("__levels"))  # DYADIC values at most
+    p = points.crossJoin(F.broadcast(used)).withColumn("__at", F.explode(dyadic_path(F.col(point).cast("long"), F.col("__levels")))).drop("__levels")
+    return p.join(s, "__at").drop("__at")
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
-    """Points within [low, high]: spans are exploded over the buckets they touch, so the join is an equi-join."""
+    """Points within [low, high]: spans are exploded over the buckets they touch, so the join is an equi-join. For spans of
+    few buckets; ``interval_join`` takes spans of any length."""
     p = points.withColumn("__b", F.floor(F.col(point) / width))
     s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return p.join(s, "__b").filter(F.col(point).between(F.col(low), F.col(high))).drop("__b")

@@ -104,6 +104,15 @@ def interval_join(points: DataFrame, spans: DataFrame, point: str, low: str, hig
     return p.join(s, "__at").drop("__at")
 
 
+def interval_counts(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, name: str) -> DataFrame:
+    """``points`` (distinct) with the number of spans that hold each: spans are added up by node before any point meets them."""
+    nodes = spans.select(F.explode(dyadic_cover(F.col(low).cast("long"), F.col(high).cast("long"))).alias("__at"))
+    nodes, _ = materialise(nodes.groupBy("__at").agg(F.count(F.lit(1)).alias("__n")), "nodes")
+    used = nodes.select(F.col("__at.level").alias("l")).distinct().agg(F.array_sort(F.collect_list("l")).alias("__levels"))  # DYADIC values at most
+    paths = points.crossJoin(F.broadcast(used)).select(*points.columns, F.explode_outer(dyadic_path(F.col(point).cast("long"), F.col("__levels"))).alias("__at"))
+    return paths.join(nodes, "__at", "left").groupBy(*points.columns).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias(name))
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
     """Points within [low, high]: spans are exploded over the buckets they touch, so the join is an equi-join. For spans of
     few buckets; ``interval_join`` takes spans of any length."""

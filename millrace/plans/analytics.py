@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
-from millrace.operators import activity, core, ledger, scan
+from millrace.operators import activity, aggregate, core, ledger, scan
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import PRICES, TRADES, prices, trades
 from millrace.streaming import streams
@@ -75,10 +75,8 @@ def _(t):
 @add("agg10_group_documents", """WITH r AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, event_type, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS n FROM events)
   SELECT user_id, month, string_agg(event_type, ' ' ORDER BY n) FILTER (WHERE n <= 20) AS body, count(*) AS item_count FROM r GROUP BY ALL""")
 def _(t):
-    month = F.date_format("ts", "yyyy-MM").alias("month")
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    body = F.array_join(F.transform(F.slice(ordered, 1, 20), lambda x: x["event_type"]), " ")
-    return t.events.groupBy("user_id", month).agg(body.alias("body"), F.count(F.lit(1)).alias("item_count"))
+    dated = t.events.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return aggregate.aggregate(dated, ["user_id", "month"], ["at", "event_id", "event_type"], aggregate.first_n(20))
 
 
 @add("agg11_batches", "SELECT user_id, (n - 1) // 15 AS batch, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY ALL")

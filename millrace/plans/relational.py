@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
 from millrace.functions import text as X
-from millrace.operators import activity, core, ledger, scan, similarity, web
+from millrace.operators import activity, aggregate, core, ledger, similarity, web
 from millrace.plans.base import Catalogue
 from millrace.plans.texts import HTML
 from millrace.session import materialise
@@ -370,6 +370,16 @@ def _(t):
     return t.events.select("event_id").join(hits, "event_id", "left").fillna(0, ["parts"])
 
 
+@add("jon16_open_lines", """WITH s AS (SELECT epoch(o_orderdate)::BIGINT // 86400 AS lo, epoch(l_shipdate)::BIGINT // 86400 AS hi FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  d AS (SELECT DISTINCT epoch(o_orderdate)::BIGINT // 86400 AS day FROM orders), e AS (SELECT lo AS day, 1 AS n FROM s WHERE hi >= lo UNION ALL SELECT hi + 1, -1 FROM s WHERE hi >= lo UNION ALL SELECT day, 0 FROM d),
+  r AS (SELECT day, sum(n) OVER (ORDER BY day RANGE UNBOUNDED PRECEDING) AS n FROM e) SELECT d.day, any_value(r.n)::BIGINT AS open_lines FROM d JOIN r USING (day) GROUP BY d.day""")
+def _(t):
+    """Line items that are ordered and not yet shipped past each order day: spans of years, counted by node of a binary tree."""
+    day = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000)
+    spans = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(day("o_orderdate").alias("lo"), day("l_shipdate").alias("hi"))
+    return core.interval_counts(t.orders.select(day("o_orderdate").alias("day")).distinct(), spans, "day", "lo", "hi", "open_lines")
+
+
 @add("jon17_star_join", """SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def _(t):
@@ -530,8 +540,7 @@ def _(t):
 
 @add("set6_ordered_unique", "SELECT user_id, array_to_string(list(event_type ORDER BY f, event_type), ',') AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")
 def _(t):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
-    return t.events.groupBy("user_id").agg(F.array_join(F.array_distinct(ordered), ",").alias("kinds"))
+    return aggregate.aggregate(t.events, ["user_id"], ["event_id", "event_type"], aggregate.ordered_unique())
 
 
 @add("set7_drop_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -20,19 +21,27 @@ from millrace.plans.analytics import GAPPY, gappy
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import TRADES, trades
 from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, lexical, relevant, rounded
-from millrace.session import arrow_map, scratch_root
-from millrace.sources import documents, sinks, tables
-from millrace.streaming import streams
+from millrace.session import arrow_map, scratch_root, swept
+from millrace.sources import documents, feeds, sinks, tables
+from millrace.streaming import keyed, streams
 
 C = Catalogue()
 add = C.add
 
 
 def folder(t, name: str) -> str:
-    """A new folder of the shared scratch area."""
+    """A new folder of the shared scratch area, which goes when the driver exits."""
+    swept(t.spark)
     return f"{scratch_root(t.spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def local_folder(t, name: str) -> str:
+    """A new folder of the shared scratch area as a path that a database driver opens: it is mounted alike everywhere."""
+    path = folder(t, name).removeprefix("file://").removeprefix("file:")
+    Path(path).mkdir(parents=True)
+    return path
+
+
 def finished(query) -> None:
     query.awaitTermination()
 
@@ -154,6 +163,28 @@ def _(t):
     return streams.server_events(t.events.select("event_id", message.alias("text")), "text")
 
 
+@add("src21_event_stream", "SELECT event_id AS id, event_type AS event, props AS data FROM events")
+def _(t):
+    """Events as a feed that a stream reads, stops, and resumes once it has grown: none lost, none twice."""
+    feeds.register(t.spark)
+    root = folder(t, "feed")
+    message = F.concat(F.lit("id: "), "event_id", F.lit("\nevent: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n"))
+    stream = t.spark.readStream.format("event_feed").option("path", f"{root}/feed").load()
+    for i, part in enumerate(("event_type = 'view'", "event_type <> 'view'")):
+        t.events.filter(part).select(message.alias("value")).write.text(f"{root}/feed/{i:06d}")
+        finished(stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start(f"{root}/out"))
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@add("src16_insert_read_back", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(t):
+    """Customers inserted into a database table by all tasks, committed at once, and read back in ranges."""
+    feeds.register(t.spark)
+    rows, to = t.customer.select("c_custkey", "c_name", "c_acctbal"), {"connection": f"{local_folder(t, 'db')}/rows.db", "table": "customer"}
+    rows.write.format("dbapi").options(**to).mode("append").save()
+    return t.spark.read.format("dbapi").options(**to).schema(rows.schema).load()
+
+
 @add("src22_mock_prices", "SELECT 'ABC' AS symbol, 30 AS days, DATE '1998-07-04' AS first_day, true AS ordered, true AS repeatable")
 def _(t):
     rows = tables.mock_prices(t.spark, "ABC", "1998-08-02")
@@ -399,10 +430,10 @@ def _(t):
 
 @add("nst8_any_all", "SELECT conv_id, bool_or(role = 'user') AS has_user, bool_or(turn > 3) AS some_late, bool_and(turn < 100) AS all_early, NOT bool_or(role = 'nobody') AS none_nobody FROM conversations GROUP BY 1")
 def _(t):
-    g = t.conversations.groupBy("conv_id").agg(F.collect_list("role").alias("r"), F.collect_list("turn").alias("n"))
-    return g.select(
-        "conv_id", F.array_contains("r", "user").alias("has_user"), F.exists("n", lambda x: x > 3).alias("some_late"),
-        F.forall("n", lambda x: x < 100).alias("all_early"), (~F.array_contains("r", "nobody")).alias("none_nobody"))
+    role, turn = F.col("role"), F.col("turn")
+    return t.conversations.groupBy("conv_id").agg(
+        F.bool_or(role == "user").alias("has_user"), F.bool_or(turn > 3).alias("some_late"),
+        F.bool_and(turn < 100).alias("all_early"), (~F.bool_or(role == "nobody")).alias("none_nobody"))
 
 
 @add("agg43_cleaning_plan", f"""WITH {GAPPY}, n AS (SELECT count(*) AS n, count(DISTINCT p_partkey) AS a, count(DISTINCT p_size) AS b, count(DISTINCT p_brand) AS c, count(DISTINCT fixed) AS d FROM gappy),
@@ -447,6 +478,46 @@ def _(t):
     return t.spark.read.parquet(f"{root}/out/v{q.lastProgress['batchId']}")
 
 
+@add("stm2_live_changes", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 13")
+def _(t):
+    """The same view from keyed state: each micro-batch writes the keys it touched and nothing else."""
+    root, rows = folder(t, "changes"), t.events.select("user_id", "event_id")
+    rows.repartition(3).write.parquet(f"{root}/in")
+    log = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    with keyed.state_store(t.spark):
+        finished(keyed.view_changes(log, f"{root}/out", ["user_id"], "event_id", 13, f"{root}/c").trigger(availableNow=True).start())
+    return keyed.view(t.spark, f"{root}/out", ["user_id"]).select("user_id", "event_id")
+
+
+@add("stm6_cooldown_stream", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+  f AS (SELECT user_id, t, n, NULL::VARCHAR AS reason, t AS last, 1 AS k FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, t, n, w, CASE WHEN w IS NULL THEN t ELSE last END, k + (w IS NULL)::INTEGER FROM (SELECT e.*, f.last, f.k,
+    CASE WHEN trunc(3600 - (e.t - f.last) / 1000000.0::DOUBLE) > 0 THEN 'cooldown' WHEN f.k >= 5 THEN 'cap' END AS w
+    FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)) SELECT user_id, t AS at, reason FROM f""")
+def _(t):
+    """The cool-down as a stream of three time ranges, with its state by user between the micro-batches."""
+    root = folder(t, "cooldown")
+    rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for i, day in enumerate(("2024-01-01", "2024-01-11", "2024-01-21")):
+        past = F.col("ts") >= F.lit(day).cast("timestamp") if i else F.lit(True)
+        before = F.col("ts") < F.date_add(F.lit(day).cast("date"), 10).cast("timestamp") if i < 2 else F.lit(True)
+        rows.filter(past & before).coalesce(1).write.parquet(f"{root}/in/{i}")
+    log = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    with keyed.state_store(t.spark):
+        finished(keyed.cooled_down(log, "user_id", "ts", 3600, 5).writeStream.format("parquet").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start(f"{root}/out"))
+    return t.spark.read.parquet(f"{root}/out").select(F.col("who").alias("user_id"), "at", "reason")
+
+
+@add("stm9_live_progress", "SELECT true AS never_falls, true AS complete, 100.0::DOUBLE AS percent FROM events LIMIT 1")
+def _(t):
+    """What is reported while the events are read in micro-batches: it ends at 100 % and never falls."""
+    root, rows = folder(t, "progress"), t.events.select("event_id")
+    rows.repartition(4).write.parquet(f"{root}/in")
+    log = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    writer = keyed.observed(log, "done").writeStream.format("parquet").option("checkpointLocation", f"{root}/c").option("path", f"{root}/out")
+    return keyed.stages_done(keyed.run_with_progress(t.spark, writer, keyed.Progress("done", rows.count())), ["batch"])
+
+
 @add("stm3_schedule", """SELECT tick FROM (SELECT unnest(generate_series(TIMESTAMP '1998-06-30 00:00:00', TIMESTAMP '1998-07-08 00:00:00', INTERVAL 60 MINUTE)) AS tick)
   WHERE isodow(tick) <= 5 AND month(tick) * 100 + day(tick) NOT IN (101, 619, 704, 1225) AND hour(tick) * 60 + minute(tick) BETWEEN 570 AND 959""")
 def _(t):

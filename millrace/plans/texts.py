@@ -8,7 +8,7 @@ from millrace.functions import dates as D
 from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import chunks as K
-from millrace.operators import core, similarity, sqlguard
+from millrace.operators import aggregate, core, similarity, sqlguard
 from millrace.operators.blockmax import bm25_best
 from millrace.operators import retrieval as R
 from millrace.operators.tools import Registry
@@ -740,5 +740,4 @@ def _(t):
 
 @add("udf12_ordered_reducer", "SELECT conv_id, len(list(text))::INTEGER AS n, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1")
 def _(t):
-    g = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return g.select("conv_id", F.size("m").alias("n"), F.element_at("m", -1)["role"].alias("last_role"))
+    return aggregate.aggregate(t.conversations, ["conv_id"], ["turn", "role"], aggregate.last_message())

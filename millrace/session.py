@@ -63,14 +63,19 @@ def _sweep(spark: SparkSession, root: str) -> None:
             shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared scratch area and read it back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
+def swept(spark: SparkSession) -> str:
+    """The scratch area, which is removed when the driver exits."""
     root = scratch_root(spark)
     if root not in _roots:
         _roots.add(root)
         atexit.register(_sweep, spark, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    return root
+
+
+def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared scratch area and read it back: cuts lineage and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{swept(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

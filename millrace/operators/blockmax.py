@@ -115,10 +115,14 @@ def block_max(chunks: DataFrame, queries: DataFrame, chunk_id: str = "id", text:
     heads = words.join(small(q.select("term").distinct().withColumn("asked", F.lit(True))), "term", "left")
     kept = heads.withColumn("term", F.when(F.col("asked"), F.col("term"))).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     raw, _ = materialise(kept, "postings")
-    lengths = raw.select("id", "len").distinct()
+    return from_postings(raw.filter("term IS NOT NULL"), raw.select("id", "len").distinct(), q)
+
+
+def from_postings(raw: DataFrame, lengths: DataFrame, q: DataFrame) -> BlockMax:
+    """The index of written postings ``id, len, term, tf`` of the terms of ``q`` (``query_id, term, qtf``); ``lengths`` is
+    ``id, len`` of all chunks."""
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     n, avg = size["n"], size["avg"] or 1.0
-    raw = raw.filter("term IS NOT NULL")
     df = raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     asked, _ = materialise(q.join(df, "term"), "asked")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -14,7 +14,7 @@ from millrace.functions import dates as D
 from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import chunks as K
-from millrace.operators import core, ledger, sqlguard
+from millrace.operators import core, ledger, segments, sqlguard
 from millrace.operators import retrieval as R
 from millrace.operators.tools import Registry
 from millrace.plans.analytics import GAPPY, gappy
@@ -237,6 +237,17 @@ def _(t):
     return t.spark.read.parquet(path).filter((F.col("bucket") == sinks.term_bucket(F.lit("the"))) & (F.col("term") == "the")).select("id", "tf")
 
 
+@add("snk13_growing_index", "WITH " + BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 3)", 1) + f" SELECT query_id, id, round(score, 8) AS score, {TOP} AS rank FROM s WHERE score > 0 QUALIFY {TOP} <= 10")
+def _(t):
+    """An index of half of the documents, three appends of the others and one deletion: the ranks of an index built at once."""
+    index = segments.SegmentIndex(t.spark, folder(t, "segments")).create()
+    for part in ("doc_id % 2 = 0", "doc_id % 6 = 1", "doc_id % 6 = 3", "doc_id % 6 = 5"):
+        index.append(t.documents.filter(part), "doc_id")
+    index.delete(t.documents.filter("doc_id % 10 = 3"), "doc_id")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.top(rounded(index.search(q, 10)), 10)
+
+
 @add("snk14_append_row", "SELECT c_name AS name, 'first' AS notes FROM customer UNION ALL SELECT s_name, 'second' FROM supplier")
 def _(t):
     path = folder(t, "rows")

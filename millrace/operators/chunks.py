@@ -101,7 +101,7 @@ def _sentence_end(text: str) -> str:
     return " ".join(words[:-1]) if len(words) > 1 else text
 
 
-def token_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 100, sentences: bool = True) -> DataFrame:
+def token_cut(size: int = 1000, overlap: int = 100, sentences: bool = True) -> Callable[[str], list[str]]:
     """Windows of ``size`` tokens (white-space pieces with the blanks after them) cut back to a sentence end; the next
     starts ``overlap`` tokens before, and always moves on by one token at least."""
 
@@ -122,10 +122,15 @@ def token_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: i
             start = max(end - overlap, start + 1)
         return out
 
-    return _chunked(df, text, cut)
+    return cut
 
 
-def sentence_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 100) -> DataFrame:
+def token_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 100, sentences: bool = True) -> DataFrame:
+    """``token_cut`` of every text."""
+    return _chunked(df, text, token_cut(size, overlap, sentences))
+
+
+def sentence_cut(size: int = 1000, overlap: int = 100) -> Callable[[str], list[str]]:
     """Sentences packed up to ``size`` words; a chunk opens with the last ``overlap`` words of the one before."""
 
     def cut(t: str) -> list[str]:
@@ -140,10 +145,15 @@ def sentence_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap
             words, new = words + own, new + len(own)
         return [*out, " ".join(words)] if new else out
 
-    return _chunked(df, text, cut)
+    return cut
 
 
-def tail_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+def sentence_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 100) -> DataFrame:
+    """``sentence_cut`` of every text."""
+    return _chunked(df, text, sentence_cut(size, overlap))
+
+
+def tail_cut(size: int = 1000, overlap: int = 200) -> Callable[[str], list[str]]:
     """Paragraphs packed by characters; a chunk opens with the last ``overlap`` characters of the one before."""
 
     def cut(t: str) -> list[str]:
@@ -155,10 +165,15 @@ def tail_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: in
             now = f"{now}\n\n{p}" if now else p
         return [*out, now.strip()] if now else out
 
-    return _chunked(df, text, cut)
+    return cut
 
 
-def recursive_chunks(df: DataFrame, text: str = "text", size: int = 1250, overlap: int = 250) -> DataFrame:
+def tail_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """``tail_cut`` of every text."""
+    return _chunked(df, text, tail_cut(size, overlap))
+
+
+def recursive_cut(size: int = 1250, overlap: int = 250) -> Callable[[str], list[str]]:
     """Splits at the coarsest of blank line, line end, blank and character that gives pieces of ``size`` at most, then
     merges neighbours up to ``size`` with ``overlap`` characters carried over."""
 
@@ -182,7 +197,12 @@ def recursive_chunks(df: DataFrame, text: str = "text", size: int = 1250, overla
             length += len(p)
         return [x for x in [*out, "".join(now).strip()] if x]
 
-    return _chunked(df, text, cut)
+    return cut
+
+
+def recursive_chunks(df: DataFrame, text: str = "text", size: int = 1250, overlap: int = 250) -> DataFrame:
+    """``recursive_cut`` of every text."""
+    return _chunked(df, text, recursive_cut(size, overlap))
 
 
 def chunk_stats(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
-from millrace.operators import activity, aggregate, core, ledger, scan
+from millrace.operators import activity, aggregate, core, ledger, scan, sketches
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import PRICES, TRADES, prices, trades
+from millrace.session import materialise
 from millrace.streaming import streams
 
 C = Catalogue()
@@ -276,6 +277,19 @@ def _(t):
     return t.lineitem.agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
 
 
+@add("agg41_sketch_bounds", """SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows, true AS distinct_within, true AS median_within, true AS high_within FROM events GROUP BY 1""")
+def _(t):
+    """Distinct users and two quantiles of every month from sketches stored by day, held against exact values."""
+    days, _ = materialise(sketches.daily(t.events, "ts", "event_id", "value"), "daily-sketches")
+    found = sketches.estimates(sketches.merged(days.withColumn("month", F.date_format("day", "yyyy-MM")), "month"), 0.5, 0.95)
+    rows = t.events.select(F.date_format("ts", "yyyy-MM").alias("month"), "event_id", "value").join(F.broadcast(found), "month")  # a row a month
+    share = lambda q: (F.count_if(F.col("value") <= F.col(q)) / F.count("value"), F.count_if(F.col("value") < F.col(q)) / F.count("value"))
+    within = lambda q, p: (share(q)[0] >= p - sketches.RANK_ERROR) & (share(q)[1] <= p + sketches.RANK_ERROR)
+    exact = F.count_distinct("event_id")
+    near = F.abs(F.first("distinct") - exact) <= sketches.DISTINCT_ERROR * exact
+    return rows.groupBy("month").agg(F.first("rows").alias("rows"), near.alias("distinct_within"), within("q50", 0.5).alias("median_within"), within("q95", 0.95).alias("high_within"))
+
+
 @add("agg42_leakage_columns", "SELECT unnest(['event_id', 'user_id']) AS \"column\"")
 def _(t):
     return t.spark.createDataFrame([(c,) for c in core.leakage_candidates(t.events.columns, "event_type") if c != "event_type"], "`column` string")

@@ -8,7 +8,7 @@ from millrace.functions import dates as D
 from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import chunks as K
-from millrace.operators import aggregate, core, similarity, sqlguard
+from millrace.operators import aggregate, core, similarity, sqlguard, tablefuncs
 from millrace.operators.blockmax import bm25_best
 from millrace.operators import retrieval as R
 from millrace.operators.tools import Registry
@@ -256,6 +256,15 @@ for key, f, sql in (
         return f(t.documents.select("doc_id", "text"))
 
 
+@add("chk4_lateral_chunks", SENTENCES.replace("1000", "300").replace("words[-100:]", "words[-30:]"))
+def _(t):
+    """The sentence chunker as a table function of the guarded SQL surface."""
+    tablefuncs.register(t.spark)
+    t.documents.createOrReplaceTempView("chunked_documents")
+    sql = "SELECT d.doc_id, c.chunk_idx, c.chunk FROM chunked_documents d, LATERAL chunk(d.text, 'sentences', 300, 30) c"
+    return sqlguard.run(t.spark, sql, limit=None)
+
+
 # --- dates ----------------------------------------------------------------------------------------------------------
 
 ANCHOR = "DATE '1998-08-02'"

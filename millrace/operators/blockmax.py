@@ -29,6 +29,8 @@ FIRST = 20
 SLACK = 1e-6
 #: Levels beyond the essential terms, and how many of them a halving of the bound takes.
 LEVELS, STEPS = 4, 2
+#: (query, posting) pairs up to which adding up all of them costs less than finding out which are needed.
+DIRECT_PAIRS = 10_000_000
 
 
 @dataclass
@@ -92,6 +94,9 @@ class BlockMax:
 
     def best(self, k: int) -> DataFrame:
         """``query_id, id, score``: the k best chunks of every query among others, all with exact scores."""
+        if (self.asked.agg(F.sum("df")).first()[0] or 0) <= DIRECT_PAIRS:
+            every = self.hits.join(small(self.asked), "term")
+            return every.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
         least, _ = materialise(self.thresholds(k), "thresholds")
         bounds, _ = materialise(self.bounds(least), "bounds")
         return self.survivors(bounds)[-1].select("query_id", "id", F.col("partial").alias("score"))

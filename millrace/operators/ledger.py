@@ -31,9 +31,10 @@ def valued(positions: DataFrame, prices: DataFrame) -> DataFrame:
 def profit(trades: DataFrame, prices: DataFrame, opening: float = 10_000.0) -> DataFrame:
     """``account, spent, cash, value, pnl, roi, n_trades``: cash is the opening balance less net spending; profit is the
     portfolio's worth less the opening balance; return in per cent."""
-    flows = trades.groupBy("account").agg(F.sum(F.col("signed") * F.col("price")).alias("spent"), F.count(F.lit(1)).alias("n_trades"))
-    worth = valued(holdings(trades), prices).groupBy("account").agg(F.sum("value").alias("stock"))
-    out = flows.join(worth, "account", "left").withColumn("stock", F.coalesce("stock", F.lit(0.0)))
+    # One pass over the trades: what an account did in a symbol adds up to what it did.
+    own = trades.groupBy("account", "symbol").agg(F.sum(F.col("signed") * F.col("price")).alias("spent"), F.count(F.lit(1)).alias("n"), F.sum("signed").alias("quantity"))
+    sums = [F.sum("spent").alias("spent"), F.sum("n").alias("n_trades"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("stock")]
+    out = valued(own, prices).groupBy("account").agg(*sums)
     cash = F.lit(opening) - F.col("spent")
     value = cash + F.col("stock")
     return out.select("account", "spent", cash.alias("cash"), value.alias("value"), (value - opening).alias("pnl"), (100 * (value - opening) / opening).alias("roi"), "n_trades")

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import retrieval, segments
+from millrace.operators import blockmax, retrieval, segments
 
 
 def _top(df):
@@ -19,6 +19,7 @@ def test_appends_deletes_and_merges(spark, tmp_path, monkeypatch):
     queries = spark.createDataFrame([(i, say()) for i in range(8)] + [(8, "nowhere"), (9, None)], "query_id long, query string")
     frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
     monkeypatch.setattr(segments, "FAN", 2)
+    monkeypatch.setattr(blockmax, "DIRECT_PAIRS", 0)
     index = segments.SegmentIndex(spark, str(tmp_path / "index")).create()
     assert index.search(queries, 6).count() == 0
     held = {}

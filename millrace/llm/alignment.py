@@ -44,6 +44,8 @@ BUCKETS = 64
 SLOT_BYTES = 64 << 20
 #: Bytes of text in a slice of documents, and pieces that the cache holds before it starts anew.
 SLICE_BYTES, CACHED = 4 << 20, 300_000
+#: Pieces that the tokenizers are given at a time: what they return for one is some KB.
+LEARNT = 10_000
 #: A single blank between two characters that are none: both tokenizers start anew there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -143,8 +145,9 @@ class Aligner:
             if t:
                 pieces += _CUT.split(t)
             off.append(len(pieces))
-        if new := list(dict.fromkeys(p for p in pieces if p not in self.known)):
-            self.learn(new)
+        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
+        for i in range(0, len(new), LEARNT):
+            self.learn(new[i : i + LEARNT])
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)), np.array(off)
 
 

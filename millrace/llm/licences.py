@@ -26,6 +26,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.keys import once
+
 BROADCAST_ROWS = 10_000
 
 #: (licence id, text). Public licence texts and customary notices, which must match word for word.
@@ -269,7 +271,7 @@ def units(text: Column) -> Column:
 
 def head(unit: Column) -> Column:
     """The first three words of a unit, lower-cased."""
-    return F.regexp_replace(F.regexp_extract(F.lower(unit), HEAD, 1), r"[^\p{L}\p{N}]+", " ")
+    return F.regexp_replace(F.lower(F.regexp_extract(unit, HEAD, 1)), r"[^\p{L}\p{N}]+", " ")
 
 
 def _heads(known: DataFrame) -> dict[str, list[int]]:
@@ -283,14 +285,14 @@ def _heads(known: DataFrame) -> dict[str, list[int]]:
     return {h: sorted(n) for h, n in sorted(out.items())}
 
 
-def windows(text: Column, heads: dict[str, list[int]]) -> Column:
-    """Texts of more than one line that start like a known text and have as many units."""
-    sizes = F.create_map(*[x for h, n in heads.items() for x in (F.lit(h), F.array(*map(F.lit, n)))])
-    u = units(text)
-    starts = F.filter(F.sequence(F.lit(1), F.size(u)), lambda i: head(F.element_at(u, i)).isin(*heads))
+def windows(u: Column, heads: Column, known: dict[str, list[int]]) -> Column:
+    """From the units of a text and their first words: texts of more than one line that start like a known text and have as many
+    units."""
+    sizes = F.create_map(*[x for h, n in known.items() for x in (F.lit(h), F.array(*map(F.lit, n)))])
+    starts = F.filter(F.transform(heads, lambda h, i: F.when(h.isin(*known), i + 1)), lambda i: i.isNotNull())
     run = lambda i, n: F.when(i + n - 1 <= F.size(u), F.array_join(F.slice(u, i, n), "\n"))
-    found = F.flatten(F.transform(starts, lambda i: F.transform(F.element_at(sizes, head(F.element_at(u, i))), lambda n: run(i, n))))
-    return F.when(F.size(u) > 0, F.filter(found, lambda w: w.contains("\n")))
+    found = F.flatten(F.transform(starts, lambda i: F.transform(F.element_at(sizes, F.element_at(heads, i)), lambda n: run(i, n))))
+    return F.coalesce(F.filter(found, lambda w: w.contains("\n")), F.array().cast("array<string>"))
 
 
 def sentences(text: Column) -> Column:
@@ -312,7 +314,9 @@ def licence_scan(docs: DataFrame, known=None, id_col: str = "doc_id", text_col:
     whole = base.withColumn("digest", F.sha2(canonical(F.col("t")), 256))
     whole = whole.join(_sized(by_digest, n), "digest", "left").withColumnRenamed("licences", "text_licences")
     heads = _heads(spark.createDataFrame(list(known), "licence string, body string"))
-    more = F.coalesce(windows(F.col("t"), heads), F.array().cast("array<string>")) if heads else F.array().cast("array<string>")
+    if heads:  # each computed once a row: the lambdas below read them again and again
+        whole = whole.withColumn("u", once(units(F.col("t")))).withColumn("heads", once(F.transform("u", head)))
+    more = windows(F.col("u"), F.col("heads"), heads) if heads else F.array().cast("array<string>")
     s = whole.select("id", "row", "digest", "text_licences", F.explode(F.concat(sentences(F.col("t")), more)).alias("s"))
     own = F.when(_may_be_known(F.col("s"), digests, n), F.sha2(canonical(F.col("s")), 256))
     hit = s.withColumn("d", own).join(_sized(by_digest.select(F.col("digest").alias("d"), "licences"), n), "d", "left")

@@ -5,7 +5,8 @@ Every task runs along its own rows; what a key brings to the next task is known
 key's value, and is added by a broadcast of these carries: as many rows as there are tasks.
 
 Both forms give the same values. Keys below ``HOT_ROWS`` rows fit a task, so a window serves them with one shuffle; the scan
-takes the keys beyond. Counting rows by key, added up before the shuffle, tells which is which.
+takes the keys beyond. Rows are counted by ``SLOTS`` hash slots of the key, added up before the shuffle: a slot holds whole keys,
+so where no slot has so many rows no key has, and else only the keys of the full slots are counted.
 """
 
 from __future__ import annotations
@@ -21,20 +22,30 @@ from pyspark.sql import functions as F
 from millrace.session import arrow_map, materialise
 
 HOT_ROWS = 2_000_000
+SLOTS = 1 << 14
 KINDS = {"sum": "double", "count": "long"}
 
 
-def hot_keys(df: DataFrame, by: list[str], least: int | None = None) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > (HOT_ROWS if least is None else least)).select(*by)
+def hot_keys(df: DataFrame, by: list[str], least: int | None = None) -> DataFrame | None:
+    """The keys of more than ``least`` rows; None if there are none."""
+    least = HOT_ROWS if least is None else least
+    slot = F.pmod(F.xxhash64(*by), F.lit(SLOTS))
+    full = [r["s"] for r in df.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).collect()]  # SLOTS rows at most
+    if not full:
+        return None
+    return df.filter(slot.isin(full)).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > least).select(*by)
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: str, name: str, how: str = "sum", hot_rows: int | None = None, tasks: int | None = None) -> DataFrame:
     """``df`` with ``name``: the sum or count of ``value``, or the last of its values that isn't null, over the key's rows up to
     each row. Rows of equal order come in any order. Null is a key like any; null values add nothing. Keys of more than
     ``hot_rows`` rows are scanned."""
-    hot, _ = materialise(hot_keys(df, by, hot_rows), "hot-keys")
-    if hot.isEmpty():
+    if hot_rows == 0:
+        return scanned(df, by, order, value, name, how, tasks)
+    hot = hot_keys(df, by, hot_rows)
+    if hot is None:
         return _windowed(df, by, order, value, name, how)
+    hot, _ = materialise(hot, "hot-keys")
     same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(hot[c]) for c in by])
     rest = _windowed(df.join(hot, same, "left_anti"), by, order, value, name, how)
     return rest.unionByName(scanned(df.join(hot, same, "left_semi"), by, order, value, name, how, tasks))

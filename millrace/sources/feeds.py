@@ -15,6 +15,7 @@ numbers are in SQLite's words (``sqlite3`` and a file that all executors share i
 from __future__ import annotations
 
 import importlib
+import sys
 import time
 import uuid
 from collections.abc import Iterator
@@ -250,9 +251,10 @@ class DbApi(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to the session; the package is sent to the workers."""
-    from millrace.session import ship
+    """Makes both formats known to the session. What plans a source runs beside the driver without the session's files, so
+    this module travels by value."""
+    from pyspark import cloudpickle
 
-    ship(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     for source in (EventFeed, DbApi):
         spark.dataSource.register(source)

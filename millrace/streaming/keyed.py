@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,11 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _by_value() -> None:
+    """Processors are first set up by a process beside the driver that lacks the session's files, so they travel by value."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @contextmanager
 def state_store(spark: SparkSession):
     """Queries started inside keep their state in the store that list and map state need; the session's setting comes back."""
@@ -57,6 +64,7 @@ def last_rows(log: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     """``<by>, <the other columns>, place``: whenever rows of a key come, its ``n`` rows of greatest ``order``. The state is n
     rows a key; keys without new rows give nothing."""
     rest = T.StructType([f for f in log.schema if f.name not in by])
+    _by_value()
     processor = _LastRows(rest, order, n)
     processor.by = by
     schema = T.StructType([*(log.schema[c] for c in by), *rest, T.StructField("place", T.IntegerType())])
@@ -132,6 +140,7 @@ def cooled_down(requests: DataFrame, user: str, ts: str, cooldown: int = 60, cap
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = requests.select(F.col(user).alias("who"), F.col(ts).cast("timestamp").alias("time"), at.alias("at"))
     rows = rows.withWatermark("time", late) if session else rows
+    _by_value()
     schema = T.StructType([rows.schema["who"], T.StructField("at", T.LongType()), T.StructField("reason", T.StringType())])
     return rows.groupBy("who").transformWithStateInPandas(_Cooldown(cooldown, cap, session), schema, "Append", "EventTime" if session else "None")
 

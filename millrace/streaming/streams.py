@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.numbers import LIMITS, severity
+from millrace.session import ship
 
 
 def source(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None, fmt: str = "json") -> DataFrame:
@@ -84,6 +85,7 @@ def rate_limited(requests: DataFrame, most: int, window_seconds: float) -> DataF
     """Sliding-window limiter over ``user, ts``: the state is the user's admitted times within the window, at most
     ``most`` of them. Requests of a user are taken in time order within each micro-batch."""
     width = int(window_seconds * 1_000_000)
+    ship(requests.sparkSession)
     kind = requests.schema["user"].dataType.simpleString()
     return requests.select("user", "ts").groupBy("user").applyInPandasWithState(
         lambda k, b, s: _limit(k, b, s, most, width), f"user {kind}, ts timestamp, admitted boolean", "last array<bigint>", "append", GroupStateTimeout.NoTimeout

@@ -14,13 +14,13 @@ from millrace.functions import dates as D
 from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import chunks as K
-from millrace.operators import asking, core, ledger, segments, sqlguard
+from millrace.operators import asking, core, ledger, segments, sqlguard, vectors
 from millrace.operators import retrieval as R
 from millrace.operators.tools import Registry
 from millrace.plans.analytics import GAPPY, gappy
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import TRADES, trades
-from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, lexical, relevant, rounded
+from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, dense_top, lexical, relevant, rounded, stated_vectors
 from millrace.session import arrow_map, scratch_root, swept
 from millrace.sources import documents, feeds, sinks, tables
 from millrace.streaming import keyed, streams
@@ -286,7 +286,7 @@ def _(t):
 
 @add("flt13_score_threshold", "WITH " + DENSE.format(which=STATED) + " SELECT query_id, id FROM v WHERE 1 - score < 0.9 AND score > 0")
 def _(t):
-    return dense_scores(t, 100).filter((1 - F.col("score") < 0.9) & (F.col("score") > 0)).select("query_id", "id")
+    return rounded(vectors.above(*stated_vectors(t), 0.1)).filter((1 - F.col("score") < 0.9) & (F.col("score") > 0)).select("query_id", "id")
 
 
 STATEMENTS = (
@@ -329,7 +329,7 @@ def _(t):
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 7, id) AS rank FROM f QUALIFY rank <= 10""")
 def _(t):
     """Three times as many as asked for by one score, the best of them by another."""
-    first = core.first_n(dense_scores(t, 100), ["query_id"], [F.desc("score"), F.col("id")], 30)
+    first = dense_top(t, 30)
     return R.rerank(first, -(F.col("id") % 7).cast("double"), 10).select("query_id", "id", "rank")
 
 

@@ -104,8 +104,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def answer_score(query: Column, context: Column, answer: Column, history: Column, answer_length: Column) -> Column:
     """Struct of relevance, accuracy, completeness, consistency, overall and passed, from token sets."""
-    relevance, accuracy, past = jaccard(query, answer), jaccard(context, answer), jaccard(history, answer)
+    past = jaccard(history, answer)
     consistency = F.when((past >= 0.1) | (F.size(history) == 0), 1.0).otherwise(past)
+    return answer_marks(jaccard(query, answer), jaccard(context, answer), consistency, answer_length)
+
+
+def answer_marks(relevance: Column, accuracy: Column, consistency: Column, answer_length: Column) -> Column:
+    """The struct of ``answer_score`` from its parts."""
     completeness = F.when(accuracy >= 0.2, F.least(F.lit(1.0), answer_length / 300.0)).otherwise(0.3)
     total = 0.3 * relevance + 0.4 * accuracy + 0.15 * completeness + 0.15 * consistency
     overall = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))

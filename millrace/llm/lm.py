@@ -7,8 +7,7 @@ counts. So the score is a log probability over all tokens, like the base.
 
 Counting: every task pre-aggregates its words, one shuffle adds them up. Training: all training documents (``TRAIN_SHARE`` is 1;
 callers may pass less), dealt by a hash of their text over ``ROUNDS`` rounds: every task starts from the round's parameters (a model of fixed size) and runs truncated
-backpropagation over its documents, and the changes are averaged by tokens, slice by slice, on the executors. Backpropagation
-over a document costs some five times what scoring it does, so this is most of the cost.
+backpropagation over its documents, and the changes are averaged by tokens, slice by slice, on the executors.
 Scoring: one pass over all texts with the state carried over windows to each document's end; it also writes, for slices of
 documents, postings of the words outside the vocabulary. These words, each rarer than any of the vocabulary, are too many to
 broadcast: their counts and postings meet in a cogroup by word hash, counts first, and what they add is summed by document.
@@ -35,7 +34,7 @@ from millrace.llm.toxicity import held_out
 from millrace.session import arrow_map, materialise
 
 #: Tokens that the network predicts, the end and the rest among them, and its classes.
-VOCABULARY, CLASSES = 2048, 32
+VOCABULARY, CLASSES = 2048, 24
 TRAIN_SHARE, ROUNDS = 1.0, 2
 #: Words whose counts a task of the cogroup holds at most, about; slices that the parameters are averaged in.
 BUCKET_WORDS, MODEL_SLICES = 500_000, 64

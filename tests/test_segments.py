@@ -51,3 +51,21 @@ def test_appends_deletes_and_merges(spark, tmp_path, monkeypatch):
     index.delete(frame([]))
     check()
     assert sorted(r.id for r in index.alive("lengths").collect()) == sorted(held)
+
+
+def test_appends_shuffle_no_postings_and_large_query_sets_rank_alike(spark, tmp_path, monkeypatch):
+    texts = [(0, "b a a"), (1, ""), (2, None), (3, "a c"), (4, "c c c d"), (5, "é a")]
+    frame = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(0, "a"), (1, "c d a a"), (2, "é b")], "query_id long, query string")
+    written = []
+    real = segments.SegmentIndex._segment
+    monkeypatch.setattr(segments.SegmentIndex, "_segment", lambda self, rows: written.append(rows._jdf.queryExecution().toString()) or real(self, rows))
+    index = segments.SegmentIndex(spark, str(tmp_path / "index")).create()
+    index.append(frame.filter("id < 4"))
+    index.append(frame.filter("id > 2"))
+    assert len(written) == 2 and all("groupBy" not in p and "Aggregate" not in p for p in written)  # postings were dealt by chunk, then by bucket
+    assert sorted((r.id, r.len) for r in index.alive("lengths").collect()) == [(0, 3), (1, 0), (2, 0), (3, 2), (4, 4), (5, 2)]
+    want = _top(retrieval.bm25(frame, queries))
+    assert _top(index.search(queries, 6)) == want and len(want) > 6
+    monkeypatch.setattr(blockmax, "IN_TASKS", 1)
+    assert _top(index.search(queries, 6)) == want

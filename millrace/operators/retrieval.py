@@ -144,8 +144,11 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     seen = words.join(small(asked.select("token").distinct()), "token", "left_semi")
     counts = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     anchors = asked.join(counts, "token").groupBy("query_id").agg(F.min(F.struct("n", "token")).alias("a")).select("query_id", F.col("a.token").alias("token"))
-    candidates = seen.join(small(anchors), "token").select("query_id", "id")
-    searched = candidates.join(docs, "id").join(small(items), "query_id")
+    if is_small(items):  # an anchor an item at most: the items go to the documents, which are searched where they are
+        fetched = F.broadcast(anchors.join(items, "query_id"))
+        searched = docs.select("id", "text", F.explode(F.array_distinct(pieces(F.col("text")))).alias("token")).join(fetched, "token")
+    else:
+        searched = seen.join(anchors, "token").select("query_id", "id").join(docs, "id").join(items, "query_id")
     short = with_each(docs, inner.filter(F.size("inner") == 0).select("query_id", "query"))
     cols = ["query_id", "id", "query", "text"]
     return searched.select(cols).unionByName(short.select(cols)).filter(F.contains("text", "query")).select("query_id", "id").distinct()

@@ -8,7 +8,7 @@ from oracle import TABLES, compare, connect
 
 from millrace.plans import catalogue
 
-NAMES = ["mth11_precision_recall", "win11_reciprocal_rank"]
+NAMES = ["mth11_precision_recall", "win11_reciprocal_rank", "win12_ndcg"]
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ from oracle import TABLES, compare, connect
 
 from millrace.plans import catalogue
 
-NAMES = ["mth11_precision_recall", "win11_reciprocal_rank", "win12_ndcg", "ret11_metrics"]
+NAMES = ["mth11_precision_recall", "win11_reciprocal_rank", "win12_ndcg", "ret11_metrics", "jon14_relevant_found"]
 
 
 @pytest.fixture(scope="module")

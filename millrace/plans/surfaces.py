@@ -20,7 +20,7 @@ from millrace.operators.tools import Registry
 from millrace.plans.analytics import GAPPY, gappy
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import TRADES, trades
-from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, dense_top, lexical, relevant, rounded, stated_vectors
+from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, dense_top, lexical, relevant, rounded, stated_vectors, with_documents
 from millrace.session import arrow_map, scratch_root, swept
 from millrace.sources import documents, feeds, sinks, tables
 from millrace.streaming import keyed, streams
@@ -378,7 +378,7 @@ def _(t):
 def _(t):
     """Each query beside its candidates, which the first stage bounds."""
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pairs = lexical(t, 15).join(q, "query_id").join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    pairs = with_documents(t, lexical(t, 15), "text").join(core.small(q), "query_id")
     return pairs.select("query_id", "id", (F.length("query") + F.length("text")).alias("chars"))
 
 

@@ -370,8 +370,7 @@ def _(t):
 
 @add("jon5_id_lookup", f"WITH {BM25}, {FIRST.format(k=3)} SELECT query_id, r.id, rank, source, length(text) AS n FROM r JOIN documents ON doc_id = r.id")
 def _(t):
-    found = lexical(t, 3)
-    return found.join(t.documents.select(F.col("doc_id").alias("id"), "source", F.length("text").alias("n")), "id").select("query_id", "id", "rank", "source", "n")
+    return with_documents(t, lexical(t, 3), "source", F.length("text").alias("n")).select("query_id", "id", "rank", "source", "n")
 
 
 @add("jon8_rerank_pairs", f"WITH {BM25}, {FIRST.format(k=15)} SELECT query_id, id, length(b.text) + length(d.text) AS chars FROM r JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id")

@@ -8,7 +8,7 @@ from oracle import TABLES, compare, connect
 
 from millrace.plans import catalogue
 
-NAMES = ["mth11_precision_recall", "win11_reciprocal_rank", "win12_ndcg", "ret11_metrics", "jon14_relevant_found", "jon8_rerank_pairs", "ret8_rerank"]
+NAMES = ["mth11_precision_recall", "win11_reciprocal_rank", "win12_ndcg", "ret11_metrics", "jon14_relevant_found", "jon8_rerank_pairs", "ret8_rerank", "jon5_id_lookup"]
 
 
 @pytest.fixture(scope="module")

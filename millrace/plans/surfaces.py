@@ -20,7 +20,7 @@ from millrace.operators.tools import Registry
 from millrace.plans.analytics import GAPPY, gappy
 from millrace.plans.base import Catalogue
 from millrace.plans.relational import TRADES, trades
-from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_scores, dense_top, lexical, relevant, rounded, stated_vectors, with_documents
+from millrace.plans.texts import BEST, BM25, DENSE, FIRST, HYBRID, ITEMS, REL, STATED, TOP, dense_best, dense_top, lexical, relevant, rounded, stated_vectors, with_documents
 from millrace.session import arrow_map, scratch_root, swept
 from millrace.sources import documents, feeds, sinks, tables
 from millrace.streaming import keyed, streams
@@ -402,7 +402,7 @@ for _key, _cols, _sql in (
 
 @add("mth7_fusion", f"WITH {BM25}, {DENSE.format(which=ITEMS)}, {HYBRID.replace('0.5 *', '0.25 *', 1).replace('0.5 *', '0.75 *', 1)} SELECT query_id, id, score FROM h QUALIFY {TOP} <= 10")
 def _(t):
-    both = R.hybrid(lexical(t, 20).drop("rank"), dense_scores(t), 10, 0.25, 0.75)
+    both = R.hybrid(lexical(t, 20).drop("rank"), dense_best(t, 20).drop("rank"), 10, 0.25, 0.75)
     return both.select("query_id", "id", F.round("score", 8).alias("score"))
 
 

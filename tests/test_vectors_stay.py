@@ -21,7 +21,7 @@ def _folder(d, vectors, items):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["ret5_hybrid"])
+@pytest.mark.parametrize("name", ["ret5_hybrid", "mth7_fusion"])
 def test_vectors_are_not_shuffled(spark, tmp_path, monkeypatch, name):
     size = 4000 * 64 * 4
     folder = _folder(tmp_path, list(np.random.default_rng(3).standard_normal((4000, 64), dtype=np.float32)), 5)
@@ -35,7 +35,7 @@ def test_vectors_are_not_shuffled(spark, tmp_path, monkeypatch, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["ret5_hybrid", "ret13_method_report"])
+@pytest.mark.parametrize("name", ["ret5_hybrid", "mth7_fusion", "ret13_method_report"])
 def test_null_vectors(spark, tmp_path, name):
     rng = np.random.default_rng(5)
     vectors = [None if i in (1, 4, 7, 8) else rng.standard_normal(8).astype(np.float32) for i in range(12)]
